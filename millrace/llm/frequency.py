@@ -17,16 +17,18 @@ def term_counts(df: DataFrame, term: str, record: str, unit: list[str] | None =
     and each range is scanned for runs where it lies: a first row of a run is a new occurrence, or a new record. Ranges send one row per term to be added up,
     and a record lies in one range, so records add up exactly.
     """
-    unit = unit or []
-    rows = df.filter(F.col(term).isNotNull() & F.col(record).isNotNull()).select(F.col(term).alias("term"), F.col(record).alias("record"), *(F.col(c).alias(f"unit{i}") for i, c in enumerate(unit)), (F.lit(1) if weight is None else weight).alias("weight"))
+    units = [f"unit{i}" for i in range(len(unit or []))]
+    weights = [] if weight is None else [weight.alias("weight")]
+    rows = df.filter(F.col(term).isNotNull() & F.col(record).isNotNull()).select(F.col(term).alias("term"), F.col(record).alias("record"), *(F.col(c).alias(u) for c, u in zip(unit or [], units, strict=True)), *weights)
     keys = ["term", "record"]
-    order = [*keys, *(f"unit{i}" for i in range(len(unit))), "weight"]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    run = Window.partitionBy(*keys).orderBy(*order[2:])
-    before = F.lag(F.struct(*(order[2:-1] or ["term"]))).over(run)
-    new_unit = (before.isNull() | ~before.eqNullSafe(F.struct(*order[2:-1]))) if unit else F.lit(True)
-    scanned = ranged.sortWithinPartitions(*order).select("term", "weight", before.isNull().alias("new_record"), new_unit.alias("new_unit"))
-    return scanned.groupBy("term").agg(F.sum(F.when(F.col("new_unit"), F.col("weight")).otherwise(0)).alias("total"), F.sum(F.col("new_record").cast("bigint")).alias("records"))
+    # The ranges keep a term and record together, so the window adds the sort within them, and no exchange.
+    within = F.struct(*(units or ["term"]))
+    scanned = ranged.withColumn("before", F.lag(within).over(Window.partitionBy(*keys).orderBy(*(units or ["term"]), *(["weight"] if weights else []))))
+    new_record = F.col("before").isNull()
+    new_unit = (new_record | ~F.col("before").eqNullSafe(within)) if units else F.lit(True)
+    adds = F.col("weight") if weights else F.lit(1)
+    return scanned.groupBy("term").agg(F.sum(F.when(new_unit, adds).otherwise(0)).alias("total"), F.sum(new_record.cast("bigint")).alias("records"))
 
 
 def marked(counts: DataFrame, rare: float, common: float, of: Column) -> DataFrame:
