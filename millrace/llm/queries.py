@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from millrace.llm.encoding import texts, token_counts, token_ids
 from millrace.llm.frequency import distinct_count, marked, term_counts
 from millrace.llm.frequent import at_least, top_values
+from millrace.llm.overlap import overlap, report, row_pairs
 from millrace.llm.packing import SHARE, pack
 from millrace.session import table
 
@@ -36,6 +37,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_counts(spark, d).filter(F.col("mark").isNotNull()).select("field", "fid", "mark")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return row_pairs(overlap(table(spark, d, "row_blocks")))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: rows, and those with a training row that is alike or the same."""
+    return report(overlap(table(spark, d, "row_blocks")))
+
+
 def p4_top(spark: SparkSession, d: str) -> DataFrame:
     """The hundred most frequent fids and ks, with their counts; the counts have no error."""
     def one(t: str, column: str, field: str) -> DataFrame:
@@ -84,7 +94,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(room, "limit_id").select("limit_id", "capacity", "containers", "tokens", "fullest", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
 
 
-QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p4_top, p4_found, p6_ids, p6_roundtrip, p7_pack, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p2_found, p2_report, p4_top, p4_found, p6_ids, p6_roundtrip, p7_pack, p7_fill)}
 
 _COUNTS = """
 WITH k AS (SELECT DISTINCT blk_id, i, row_id, k FROM localizer_pairs WHERE k IS NOT NULL AND row_id IS NOT NULL),
@@ -94,7 +104,21 @@ c AS (SELECT 'k' AS field, k AS fid, count(*)::DOUBLE AS total, count(DISTINCT r
 m AS (SELECT field, fid, total, records, CASE WHEN total <= 4 THEN 'rare' WHEN records > most THEN 'common' END AS mark FROM c)
 """
 _ROWS = "SELECT 'feaids' AS field, fid FROM batch_feaids WHERE fid IS NOT NULL UNION ALL SELECT 'k', k FROM localizer_pairs WHERE k IS NOT NULL"
+_PAIRS = r"""
+WITH r AS (SELECT DISTINCT row_id, lower(trim(split_name, E' \t\r\n')) AS split, source, list_sort(list_distinct(list_filter(list_transform(features, lambda x: x.idx), lambda x: x IS NOT NULL))) AS ids FROM row_blocks WHERE row_id IS NOT NULL),
+s AS (SELECT DISTINCT ids, split = 'train' AS train FROM r WHERE split IN ('train', 'val', 'test') AND len(ids) > 0),
+u AS (SELECT ids, train, unnest(ids) AS id FROM s),
+i AS (SELECT e.ids AS a, t.ids AS b, count(*) AS n FROM u e JOIN u t ON e.id = t.id AND NOT e.train AND t.train GROUP BY 1, 2),
+l AS (SELECT a, b FROM i WHERE n >= 0.75 * (len(a) + len(b) - n))
+"""
 SQL = {
+    "p2_found": _PAIRS
+    + """SELECT DISTINCT least(e.row_id, t.row_id) AS row_id_1, greatest(e.row_id, t.row_id) AS row_id_2
+    FROM l JOIN r e ON e.ids = l.a AND e.split IN ('val', 'test') JOIN r t ON t.ids = l.b AND t.split = 'train' WHERE e.row_id <> t.row_id""",
+    "p2_report": _PAIRS
+    + """, k AS (SELECT a, max((a = b)::INTEGER) AS same FROM l GROUP BY a)
+    SELECT split, source, count(DISTINCT row_id) AS rows, count(DISTINCT CASE WHEN a IS NOT NULL THEN row_id END) AS overlapping, count(DISTINCT CASE WHEN same = 1 THEN row_id END) AS exact
+    FROM r LEFT JOIN k ON r.ids = k.a WHERE split IN ('val', 'test') AND len(ids) > 0 GROUP BY split, source""",
     "p1_counts": _COUNTS + "SELECT * FROM m",
     "p1_found": _COUNTS + "SELECT field, fid, mark FROM m WHERE mark IS NOT NULL",
     "p4_top": f"""WITH n AS (SELECT field, fid, count(*) AS n FROM ({_ROWS}) GROUP BY ALL),
