@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from millrace.llm.abuse import abuse_rates, abuse_scores
 from millrace.llm.encoding import texts, token_counts, token_ids
 from millrace.llm.frequency import distinct_count, marked, term_counts
 from millrace.llm.frequent import at_least, top_values
@@ -94,7 +95,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(room, "limit_id").select("limit_id", "capacity", "containers", "tokens", "fullest", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
 
 
-QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p2_found, p2_report, p4_top, p4_found, p6_ids, p6_roundtrip, p7_pack, p7_fill)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents"), table(spark, d, "abuse_labels"), table(spark, d, "abuse_terms"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).filter("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p2_found, p2_report, p4_top, p4_found, p6_ids, p6_roundtrip, p7_pack, p7_fill, p8_scores, p8_found, p8_rates)}
 
 _COUNTS = """
 WITH k AS (SELECT DISTINCT blk_id, i, row_id, k FROM localizer_pairs WHERE k IS NOT NULL AND row_id IS NOT NULL),
