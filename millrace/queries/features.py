@@ -1,2 +1,264 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of ids, counts, filters, dictionaries, batches, blocks, tables of keys and formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import ids as I
+from millrace.operators import features as X
+from millrace.operators import kv
+from millrace.operators.linalg import transpose
+from millrace.queries.inputs import EVENTS, event_rows, events, labels
+from millrace.session import table
+from millrace.sources.lines import examples, parse_lines
+from millrace.sources.sinks import libsvm_lines
+from millrace.streaming.ftrl import windowed_counts
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "batch_feaids").select("fid").filter("fid is not null").distinct()
+
+
+def reverse_feature_id(spark, d):
+    return _ids(spark, d).select("fid", I.reverse_id("fid").alias("rev"), (I.reverse_id(I.reverse_id("fid")) == F.col("fid")).alias("back"))
+
+
+def encode_group_id(spark, d):
+    return table(spark, d, "events").select("event_id", I.encode_group("user_id", F.hour("ts"), 12).alias("fid"))
+
+
+def decode_group_id(spark, d):
+    return _ids(spark, d).groupBy(I.decode_group(I.reverse_id("fid"), 12).alias("grp")).agg(F.count(F.lit(1)).alias("ids"))
+
+
+def hash_mod(spark, d):
+    return _ids(spark, d).groupBy(I.hash_mod("fid", 1000).alias("bucket")).agg(F.count(F.lit(1)).alias("ids"))
+
+
+def range_segment(spark, d):
+    return spark.createDataFrame([(i, *I.segment(7, 1_000_003, i, 9)) for i in range(9)], "part int, begins bigint, ends bigint")
+
+
+def feature_counts(spark, d):
+    return X.feature_counts(events(spark, d))
+
+
+def feature_counts_hashed(spark, d):
+    return X.feature_counts(events(spark, d), 1000)
+
+
+def block_counts_merged(spark, d):
+    """Counts of the blocks added up: what a union of all blocks' counts gives, rows delivered twice once."""
+    one = table(spark, d, "tile_feacnts").filter("fid is not null and feacnt is not null").select("blk_id", "fid", "feacnt").distinct()
+    return one.groupBy("fid").agg(F.sum(F.col("feacnt").cast("double")).alias("cnt"))
+
+
+def tail_filter(spark, d):
+    return X.keep_features(events(spark, d), X.frequent_features(X.feature_counts(events(spark, d)), 100)).groupBy("fid").agg(F.count(F.lit(1)).alias("entries"), F.round(F.sum("val"), 4).alias("vals"))
+
+
+def dictionary(spark, d):
+    return X.dictionary(events(spark, d), 20)
+
+
+def localize(spark, d):
+    e = events(spark, d)
+    return X.localize(e, X.dictionary(e, 20)).groupBy("row_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("pos").alias("places"))
+
+
+def colmap(spark, d):
+    e = events(spark, d)
+    blocks = e.withColumn("blk", F.floor(F.col("row_id") / 500).cast("bigint"))
+    return X.column_map(blocks, X.dictionary(e, 20))
+
+
+def feature_group_stats(spark, d):
+    e = events(spark, d)
+    rows = X.every_tenth(labels(spark, d).withColumn("blk", F.floor(F.col("row_id") / 997)))
+    return X.group_stats(e, rows, 12)
+
+
+def _plan(spark, d):
+    stats = {r.grp: r.nnz for r in feature_group_stats(spark, d).collect()}  # a row a group
+    n = X.every_tenth(labels(spark, d).withColumn("blk", F.floor(F.col("row_id") / 997))).count()
+    return X.plan_blocks(stats, n, 12, 4.0)
+
+
+def plan_feature_blocks(spark, d):
+    return spark.createDataFrame([(i, f"{b:016X}", f"{e:016X}" if e < 1 << 64 else "G") for i, (b, e) in enumerate(_plan(spark, d))], "fblk int, begin_hex string, end_hex string")
+
+
+def assign_blocks(spark, d):
+    return X.assign_blocks(X.feature_counts(events(spark, d)), _plan(spark, d)).groupBy("fblk").agg(F.count(F.lit(1)).alias("ids"), F.sum("cnt").alias("entries"))
+
+
+def range_assign(spark, d):
+    """Each block's span of places in the ordered dictionary."""
+    return kv.find_ranges(X.feature_counts(events(spark, d)), _plan(spark, d), I.reversed_hex("fid"))
+
+
+def transpose_csc(spark, d):
+    return transpose(events(spark, d)).select("fid", F.size("items").alias("entries"), F.element_at("items", 1)["row_id"].alias("first_row"), F.element_at("items", -1)["row_id"].alias("last_row"), F.round(F.aggregate("items", F.lit(0.0), lambda s, x: s + x["val"]), 4).alias("vals"))
+
+
+def minibatch_stats(spark, d):
+    b = X.in_order(event_rows(spark, d), 370)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("labels"), F.sum(F.size("features")).alias("entries"), F.min("row_id").alias("first_row"))
+
+
+def shuffle_buffer(spark, d):
+    """Batches from a buffer of five batches: their sizes, and the buffer that their rows come from."""
+    b = X.shuffled(event_rows(spark, d), 100, 500, 7)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.floor(F.min("row_id") / 500).alias("from_buffer"), F.floor(F.max("row_id") / 500).alias("to_buffer"))
+
+
+def neg_downsample(spark, d):
+    kept = X.keep_negatives(labels(spark, d), 0.3)
+    return kept.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def partition_rows(spark, d):
+    """The parts of the rows: each row lies in one."""
+    parts = [X.part_of(labels(spark, d), i, 4).select(F.lit(i).alias("part"), "row_id") for i in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("row_id").agg(F.count(F.lit(1)).alias("parts"))
+
+
+def row_block_triples(spark, d):
+    """Examples of the blocks as triples, redelivered rows once."""
+    rows = table(spark, d, "row_blocks").select("row_id", "label", "features", "arrived_at")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("row_id").orderBy("arrived_at"))).filter("k = 1")
+    return X.triples(first).groupBy("row_id").agg(F.count(F.lit(1)).alias("entries"), F.round(F.sum("val"), 6).alias("vals"))
+
+
+def _dst(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.round(F.col("c_acctbal") / 100, 2).alias("value"))
+
+
+def _src(spark, d):
+    o = table(spark, d, "orders").filter("o_custkey % 3 <> 1")
+    return o.groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+
+def _matcher(op):
+    def q(spark, d):
+        return kv.kv_match(_dst(spark, d), _src(spark, d), op=op).select("key", F.round("value", 8).alias("value"), "matched")
+
+    return q
+
+
+def _joiner(op):
+    def q(spark, d):
+        few = _dst(spark, d).filter("key % 5 <> 2")
+        return kv.kv_union(few, _src(spark, d), op=op).select("key", F.round("value", 8).alias("value"))
+
+    return q
+
+
+def kv_match_vectors(spark, d):
+    vec = lambda t: t.withColumn("value", F.array("value", F.col("value") * 2))
+    out = kv.kv_match_vectors(vec(_dst(spark, d)), vec(_src(spark, d)), op="plus")
+    return out.select("key", F.round(F.col("value")[0], 4).alias("v0"), F.round(F.col("value")[1], 4).alias("v1"), "matched")
+
+
+def kv_match_ragged(spark, d):
+    src = _src(spark, d).withColumn("value", F.sequence(F.lit(1), F.col("value").cast("int"))).withColumn("value", F.transform("value", lambda x: x * 1.5))
+    return kv.kv_match_ragged(_dst(spark, d), src).select("key", "length", F.aggregate("value", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+def find_position(spark, d):
+    src = X.dense_index(_src(spark, d), F.col("key"))
+    return kv.find_position(src, _dst(spark, d))
+
+
+def push_pull(spark, d):
+    """Counts pushed to a model, and pulled for some of its keys."""
+    m = kv.push(_dst(spark, d), _src(spark, d)).select(F.col("key").alias("fid"), F.round("value", 4).alias("value"))
+    keys = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") + 10).alias("fid"))
+    return kv.pull(m, keys)
+
+
+def parsed_entries(spark, d):
+    """Per format: valid lines, their entries, and the sums of labels and values."""
+    e = examples(parse_lines(table(spark, d, "raw_lines")))
+    entry = F.aggregate("features", F.lit(0.0), lambda s, x: s + F.when(F.abs(x["val"]) < 1000, x["val"]).otherwise(0.0))
+    return e.groupBy("fmt").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("features")).alias("entries"), F.round(F.sum("label"), 3).alias("labels"), F.round(F.sum(F.coalesce(entry, F.lit(0.0))), 3).alias("vals"))
+
+
+def libsvm_text(spark, d):
+    """Rows as text lines."""
+    return libsvm_lines(event_rows(spark, d))
+
+
+def windowed_group_counts(spark, d):
+    """Entries per feature group and five minutes: the streaming aggregation over a table."""
+    t = table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("at"))
+    e = t.join(event_rows(spark, d), "row_id")
+    return windowed_counts(e, "at").select(F.unix_micros("begins").alias("begins"), "grp", "nnz")
+
+
+OPS = ("assign", "plus", "minus", "times", "divide")
+QUERIES = {
+    f.__name__: f
+    for f in (
+        reverse_feature_id, encode_group_id, decode_group_id, hash_mod, range_segment, feature_counts, feature_counts_hashed, block_counts_merged, tail_filter, dictionary, localize, colmap, feature_group_stats, plan_feature_blocks,
+        assign_blocks, range_assign, transpose_csc, minibatch_stats, shuffle_buffer, neg_downsample, partition_rows, row_block_triples, kv_match_vectors, kv_match_ragged, find_position, push_pull, parsed_entries, libsvm_text, windowed_group_counts,
+    )
+}
+QUERIES |= {f"kv_match_{op}": _matcher(op) for op in OPS} | {f"kv_union_{op}": _joiner(op) for op in OPS}
+
+_REV = "('0x' || reverse(lpad(hex({0}), 16, '0')))::UBIGINT"
+_SIGNED = "(CASE WHEN {0} >= 9223372036854775808 THEN {0}::HUGEINT - 18446744073709551616 ELSE {0}::HUGEINT END)::BIGINT"
+_IDS = "ids AS (SELECT DISTINCT fid, " + _REV.format("fid") + " AS r, CASE WHEN fid < 0 THEN fid::HUGEINT + 18446744073709551616 ELSE fid::HUGEINT END AS u FROM batch_feaids WHERE fid IS NOT NULL)"
+_ORDER = "reverse(lpad(hex(fid), 16, '0'))"
+_DICT = EVENTS + f", dc AS (SELECT fid, cnt, (row_number() OVER (ORDER BY {_ORDER}) - 1)::BIGINT AS pos FROM cn WHERE cnt > 20)"
+_SAMPLE = EVENTS + ", sm AS (SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY row_id // 997 ORDER BY row_id) - 1 AS k FROM rw) WHERE k % 10 = 0), gs AS (SELECT fid & 4095 AS grp, count(*) AS nnz FROM ev JOIN sm USING (row_id) GROUP BY 1)"
+#: A group's block i of n: its three reversed digits, then the next 13 digits from 16^13 i / n.
+_PLAN = (
+    _SAMPLE
+    + """, nb AS (SELECT grp, ceil(nnz / (SELECT count(*) FROM sm)::DOUBLE * 4.0)::BIGINT AS n, ('0x' || reverse(lpad(hex(grp), 3, '0')))::HUGEINT * 4503599627370496 AS b FROM gs),
+pl AS (SELECT b + 4503599627370496::HUGEINT * i // n AS b, b + 4503599627370496::HUGEINT * (i + 1) // n AS e FROM (SELECT grp, n, b, unnest(range(n)) AS i FROM nb)),
+pb AS (SELECT (row_number() OVER (ORDER BY b) - 1)::INTEGER AS fblk, lpad(hex(b::UBIGINT), 16, '0') AS begin_hex, CASE WHEN e >= 18446744073709551616 THEN 'G' ELSE lpad(hex(e::UBIGINT), 16, '0') END AS end_hex FROM pl)"""
+)
+_KV = "dst AS (SELECT c_custkey AS key, round(c_acctbal / 100, 2) AS value FROM customer), src AS (SELECT o_custkey AS key, count(*)::DOUBLE AS value FROM orders WHERE o_custkey % 3 <> 1 GROUP BY 1)"
+_OPS = {"assign": "{1}", "plus": "{0} + {1}", "minus": "{0} - {1}", "times": "{0} * {1}", "divide": "{0} / nullif({1}, 0)"}
+SQL = {
+    "reverse_feature_id": f"WITH {_IDS} SELECT fid, {_SIGNED.format('r')} AS rev, true AS back FROM ids",
+    "encode_group_id": "SELECT event_id, (user_id * 4096 + hour(ts))::BIGINT AS fid FROM events",
+    "decode_group_id": f"WITH {_IDS} SELECT (r % 4096)::BIGINT AS grp, count(*) AS ids FROM ids GROUP BY 1",
+    "hash_mod": f"WITH {_IDS} SELECT (u % 1000)::BIGINT AS bucket, count(*) AS ids FROM ids GROUP BY 1",
+    "range_segment": "SELECT i::INTEGER AS part, (7 + floor(999996 / 9.0::DOUBLE * i))::BIGINT AS begins, (CASE WHEN i = 8 THEN 1000003 ELSE 7 + floor(999996 / 9.0::DOUBLE * (i + 1)) END)::BIGINT AS ends FROM range(9) t(i)",
+    "feature_counts": f"WITH {EVENTS} SELECT fid, cnt FROM cn",
+    "feature_counts_hashed": f"WITH {EVENTS} SELECT fid % 1000 AS fid, count(*) AS cnt FROM ev GROUP BY 1",
+    "block_counts_merged": "SELECT fid, sum(feacnt)::DOUBLE AS cnt FROM (SELECT DISTINCT blk_id, fid, feacnt FROM tile_feacnts WHERE fid IS NOT NULL AND feacnt IS NOT NULL) GROUP BY fid",
+    "tail_filter": f"WITH {EVENTS} SELECT fid, count(*) AS entries, round(sum(val), 4) AS vals FROM ev JOIN cn USING (fid) WHERE cnt > 100 GROUP BY fid",
+    "dictionary": f"WITH {_DICT} SELECT * FROM dc",
+    "localize": f"WITH {_DICT} SELECT row_id, count(*) AS entries, sum(pos)::BIGINT AS places FROM ev JOIN dc USING (fid) GROUP BY row_id",
+    "colmap": f"WITH {_DICT}, b AS (SELECT DISTINCT row_id // 500 AS blk, fid FROM ev) SELECT blk, fid, (row_number() OVER (PARTITION BY blk ORDER BY {_ORDER}) - 1)::BIGINT AS local, coalesce(pos, -1)::BIGINT AS pos FROM b LEFT JOIN dc USING (fid)",
+    "feature_group_stats": f"WITH {_SAMPLE} SELECT * FROM gs",
+    "plan_feature_blocks": f"WITH {_PLAN} SELECT * FROM pb",
+    "assign_blocks": f"WITH {_PLAN} SELECT fblk, count(*) AS ids, sum(cnt)::BIGINT AS entries FROM cn JOIN pb ON {_ORDER} >= begin_hex AND {_ORDER} < end_hex GROUP BY fblk",
+    "range_assign": f"WITH {_PLAN}, o AS (SELECT {_ORDER} AS h FROM cn) SELECT fblk AS rng, (SELECT count(*) FROM o WHERE h < begin_hex) AS first, (SELECT count(*) FROM o WHERE h < end_hex) AS past FROM pb",
+    "transpose_csc": f"WITH {EVENTS} SELECT fid, count(*)::INTEGER AS entries, min(row_id) AS first_row, max(row_id) AS last_row, round(sum(val), 4) AS vals FROM ev GROUP BY fid",
+    "minibatch_stats": f"""WITH {EVENTS}, b AS (SELECT row_id, label, (row_number() OVER (ORDER BY row_id) - 1) // 370 AS batch_id FROM rw), n AS (SELECT row_id, count(*) AS n FROM ev GROUP BY 1)
+    SELECT batch_id, count(*) AS rows, sum(label) AS labels, sum(n)::BIGINT AS entries, min(row_id) AS first_row FROM b JOIN n USING (row_id) GROUP BY batch_id""",
+    "partition_rows": f"WITH {EVENTS} SELECT row_id, 1::BIGINT AS parts FROM rw",
+    "row_block_triples": """WITH f AS (SELECT row_id, features FROM row_blocks QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY arrived_at) = 1), t AS (SELECT row_id, unnest(features) AS x FROM f)
+    SELECT row_id, count(*) AS entries, round(sum(coalesce(x.val, 1.0)), 6) AS vals FROM t WHERE x.idx IS NOT NULL GROUP BY row_id""",
+    "kv_match_vectors": f"WITH {_KV} SELECT key, round(dst.value + coalesce(src.value, 0), 4) AS v0, round(2 * dst.value + coalesce(2 * src.value, 0), 4) AS v1, src.key IS NOT NULL AS matched FROM dst LEFT JOIN src USING (key)",
+    "kv_match_ragged": f"WITH {_KV} SELECT key, coalesce(src.value, 0)::INTEGER AS length, coalesce(src.value * (src.value + 1) / 2 * 1.5, 0)::DOUBLE AS total FROM dst LEFT JOIN src USING (key)",
+    "find_position": f"WITH {_KV}, s AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM src) SELECT key, coalesce(pos, -1)::BIGINT AS pos FROM dst LEFT JOIN s USING (key)",
+    "push_pull": f"""WITH {_KV}, m AS (SELECT coalesce(dst.key, src.key) AS fid, round(coalesce(dst.value, 0) + coalesce(src.value, 0), 4) AS value FROM dst FULL JOIN src ON dst.key = src.key)
+    SELECT fid, value FROM (SELECT DISTINCT o_custkey + 10 AS fid FROM orders WHERE o_orderkey % 7 = 0) LEFT JOIN m USING (fid)""",
+    "libsvm_text": f"WITH {EVENTS}, t AS (SELECT row_id, label, string_agg(fid::VARCHAR || ':' || CASE WHEN val = floor(val) THEN val::BIGINT::VARCHAR ELSE val::VARCHAR END, ' ' ORDER BY fid % 4096) AS l FROM ev GROUP BY row_id, label) SELECT label::BIGINT::VARCHAR || ' ' || l AS value FROM t",
+    "windowed_group_counts": f"""WITH {EVENTS} SELECT (epoch_us(ts) // 300000000 * 300000000)::BIGINT AS begins, fid & 4095 AS grp, count(*) AS nnz FROM ev JOIN events ON row_id = event_id GROUP BY 1, 2""",
+}
+SQL |= {f"kv_match_{op}": f"WITH {_KV} SELECT key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format('dst.value', 'src.value')} END, 8) AS value, src.key IS NOT NULL AS matched FROM dst LEFT JOIN src USING (key)" for op in OPS}
+SQL |= {
+    f"kv_union_{op}": f"""WITH {_KV}, few AS (SELECT * FROM dst WHERE key % 5 <> 2)
+    SELECT coalesce(few.key, src.key) AS key, round(CASE WHEN src.key IS NULL THEN few.value ELSE {_OPS[op].format("coalesce(few.value, 0.0)", "src.value")} END, 8) AS value FROM few FULL JOIN src ON few.key = src.key"""
+    for op in OPS
+}

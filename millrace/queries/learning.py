@@ -1,2 +1,332 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of sparse products, losses, measures, update rules and solvers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import scalars as S
+from millrace.operators import features as X
+from millrace.operators import linalg, metrics, updates
+from millrace.operators.losses import gradient, gradient_and_curvature, margins, shifted_margins
+from millrace.params import BCDLearn, BCDUpdate, LBFGSLearn, LBFGSUpdate, SGDLearn, SGDUpdate
+from millrace.plans import model as keep
+from millrace.plans.bcd import train_bcd
+from millrace.plans.lbfgs import train_lbfgs
+from millrace.plans.sgd import train_sgd
+from millrace.queries.inputs import DIM, EVENTS, MARGINS, embedding, event_rows, events, labels, model
+from millrace.session import cut, table
+
+SGD = SGDUpdate(l1=0.5, l2=0.1, lr=0.1, V_dim=DIM, V_threshold=60, V_l2=0.01, V_lr=0.1)
+BCD = BCDUpdate(l1=1.0, lr=0.9)
+NO_LIMIT = updates.random_vector(0)
+
+
+def _r(c, n=6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def _places(c: str, name: str, n: int = 6) -> list:
+    return [F.round(F.get(c, F.lit(j)), n).alias(f"{name}{j}") for j in range(DIM)]
+
+
+def _lin(spark, d):
+    return margins(events(spark, d), labels(spark, d), model(spark, d))
+
+
+def _fm(spark, d):
+    return margins(events(spark, d), labels(spark, d), model(spark, d), DIM)
+
+
+def spmv(spark, d):
+    return linalg.times(events(spark, d), model(spark, d).select("fid", F.col("w").alias("x"))).select("row_id", _r("y").alias("y"))
+
+
+def spmv_trans(spark, d):
+    x = labels(spark, d).select("row_id", (F.pmod("row_id", F.lit(7)) - 3).cast("double").alias("x"))
+    return linalg.times(events(spark, d), x, "row_id", "fid").select("fid", _r("y", 4).alias("y"))
+
+
+def spmv_add(spark, d):
+    """The product added to what each row had."""
+    start = labels(spark, d).select("row_id", (F.col("label") * 2 - 1).alias("y"))
+    return linalg.times(events(spark, d), model(spark, d).filter("cnt > 100").select("fid", F.col("w").alias("x")), add=start).select("row_id", _r("y").alias("y"))
+
+
+def spmm(spark, d):
+    return linalg.times_columns(events(spark, d), model(spark, d).select("fid", F.col("v").alias("x")), DIM).select("row_id", *_places("y", "y"))
+
+
+def spmm_trans(spark, d):
+    x = labels(spark, d).select("row_id", F.array(*((F.pmod(F.col("row_id") * (j + 1), F.lit(11)) - 5).cast("double") for j in range(DIM))).alias("x"))
+    return linalg.times_columns(events(spark, d), x, DIM, "row_id", "fid").select("fid", *_places("y", "y", 4))
+
+
+def spmm_squares(spark, d):
+    return linalg.times_columns(events(spark, d), model(spark, d).select("fid", F.col("v").alias("x")), DIM, square=True).select("row_id", *_places("y", "y", 9))
+
+
+def dense_products(spark, d):
+    """Vectors of a table times one another: inner products and norms of neighbours."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return both.select("vec_id", _r(S.inner("a", "b")).alias("dot"), _r(S.squared_norm("a")).alias("norm"), _r(S.squared_norm(S.axpy(2.0, "a", "b"))).alias("sum_norm"), _r(S.squared_norm(S.scaled(3.0, "b"))).alias("scaled_norm"))
+
+
+def logit_predict(spark, d):
+    return _lin(spark, d).select("row_id", "label", _r("margin").alias("margin"))
+
+
+def logit_loss(spark, d):
+    return _lin(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), _r(metrics.objective(), 3).alias("loss"), _r(F.sum(S.dual("label", "margin")), 3).alias("dual"))
+
+
+def logit_grad(spark, d):
+    return gradient(events(spark, d), _lin(spark, d)).select("fid", _r("g", 4).alias("g"))
+
+
+def logit_hess(spark, d):
+    return gradient_and_curvature(events(spark, d), _lin(spark, d)).select("fid", _r("g", 4).alias("g"), _r("h", 4).alias("h"))
+
+
+def logit_delta(spark, d):
+    """Margins moved by a change of some weights."""
+    steps = model(spark, d).select("fid", F.when(F.col("cnt") > 100, F.col("w") / 4).otherwise(0.0).alias("d"))
+    return shifted_margins(events(spark, d), _lin(spark, d), steps).select("row_id", _r("margin").alias("margin"))
+
+
+def fm_predict(spark, d):
+    return _fm(spark, d).select("row_id", "label", _r("margin", 9).alias("margin"), *_places("xv", "xv"))
+
+
+def fm_loss(spark, d):
+    return _fm(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), _r(metrics.objective(), 3).alias("loss"))
+
+
+def fm_grad(spark, d):
+    return gradient(events(spark, d), _fm(spark, d), model(spark, d), DIM).select("fid", _r("g", 4).alias("g"), *_places("gv", "g", 4))
+
+
+def scalar_functions(spark, d):
+    """Clamps, powers, thresholds and radii of rounded values."""
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.round(F.col("c_acctbal") / 100, 2).alias("x"))
+    return x.select("key", S.clamp_margin("x", 4).alias("margin"), S.clamp_margin("x", 0).alias("as_is"), S.clamp("x", 5.0).alias("step"), _r(S.power_gradient("x", 0.5)).alias("power"), _r(S.soft_threshold("x", 10.0, F.lit(2.0))).alias("soft"), _r(S.trust_radius(F.col("x") / 10)).alias("radius"), _r(S.chance("x"), 8).alias("chance"), S.label_sign("x").alias("sign"), _r(S.logistic_loss("x", F.col("x") / 10)).alias("loss"))
+
+
+def _rounded(spark, d):
+    return _lin(spark, d).withColumn("margin", F.round("margin", 6))
+
+
+def auc(spark, d):
+    return metrics.auc(_rounded(spark, d)).select("rows", _r("auc", 8).alias("auc"), _r("auc_sum", 4).alias("auc_sum"))
+
+
+def accuracy(spark, d):
+    return metrics.accuracy(_rounded(spark, d), 0.25).select("rows", "correct", "acc_sum", _r("accuracy", 8).alias("accuracy"))
+
+
+def logloss(spark, d):
+    return _lin(spark, d).agg(_r(metrics.log_loss(), 3).alias("logloss"), _r(metrics.objective(), 3).alias("objective"))
+
+
+def batch_progress(spark, d):
+    """Each batch's measures."""
+    b = _rounded(spark, d).withColumn("batch_id", F.floor(F.col("row_id") / 1000).cast("bigint"))
+    return metrics.progress(b, ["batch_id"]).select("batch_id", "rows", _r("auc_sum", 3).alias("auc_sum"), _r("loss", 3).alias("loss"))
+
+
+def merged_progress(spark, d):
+    """The measures of all batches, added up."""
+    b = _rounded(spark, d).withColumn("batch_id", F.floor(F.col("row_id") / 1000).cast("bigint"))
+    return metrics.merged(metrics.progress(b, ["batch_id"])).select("rows", _r("auc", 6).alias("auc"), _r("loss", 3).alias("loss"))
+
+
+def penalties(spark, d):
+    m = model(spark, d)
+    return m.agg(_r(metrics.penalty(0.5, 0.1, 0.01, DIM), 4).alias("sgd"), _r(metrics.penalty(0, 0.1, 0.02, DIM), 4).alias("lbfgs"), metrics.nonzero(DIM).alias("nnz"), metrics.nonzero().alias("nnz_w"))
+
+
+def _state(spark, d):
+    """A state with weights and embeddings, some steps old."""
+    m = model(spark, d)
+    return m.select("fid", F.col("cnt").cast("double").alias("cnt"), "w", F.lit(0.5).alias("s"), (F.col("w") * -2).alias("z"), "v", F.when(F.col("v").isNotNull(), F.array_repeat(F.lit(0.25), DIM)).alias("c"))
+
+
+def ftrl_first_step(spark, d):
+    """One step from a model of zeros."""
+    zero = updates.new_model(X.feature_counts(events(spark, d)), 0)
+    p = SGDUpdate(l1=1, l2=0.1, lr=0.5)
+    scored = margins(events(spark, d), labels(spark, d), zero)
+    return updates.apply_gradient(zero, gradient(events(spark, d), scored), p, NO_LIMIT).select("fid", _r("w").alias("w"), _r("s", 4).alias("s"), _r("z", 4).alias("z"))
+
+
+def ftrl_step(spark, d):
+    """A step of a model with embeddings: weights by FTRL, embeddings by AdaGrad."""
+    s = _state(spark, d)
+    scored = margins(events(spark, d), labels(spark, d), s, DIM)
+    out = updates.apply_gradient(s, gradient(events(spark, d), scored, s, DIM), SGD, NO_LIMIT).filter("v is not null")
+    return out.select("fid", _r("w", 5).alias("w"), _r("s", 4).alias("s"), _r("z", 3).alias("z"), *_places("v", "v", 5), *_places("c", "c", 4))
+
+
+def embedding_promotion(spark, d):
+    """Counts pushed again: features with a weight that are now counted often enough get an embedding."""
+    s = _state(spark, d).withColumn("w", F.when(F.pmod("fid", F.lit(3)) == 0, 0.0).otherwise(F.col("w")))
+    init = lambda fid, dim, scale: F.array_repeat(F.lit(scale), dim)
+    out = updates.add_counts(s, X.feature_counts(events(spark, d)).filter("fid % 2 = 0"), SGD, init)
+    return out.select("fid", "cnt", F.col("v").isNotNull().alias("embedded"), _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def lbfgs_dots(spark, d):
+    """Inner products of three vectors over the model's table, in one pass."""
+    m = model(spark, d).filter("v is not null").withColumn("g", F.transform("v", lambda x: x * x))
+    pairs = {"vv": ("v", "v"), "vg": ("v", "g"), "gg": ("g", "g")}
+    out = linalg.dots(m, {n: (F.col(a), F.col(b)) for n, (a, b) in pairs.items()} | {"ww": (F.col("w"), F.col("w"))})
+    return out.select(*(_r(c).alias(c) for c in out.columns))
+
+
+def lbfgs_first_direction(spark, d):
+    """Minus the gradient with its penalty, each number within 5."""
+    m = model(spark, d)
+    g = gradient(events(spark, d), _lin(spark, d)).join(m, "fid")
+    return g.select("fid", _r(S.clamp(-(F.col("g") + 0.1 * F.col("w")), 5.0), 4).alias("d"))
+
+
+def lbfgs_linesearch_trial(spark, d):
+    """Objective and slope after a step along that direction."""
+    g = cut(lbfgs_first_direction(spark, d))
+    m = model(spark, d).join(g, "fid").withColumn("w", F.col("w") + 0.01 * F.col("d"))
+    scored = margins(events(spark, d), labels(spark, d), m)
+    f = scored.agg(metrics.objective().alias("f"))
+    slope = gradient(events(spark, d), scored).join(m, "fid").agg(F.sum((F.col("g") + 0.1 * F.col("w")) * F.col("d")).alias("slope"), F.sum(0.05 * F.col("w") * F.col("w")).alias("r"))
+    return slope.select(F.lit(1).alias("k"), "slope", "r").join(f.withColumn("k", F.lit(1)), "k").select(_r(F.col("f") + F.col("r"), 3).alias("objective"), _r("slope", 2).alias("slope"))
+
+
+def bcd_block_step(spark, d):
+    """Newton steps of the features of one group, and the next radii."""
+    e = events(spark, d).filter("fid & 4095 = 1")
+    m = model(spark, d).select("fid", "w", F.lit(1.0).alias("delta"))
+    step, radius = updates.newton(p=BCD)
+    both = gradient_and_curvature(e, _lin(spark, d)).join(m, "fid")
+    return both.select("fid", _r(step).alias("d"), _r(radius).alias("delta"))
+
+
+def bcd_block_margins(spark, d):
+    """Margins after that step."""
+    e = events(spark, d).filter("fid & 4095 = 1")
+    return shifted_margins(e, _lin(spark, d), bcd_block_step(spark, d).select("fid", "d")).select("row_id", _r("margin", 8).alias("margin"))
+
+
+def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, rare features dropped, a linear model, margins, and the measures of its predictions."""
+    e = events(spark, d)
+    kept = X.frequent_features(X.feature_counts(e), 4)
+    m = kept.select("fid", ((F.pmod(F.col("fid") * 7919, F.lit(1000)) - 500) / 1000.0).alias("w"))
+    scored = margins(X.keep_features(e, kept), labels(spark, d), m).withColumn("margin", F.round("margin", 6))
+    sums = scored.agg(F.lit(1).alias("k"), F.round(metrics.objective(), 3).alias("loss"), metrics.correct().alias("correct"))
+    return metrics.auc(scored).withColumn("k", F.lit(1)).join(sums, "k").select("rows", "loss", "correct", F.round("auc", 8).alias("auc"))
+
+
+def _history(spark, out):
+    rows = [{k: float(v) if v is not None else None for k, v in h.items()} for h in out.history]
+    names = sorted({k for r in rows for k in r})
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"{n} double" for n in names))
+
+
+def sgd_train(spark, d):
+    """Epochs of FTRL with embeddings over all examples, validated on every tenth."""
+    rows = event_rows(spark, d)
+    val = rows.filter("row_id % 10 = 0")
+    return _history(spark, train_sgd(rows.filter("row_id % 10 <> 0"), SGDLearn(max_num_epochs=3, stop_rel_objv=-1, stop_val_auc=-1), SGDUpdate(l1=0.1, lr=0.5, V_dim=2, V_threshold=20), val))
+
+
+def lbfgs_train(spark, d):
+    return _history(spark, train_lbfgs(event_rows(spark, d), LBFGSLearn(max_num_epochs=3), LBFGSUpdate(V_dim=2, m=3)))
+
+
+def bcd_train(spark, d):
+    return _history(spark, train_bcd(event_rows(spark, d), BCDLearn(max_num_epochs=1, num_feature_group_bits=12, block_ratio=1), BCDUpdate(l1=0.5)))
+
+
+def model_roundtrip(spark, d):
+    """A trained model written, read again and used: the largest difference of its predictions."""
+    import tempfile
+
+    from millrace.session import shared_checkpoints
+
+    rows = event_rows(spark, d)
+    out = train_sgd(rows, SGDLearn(max_num_epochs=1), SGDUpdate(l1=0.1, lr=0.5))
+    shared_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/model-{next(tempfile._get_candidate_names())}"
+    keep.save_model(out, folder)
+    a, b = keep.predict(rows, out), keep.predict(rows, keep.load_model(spark, folder))
+    return a.join(b.select("row_id", F.col("margin").alias("again")), "row_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("margin") - F.col("again"))).alias("differs"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        event_pipeline, spmv, spmv_trans, spmv_add, spmm, spmm_trans, spmm_squares, dense_products, logit_predict, logit_loss, logit_grad, logit_hess, logit_delta, fm_predict, fm_loss, fm_grad, scalar_functions, auc, accuracy, logloss,
+        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, lbfgs_dots, lbfgs_first_direction, lbfgs_linesearch_trial, bcd_block_step, bcd_block_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
+    )
+}
+
+_J = range(DIM)
+_AUC = """SELECT sum(pos + neg)::BIGINT AS rows, sum(neg * (below + pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS wrong
+    FROM (SELECT *, sum(pos) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING) - pos AS below FROM (SELECT round(margin, 6) AS m, count(*) FILTER (label > 0) AS pos, count(*) FILTER (label <= 0) AS neg FROM {0} GROUP BY 1))"""
+_LOSS = "greatest(-{0} * margin, 0) + ln(1 + exp(-abs(margin)))"
+_STEP = """g AS (SELECT fid, sum(val * p) AS g, sum(val * val * -p * (y + p)) AS h FROM ev JOIN ls USING (row_id) WHERE fid & 4095 = 1 GROUP BY fid),
+u AS (SELECT fid, g, h / 0.9 + 1e-10 AS u, w FROM g JOIN md USING (fid)),
+st AS (SELECT fid, greatest(least(CASE WHEN g + 1 <= u * w THEN -(g + 1) / u WHEN g - 1 >= u * w THEN -(g - 1) / u ELSE -w END, 1.0), -1.0)::DOUBLE AS d FROM u)"""
+_DIR = "gd AS (SELECT fid, w, round(greatest(least(-(sum(val * p) + 0.1 * w), 5.0), -5.0), 4)::DOUBLE AS d FROM ev JOIN ls USING (row_id) JOIN md USING (fid) GROUP BY fid, w)"
+
+
+def _batches(by: str) -> str:
+    return f"""b AS (SELECT *, row_id // 1000 AS batch_id, round(margin, 6) AS m FROM ly),
+    c AS (SELECT batch_id, m, count(*) FILTER (label > 0) AS pos, count(*) FILTER (label <= 0) AS neg FROM b GROUP BY 1, 2),
+    k AS (SELECT *, sum(pos) OVER (PARTITION BY batch_id ORDER BY m ROWS UNBOUNDED PRECEDING) - pos AS below FROM c),
+    a AS (SELECT batch_id, sum(pos + neg)::BIGINT AS rows, sum(neg * (below + pos / 2.0::DOUBLE)) / nullif(sum(pos) * sum(neg), 0) AS wrong FROM k GROUP BY 1),
+    l AS (SELECT batch_id, sum({_LOSS.format('y').replace('margin', 'm')}) AS loss FROM b GROUP BY 1),
+    pr AS (SELECT batch_id, rows, coalesce(rows * greatest(wrong, 1 - wrong), 1.0)::DOUBLE AS auc_sum, loss FROM a JOIN l USING (batch_id))"""
+
+
+_W = "s2 AS (SELECT *, sqrt(s * s + gs * gs) AS s_new FROM s1), s3 AS (SELECT *, z - (gs - (s_new - s) / {lr} * w) AS z_new FROM s2), s4 AS (SELECT *, CASE WHEN abs(z_new) <= {l1} THEN 0.0 ELSE (z_new - sign(z_new) * {l1}) * {lr} / (1 + s_new) END::DOUBLE AS w_new FROM s3)"
+SQL = {
+    "event_pipeline": f"""WITH {EVENTS}, sc AS (SELECT rw.row_id, rw.label, round(coalesce(sum(val * w), 0.0), 6) AS margin FROM rw LEFT JOIN (SELECT ev.row_id, val, w FROM ev JOIN md USING (fid) WHERE cnt > 4) e ON rw.row_id = e.row_id GROUP BY 1, 2),
+    a AS ({_AUC.format('sc')}) SELECT rows, (SELECT round(sum({_LOSS.format('(CASE WHEN label > 0 THEN 1 ELSE -1 END)')}), 3) FROM sc) AS loss, (SELECT count(*) FROM sc WHERE (label > 0) = (margin > 0)) AS correct, round(1 - wrong, 8) AS auc FROM a""",
+    "spmv": f"WITH {EVENTS} SELECT row_id, round(sum(val * w), 6) AS y FROM ev JOIN md USING (fid) WHERE w <> 0 GROUP BY row_id",
+    "spmv_trans": f"WITH {EVENTS} SELECT fid, round(sum(val * (row_id % 7 - 3)), 4) AS y FROM ev WHERE row_id % 7 <> 3 GROUP BY fid",
+    "spmv_add": f"WITH {EVENTS}, p AS (SELECT row_id, sum(val * w) AS y FROM ev JOIN md USING (fid) WHERE cnt > 100 GROUP BY row_id) SELECT row_id, round(label * 2 - 1 + coalesce(y, 0), 6) AS y FROM rw LEFT JOIN p USING (row_id)",
+    "spmm": f"WITH {EVENTS} SELECT row_id, " + ", ".join(f"round(sum(val * v{j}), 6) AS y{j}" for j in _J) + " FROM ev JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY row_id",
+    "spmm_trans": f"WITH {EVENTS} SELECT fid, " + ", ".join(f"round(sum(val * ((row_id * {j + 1}) % 11 - 5)), 4) AS y{j}" for j in _J) + " FROM ev GROUP BY fid",
+    "spmm_squares": f"WITH {EVENTS} SELECT row_id, " + ", ".join(f"round(sum(val * val * v{j} * v{j}), 9) AS y{j}" for j in _J) + " FROM ev JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY row_id",
+    "dense_products": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings) SELECT x.vec_id, round(list_dot_product(x.a, y.a), 6) AS dot, round(list_dot_product(x.a, x.a), 6) AS norm,
+    round(4 * list_dot_product(x.a, x.a) + 4 * list_dot_product(x.a, y.a) + list_dot_product(y.a, y.a), 6) AS sum_norm, round(9 * list_dot_product(y.a, y.a), 6) AS scaled_norm FROM e x JOIN e y ON x.vec_id = y.vec_id - 1""",
+    "logit_predict": f"WITH {MARGINS} SELECT row_id, label, round(margin, 6) AS margin FROM lm",
+    "logit_loss": f"WITH {MARGINS} SELECT label, count(*) AS rows, round(sum({_LOSS.format('y')}), 3) AS loss, round(sum(p), 3) AS dual FROM ls GROUP BY label",
+    "logit_grad": f"WITH {MARGINS} SELECT fid, round(sum(val * p), 4) AS g FROM ev JOIN ls USING (row_id) GROUP BY fid",
+    "logit_hess": f"WITH {MARGINS} SELECT fid, round(sum(val * p), 4) AS g, round(sum(val * val * -p * (y + p)), 4) AS h FROM ev JOIN ls USING (row_id) GROUP BY fid",
+    "logit_delta": f"WITH {MARGINS}, c AS (SELECT row_id, sum(val * w / 4) AS c FROM ev JOIN md USING (fid) WHERE cnt > 100 GROUP BY row_id) SELECT row_id, round(margin + coalesce(c, 0), 6) AS margin FROM lm LEFT JOIN c USING (row_id)",
+    "fm_predict": f"WITH {MARGINS} SELECT row_id, label, round(margin, 9) AS margin, " + ", ".join(f"round(s{j}, 6) AS xv{j}" for j in _J) + " FROM fm",
+    "fm_loss": f"WITH {MARGINS} SELECT label, count(*) AS rows, round(sum({_LOSS.format('(CASE WHEN label > 0 THEN 1 ELSE -1 END)')}), 3) AS loss FROM fm GROUP BY label",
+    "fm_grad": f"WITH {MARGINS} SELECT fid, round(sum(val * p), 4) AS g, " + ", ".join(f"round(sum(val * p * s{j}) - any_value(v{j}) * sum(val * val * p), 4) AS g{j}" for j in _J) + " FROM ev JOIN fs USING (row_id) JOIN md USING (fid) GROUP BY fid",
+    "scalar_functions": """WITH c AS (SELECT c_custkey AS key, round(c_acctbal / 100, 2) AS x FROM customer) SELECT key, greatest(least(x, 20), -20)::DOUBLE AS margin, x AS as_is, greatest(least(x, 5), -5)::DOUBLE AS step, round(sign(x) * sqrt(abs(x)), 6) AS power,
+    round(CASE WHEN abs(x) <= 10 THEN 0 ELSE (x - sign(x) * 10) / 2 END, 6)::DOUBLE AS soft, round(least(5, 2 * abs(x / 10) + 0.1), 6)::DOUBLE AS radius, round(greatest(1 / (1 + exp(-x)), 1e-10), 8) AS chance, (CASE WHEN x > 0 THEN 1 ELSE -1 END)::DOUBLE AS sign,
+    round(greatest(-(CASE WHEN x > 0 THEN 1 ELSE -1 END) * x / 10, 0) + ln(1 + exp(-abs(x / 10))), 6) AS loss FROM c""",
+    "auc": f"WITH {MARGINS}, a AS ({_AUC.format('lm')}) SELECT rows, round(1 - wrong, 8) AS auc, round(rows * greatest(wrong, 1 - wrong), 4) AS auc_sum FROM a",
+    "accuracy": f"WITH {MARGINS}, c AS (SELECT count(*) AS rows, count(*) FILTER ((label > 0) = (round(margin, 6) > 0.25)) AS correct FROM lm) SELECT rows, correct, greatest(correct, rows - correct) AS acc_sum, round(correct / rows::DOUBLE, 8) AS accuracy FROM c",
+    "logloss": f"WITH {MARGINS} SELECT round(sum(CASE WHEN label > 0 THEN -ln(greatest(1 / (1 + exp(-margin)), 1e-10)) ELSE -ln(1 - greatest(1 / (1 + exp(-margin)), 1e-10)) END), 3) AS logloss, round(sum({_LOSS.format('y')}), 3) AS objective FROM ly",
+    "batch_progress": f"WITH {MARGINS}, {_batches('batch_id')} SELECT batch_id, rows, round(auc_sum, 3) AS auc_sum, round(loss, 3) AS loss FROM pr",
+    "merged_progress": f"WITH {MARGINS}, {_batches('batch_id')} SELECT sum(rows)::BIGINT AS rows, round(sum(auc_sum) / sum(rows), 6) AS auc, round(sum(loss), 3) AS loss FROM pr",
+    "penalties": f"WITH {EVENTS}, q AS (SELECT *, coalesce(v0 * v0 + v1 * v1 + v2 * v2 + v3 * v3, 0) AS vv, " + " + ".join(f"coalesce((v{j} <> 0)::INTEGER, 0)" for j in _J) + " AS nv FROM md) SELECT round(sum(0.5 * abs(w) + 0.05 * w * w + 0.005 * vv), 4) AS sgd, round(sum(0.05 * w * w + 0.01 * vv), 4) AS lbfgs, sum((w <> 0)::INTEGER + nv)::BIGINT AS nnz, sum((w <> 0)::INTEGER)::BIGINT AS nnz_w FROM q",
+    "ftrl_first_step": f"""WITH {EVENTS}, s1 AS (SELECT fid, sum(val * CASE WHEN label > 0 THEN -0.5 ELSE 0.5 END) AS gs, 0.0::DOUBLE AS s, 0.0::DOUBLE AS z, 0.0::DOUBLE AS w FROM ev GROUP BY fid), {_W.format(lr='0.5', l1='1')}
+    SELECT fid, round(w_new, 6) AS w, round(s_new, 4) AS s, round(z_new, 4) AS z FROM s4""",
+    "ftrl_step": f"WITH {MARGINS}, gr AS (SELECT fid, any_value(w) AS w, " + ", ".join(f"any_value(v{j}) AS v{j}, sum(val * p * s{j}) - any_value(v{j}) * sum(val * val * p) + 0.01 * any_value(v{j}) AS g{j}" for j in _J) + f", sum(val * p) + 0.1 * any_value(w) AS gs, 0.5::DOUBLE AS s, -2 * any_value(w) AS z FROM ev JOIN fs USING (row_id) JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY fid), s1 AS (SELECT * FROM gr), {_W.format(lr='0.1', l1='0.5')} SELECT fid, round(w_new, 5) AS w, round(s_new, 4) AS s, round(z_new, 3) AS z, " + ", ".join(f"round(v{j} - 0.1 / (sqrt(0.0625 + g{j} * g{j}) + 1) * g{j}, 5) AS v{j}, round(sqrt(0.0625 + g{j} * g{j}), 4) AS c{j}" for j in _J) + " FROM s4",
+    "embedding_promotion": f"WITH {EVENTS}, n AS (SELECT fid, v0, CASE WHEN fid % 3 = 0 THEN 0 ELSE w END AS w, (cnt + CASE WHEN fid % 2 = 0 THEN cnt ELSE 0 END)::DOUBLE AS cnt, v0 + v1 + v2 + v3 AS t FROM md) SELECT fid, cnt, v0 IS NOT NULL OR (cnt > 60 AND w <> 0) AS embedded, round(CASE WHEN v0 IS NOT NULL THEN t WHEN cnt > 60 AND w <> 0 THEN 0.04 END, 6) AS total FROM n",
+    "lbfgs_dots": f"WITH {EVENTS} SELECT round(sum(" + " + ".join(f"v{j} * v{j}" for j in _J) + "), 6) AS vv, round(sum(" + " + ".join(f"v{j} * v{j} * v{j}" for j in _J) + "), 6) AS vg, round(sum(" + " + ".join(f"v{j} * v{j} * v{j} * v{j}" for j in _J) + "), 6) AS gg, round(sum(w * w), 6) AS ww FROM md WHERE v0 IS NOT NULL",
+    "lbfgs_first_direction": f"WITH {MARGINS}, {_DIR} SELECT fid, d FROM gd",
+    "lbfgs_linesearch_trial": f"""WITH {MARGINS}, {_DIR}, m2 AS (SELECT fid, d, w + 0.01 * d AS w FROM gd),
+    sc AS (SELECT row_id, label, CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS y, sum(val * m2.w) AS margin FROM ev JOIN m2 USING (fid) GROUP BY row_id, label), g2 AS (SELECT fid, sum(val * -y / (1 + exp(y * margin))) AS g FROM ev JOIN sc USING (row_id) GROUP BY fid)
+    SELECT round((SELECT sum({_LOSS.format('y')}) FROM sc) + sum(0.05 * w * w), 3) AS objective, round(sum((g + 0.1 * w) * d), 2) AS slope FROM g2 JOIN m2 USING (fid)""",
+    "bcd_block_step": f"WITH {MARGINS}, {_STEP} SELECT fid, round(d, 6) AS d, round(least(5, 2 * abs(d) + 0.1), 6) AS delta FROM st",
+    "bcd_block_margins": f"WITH {MARGINS}, {_STEP}, c AS (SELECT row_id, sum(val * round(d, 6)) AS c FROM ev JOIN st USING (fid) GROUP BY row_id) SELECT row_id, round(margin + coalesce(c, 0), 8) AS margin FROM lm LEFT JOIN c USING (row_id)",
+}
