@@ -291,7 +291,7 @@ def _model(docs: DataFrame, labels: DataFrame, terms: list[str], judged: int) ->
         weights, strong, known = learn(whole["text"].tolist(), whole["toxic"].to_numpy(float), terms)
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "strong": [strong], "known": [known.tobytes()]})
 
-    row = rows.coalesce(1).mapInPandas(fit, "weights binary, strong array<string>, known binary").collect()
+    row = rows.repartition(1).mapInPandas(fit, "weights binary, strong array<string>, known binary").collect()
     if row:
         return bytes(row[0].weights), list(row[0].strong), bytes(row[0].known)
     weights, strong, known = learn([], np.empty(0), terms)
