@@ -14,7 +14,7 @@ from millrace.llm.frequency import distinct_count, marked, term_counts
 from millrace.llm.frequent import at_least, top_values
 from millrace.llm.overlap import overlap, report, row_pairs
 from millrace.llm.packing import SHARE, pack
-from millrace.session import table
+from millrace.session import cut, table
 
 RARE = 4
 
@@ -78,12 +78,11 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every text's place for each limit: limit_id, container, doc_id, piece, first (token), tokens."""
     limits = [r for r in table(spark, d, "pack_limits").select("limit_id", "tokenizer", "capacity").collect() if None not in r]  # a fixed table of three rows
-    docs = table(spark, d, "documents")
     names = sorted({r.tokenizer for r in limits})
-    sized = token_counts(docs, "doc_id", "text", names)
+    sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", names))  # an id and some numbers a text, which are used twice
     each = F.explode(F.array(*(F.struct(F.lit(r.limit_id).cast("bigint").alias("limit_id"), F.col(r.tokenizer).alias("tokens"), F.lit(r.capacity).alias("capacity")) for r in limits))).alias("x")
     items = sized.select("doc_id", each).select("doc_id", "x.*")
-    out = pack(items, "doc_id", "tokens", F.col("capacity"), "limit_id", max(1, round(docs.count() / SHARE)))
+    out = pack(items, "doc_id", "tokens", F.col("capacity"), "limit_id", max(1, round(sized.count() / SHARE)))
     return out.select(F.col("group").alias("limit_id"), "container", F.col("key").alias("doc_id"), "piece", "first", F.col("size").alias("tokens"))
 
 
