@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import axpy, power_gradient
+from millrace.functions.scalars import axpy, power_gradient, scaled
 from millrace.operators.features import feature_counts, frequent_features, keep_features, triples
 from millrace.operators.linalg import dots
 from millrace.operators.losses import gradient, loss_settings, margins
@@ -43,7 +43,7 @@ def direction(columns: dict[str, float]):
     """Their weighted sum, of array columns."""
     out = None
     for name, weight in columns.items():
-        out = F.transform(name, lambda x, w=weight: x * w) if out is None else axpy(float(weight), name, out)
+        out = scaled(weight, name) if out is None else axpy(float(weight), name, out)
     return out
 
 
@@ -108,7 +108,7 @@ def train_lbfgs(rows: DataFrame, learn: LBFGSLearn = LBFGSLearn(), update: LBFGS
     for epoch in range(learn.max_num_epochs):
         if epoch:
             y.append(f"y{epoch}")
-            model = model.withColumn(y[-1], axpy(-1.0, "g_before", "g")).withColumn(s[-1], F.transform(s[-1], lambda x, a=alpha: x * a))
+            model = model.withColumn(y[-1], axpy(-1.0, "g_before", "g")).withColumn(s[-1], scaled(alpha, s[-1]))
             if len(y) > update.m:
                 model = model.drop(y.pop(0))
             model = cut(model)

@@ -1,0 +1,54 @@
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from millrace.operators.hotkeys import eager_join, key_state, overloaded
+
+LEFT = [(1, 10, 1.0), (1, 10, None), (1, 11, 2.0), (None, 10, 3.0), (None, None, 1.0), (2, 12, None), (0, 1, 4.0)]
+RIGHT = [(1, 0, 0.5), (None, 0, None), (3, 1, 1.0), (3, 1, 1.0)]
+
+
+def brute(rows, default):
+    out = defaultdict(lambda: [0, set(), 0.0])
+    for k, g, v in rows:
+        s = out[k]
+        s[0] += 1
+        s[1] |= {g} - {None}
+        v = default if v is None else v
+        s[2] += v or 0.0
+    return {k: (n, len(g), t) for k, (n, g, t) in out.items()}
+
+
+def states(spark, left=LEFT, right=RIGHT):
+    schema = "fid bigint, part int, v double, key int, rows string"
+    make = lambda rows: spark.createDataFrame([(*r, 7, "x") for r in rows], schema)
+    return key_state(make(left), "fid", "part", "v", 1.0), key_state(make(right), "fid", "part", "v")
+
+
+def test_states_and_join(spark):
+    a, b = states(spark)
+    l, r = brute(LEFT, 1.0), brute(RIGHT, None)
+    got = {x.key: x for x in eager_join(a, b).collect()}
+    assert got.keys() == l.keys() | r.keys()
+    for k, x in got.items():
+        n, g, t = l.get(k, (0, 0, 0.0))
+        m, h, u = r.get(k, (0, 0, 0.0))
+        assert (x.left_rows, x.left_groups, x.left_total, x.right_rows, x.right_groups, x.right_total) == (n, g, t, m, h, u)
+        assert (int(x.pairs), x.left_pair_total, x.right_pair_total) == (n * m, t * m, u * n)
+
+
+def test_overloaded_and_empty(spark):
+    a, b = states(spark)
+    found = overloaded(eager_join(a, b), {"l": ("left", F.lit(5)), "r": ("right", F.lit(3))}, 0.5)
+    assert sorted((x.field, x.key) for x in found.collect()) == [("l", 1), ("r", 3)]
+    a, b = states(spark, [], [])
+    assert eager_join(a, b).count() == 0
+
+
+def test_one_key_with_most_rows(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(5).alias("fid"), (F.col("id") % 10).alias("part"), F.lit(1.0).alias("v"))
+    s = key_state(rows, "fid", "part", "v")
+    top = s.orderBy(F.desc("rows")).first()
+    assert (top.key, top.rows, top.groups) == (5, 13333, 10)
+    plan = s._jdf.queryExecution().toString()
+    assert "partial_sum" in plan and "partial_count" in plan

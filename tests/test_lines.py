@@ -1,0 +1,77 @@
+import random
+
+from brute import fields, reason
+from pyspark.sql import functions as F
+
+from millrace.sources.lines import examples, parse_lines, rejects
+
+SCHEMA = "line_id bigint, file_name string, fmt string, raw string"
+PARTS = ["", "1", "-1", "+2.5", "1e3", "1e999", "5.", ".5", ".", "nan", "0x1", "12:3", "12:", "12", ":", "a:1", "18446744073709551615:1", "18446744073709551616", "7:4095", "7:4096", "7:07", "١:1", '"', '""', '"a"', 'x"y', "e8369e47", "ae8369e4\x01", "é" * 8, "123456789", "-9223372036854775808", "9223372036854775808", " ", "\r", "\n"]
+
+
+def judged(spark, rows):
+    df = spark.createDataFrame([(i, "f", fmt, raw) for i, (fmt, raw) in enumerate(rows)], SCHEMA)
+    return {r.line_id: r for r in parse_lines(df).collect()}
+
+
+def check(spark, rows):
+    out = judged(spark, rows)
+    assert len(out) == len(rows)
+    for i, (fmt, raw) in enumerate(rows):
+        assert out[i].reason == reason(fmt, raw), (fmt, raw)
+        assert (out[i].features is None) == (out[i].reason is not None)
+        assert out[i].raw == raw
+    return out
+
+
+def test_named_cases(spark):
+    wide = "\t".join(["1", *["3"] * 13, *["abcdefgh"] * 26])
+    rows = [
+        ("libsvm", None), ("libsvm", ""), ("libsvm", " \t\r\n"), ("libsvm", "1"), ("libsvm", "1 2:3 4"), ("libsvm", "1 2:3:4"), ("libsvm", "x 2:3"), ("libsvm", "1 2:x"), ("libsvm", "1 y:x"), ("libsvm", '1 "2:x'), ("libsvm", "1 2:"),
+        ("adfea", "9 2 1 3:4 5:6"), ("adfea", "9 3 1 3:4 5:6"), ("adfea", "9 2"), ("adfea", "9 02 0 3:4 5:6\r"), ("adfea", "9 1 2 3:4"), ("adfea", "9 1 1 3"), ("adfea", "9 0 1"), ("adfea", "9 1 1 3:4096"), ("adfea", "9 00 1"),
+        ("criteo", wide), ("criteo", wide + "\r\n"), ("criteo", wide + "\t"), ("criteo_test", wide), ("criteo_test", wide[2:]), ("criteo", wide.replace("abcdefgh", '"abc\tefgh"')), ("criteo", wide.replace("abcdefgh", '"abc""efgh"')),
+        ("criteo", wide.replace("abcdefgh", '"abcdefgh"x')), ("criteo", wide.replace("abcdefgh", '"abcdefgh')), ("criteo", wide.replace("3", "", 3)), ("criteo", "\t" * 39), ("criteo_test", "\t" * 38), ("criteo_test", '""' + "\t" * 38), ("other", "1 2:3"), (None, "1"),
+    ]
+    out = check(spark, rows)
+    assert [(x.idx, x.val) for x in out[4].features] == [(2, 3.0), (4, None)]
+    assert out[11].features[0].idx == (3 << 12) | 4
+    assert len(out[20].features) == 39 and out[20].label == 1.0
+
+
+def test_random_lines(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(1500):
+        fmt = r.choice(["libsvm", "adfea", "criteo", "criteo_test"])
+        if fmt in ("libsvm", "adfea"):
+            n = r.randint(0, 6)
+            body = [r.choice(PARTS) for _ in range(n)]
+            rows.append((fmt, r.choice([" ", "\t", "  "]).join(["1", *([str(n - r.choice([0, 0, 1])), "1"] if fmt == "adfea" else []), *body])))
+        else:
+            f = [r.choice(["1", "0", r.choice(PARTS)]) if fmt == "criteo" else None, *[r.choice(["", "4", r.choice(PARTS)]) if r.random() < 0.1 else "7" for _ in range(13)], *[r.choice(["", '"a\tb""cde"', '"12345678"', r.choice(PARTS)]) if r.random() < 0.1 else "abcdefgh" for _ in range(26)]]
+            f = [x for x in f if x is not None]
+            if r.random() < 0.1:
+                f.pop()
+            rows.append((fmt, "\t".join(f) + r.choice(["", "\r", "\n", "\t"] if r.random() < 0.2 else [""])))
+    check(spark, rows)
+
+
+def test_long_lines(spark):
+    tabs, items = "\t" * 60_000, " ".join(f"{i}:1" for i in range(60_000))
+    out = check(spark, [("criteo", tabs), ("criteo", '"' + tabs + '"'), ("criteo", '"' * 60_000), ("criteo", "\t".join(["1"] + [""] * 38 + ['"' + "a\t" * 30_000 + '"'])), ("libsvm", "1 " + items), ("adfea", "1 60000 1 " + items), ("libsvm", "9" * 100_000), ("libsvm", "1 " + "9" * 100_000)])
+    assert len(out[4].features) == 60_000
+
+
+def test_fields_survive_quotes_and_line_ends(spark):
+    token = 'a\rb\n\x01""cd'
+    line = "\t".join(["1", *["3"] * 13, f'"{token}"', *["abcdefgh"] * 25])
+    assert len(fields(line)[14]) == 8
+    check(spark, [("criteo", line)])
+
+
+def test_empty_table_extra_columns_and_repeats(spark):
+    df = spark.createDataFrame([(1, "f", "libsvm", "1 2:3", "x", 5)] * 3, SCHEMA + ", reason string, features int")
+    assert examples(parse_lines(df)).count() == 3
+    assert parse_lines(df.limit(0)).count() == 0
+    bad = df.withColumn("raw", F.lit("?"))
+    assert [tuple(r) for r in rejects(parse_lines(bad)).distinct().collect()] == [(1, "f", "libsvm", "label", "?")]
