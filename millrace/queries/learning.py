@@ -259,7 +259,7 @@ def model_roundtrip(spark, d):
     folder = f"{spark.sparkContext.getCheckpointDir()}/model-{next(tempfile._get_candidate_names())}"
     keep.save_model(out, folder)
     a, b = keep.predict(rows, out), keep.predict(rows, keep.load_model(spark, folder))
-    return a.join(b.select("row_id", F.col("margin").alias("again")), "row_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("margin") - F.col("again"))).alias("differs"))
+    return a.join(b.select("row_id", F.col("margin").alias("again")), "row_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("margin") - F.col("again"))), 9).alias("differs"))
 
 
 QUERIES = {
