@@ -15,6 +15,8 @@ from millrace.session import cut
 #: An id held by at least so large a share of the sets is a frequent one. There are at most (mean set size) / HOT of them, which bounds what is broadcast.
 HOT = 1 / 500
 SID = ["s1", "s2"]
+#: Symbols that are verified at once in a worker, about.
+CELLS = 1_000_000
 
 
 @dataclass
@@ -45,33 +47,40 @@ def segments(n: Column, least: float) -> Column:
 
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Insertions and deletions that turn a[i] into b[i]; where they are more than most[i], a number above it. One band of the table is kept, for all pairs at once."""
+    """Insertions and deletions that turn a[i] into b[i]; where they are more than most[i], a number above it.
+
+    Only cells of the table at most k off its diagonal are made, for all pairs at once, one anti-diagonal after the other: a cell needs its neighbours on the one before
+    and the cell on the one before that. A step is a few operations on whole arrays.
+    """
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     k = int(max(1, most.max()))
-    far = np.int32(1 << 20)
+    far = np.int32(1 << 29)
     rows, cols = int(n.max()), int(m.max())
-    left, right = np.zeros((len(a), rows), np.int64), np.zeros((len(a), cols + rows + k + 1), np.int64)
+    left, right = np.zeros((len(a), rows), np.int64), np.zeros((len(a), cols), np.int64)
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         left[i, : len(x)], right[i, : len(y)] = x, y
-    # Place d of the band holds column i + d - k of row i; the outer places stay far away.
-    band = np.full((len(a), 2 * k + 3), far, np.int32)
-    for d in range(k, 2 * k + 1):
-        band[:, d + 1] = d - k
-    out = np.full(len(a), far, np.int32)
-    end = np.clip(m - n + k, -1, 2 * k + 1) + 1
-    every = np.arange(len(a))
-    for i in range(1, rows + 1):
-        new = np.full_like(band, far)
-        for d in range(max(0, k - i), 2 * k + 1):
-            j = i + d - k
-            if j == 0:
-                new[:, d + 1] = i
-                continue
-            same = left[:, i - 1] == right[:, j - 1]
-            new[:, d + 1] = np.where(same, band[:, d + 1], np.minimum(band[:, d + 2], new[:, d]) + 1)
-        band = new
-        done = n == i
-        out[done] = band[every[done], end[done]]
+    # Cell (i, j) stands at place j - i + k + 1, with a place on either side that stays far away.
+    older, old = (np.full((len(a), 2 * k + 3), far, np.int32) for _ in range(2))
+    old[:, k + 1] = 0
+    out = np.where(n + m == 0, 0, far).astype(np.int32)
+    end, place = n + m, np.clip(m - n + k + 1, 0, 2 * k + 2)
+    for t in range(1, rows + cols + 1):
+        new = older  # its cells have the parity of t, and are all made anew or put far away
+        first = max(0, t - cols, -(-(t - k) // 2))  # smallest row of the band on this anti-diagonal
+        last = min(rows, t, (t + k) // 2)
+        if first > last:
+            break
+        i = np.arange(last, first - 1, -1)  # so that places ascend
+        at = slice(t - 2 * last + k + 1, t - 2 * first + k + 2, 2)
+        step = np.minimum(old[:, at.start - 1 : at.stop - 1 : 2], old[:, at.start + 1 : at.stop + 1 : 2]) + 1
+        same = (left[:, i - 1] == right[:, t - i - 1]) & ((i > 0) & (i < t))
+        cells = np.where(same, np.minimum(step, older[:, at]), step)
+        new[:, (t + k + 1) % 2 :: 2] = far
+        new[:, at] = cells
+        older, old = old, new
+        done = end == t
+        if done.any():
+            out[done] = new[done, place[done]]
     return out
 
 
@@ -85,9 +94,12 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
             most = np.asarray(whole.column(6))
             size = np.maximum(*(np.diff(e) for e in ends))
             good = []
-            order = np.argsort(size, kind="stable")
-            for at in range(0, len(order), 2048):  # strings of about the same length together
+            order = np.argsort(size, kind="stable")  # strings of about the same length together, and fewer of long ones
+            at = 0
+            while at < len(order):
                 part = order[at : at + 2048]
+                part = part[: max(1, int(np.sum(np.arange(1, len(part) + 1) * size[part] <= CELLS)))]
+                at += len(part)
                 a, b = ([s[e[i] : e[i + 1]] for i in part] for s, e in zip(strings, ends, strict=True))
                 edits = banded_distance(a, b, most[part])
                 n = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
