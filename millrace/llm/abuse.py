@@ -27,16 +27,21 @@ STRONG, STRONG_FROM = 3000, 0.8
 MOST_ALONE = 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
-# Letters of other scripts that look like Latin ones, Cyrillic ones that a wrong code page makes of accented ones, and signs that stand for letters.
-LOOKS = dict(zip("авекмнорстухіјѕԁԛԝһɑɡαβενορτυχωι", "abekmhopctyxijsdqwhagabevoptuxwi", strict=True))
-WRONG_PAGE = dict(zip("бгдзийлпфцыьэюя", "aaaceeeioouueuy", strict=True))
+# Letters of other scripts that look like Latin ones, letters that stand for two, and signs that stand for letters.
+LOOKS = dict(zip("авекмнорстухіјѕԁԛԝһɑɡαβενορτυχωι", "abekmhopctyxijsdqwhagabevoptuxwi", strict=True)) | {"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "ł": "l", "đ": "d", "\ufffd": "*"}
 SIGNS = dict(zip("0134578@$!|", "oieastbasii", strict=True))
 HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
-_CUES = re.compile(r"(?m)^[^\n]*->[^\n]*$|^[ \t\ufeff]*\d+[ \t]*$|<[^<>\n]*>|\{[^{}\n]*\}")
-_LINKS = re.compile(r"\S+@\S+\.\S+|https?://\S+|www\.\S+")
-_WRONG = re.compile("[ÂÃÄÅÎÏÐÑâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}")
+_CUES = re.compile(r"(?m)^[^\n]*->[^\n]*$|^[ \t\ufeff]*\d+[ \t]*$")
+_TAGS = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
+_LINKS = re.compile(r"\S+@[\w.\-]*\w|(?:https?://|www\.)[\w.\-/?=&#%]*\w")
+#: UTF-8 read as a one-byte code page, also twice.
+_TRAIL = "[\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_WRONG = re.compile(f"[ÂÃÄÅÎÏÐÑ]{_TRAIL}|[âãï]{_TRAIL}{{2}}")
 _LEADS = "ÃâÂÐÑÎÏ"
+#: Cyrillic letters that look like no Latin ones: between Latin letters they are accented ones read by a Cyrillic code page, and then so are the others.
+_CYRILLIC = re.compile("[бгджзийлпфцчшщъыьэюяњїЙЩ]")
+_ANY_CYRILLIC = re.compile("[\u0400-\u045f]")
 _TRAILS = re.compile(r"\.{2,}[\"')\]]*(?=\s|$)")
 _ENDS = re.compile(r"[.!?][.!?\"')\]]*(?=\s|$)")
 #: Punctuation parts words; signs that may stand for letters don't.
@@ -46,7 +51,14 @@ _PLAIN = (("\r\n", "\n"), ("\r", "\n"), ("\u2019", "'"), ("\u2018", "'"), ("\u20
 
 def _mended(m: re.Match) -> str:
     try:
-        return m.group().encode("cp1252").decode("utf-8")
+        return b"".join(bytes([ord(c)]) if ord(c) < 256 else c.encode("cp1252") for c in m.group()).decode("utf-8")
+    except UnicodeError:
+        return m.group()
+
+
+def _other_page(m: re.Match) -> str:
+    try:
+        return m.group().encode("cp1251").decode("cp1252")
     except UnicodeError:
         return m.group()
 
@@ -57,48 +69,59 @@ class _Folded(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).lower()
-        self[code] = " " if c.isspace() else "" if c in HIDDEN else "".join(LOOKS.get(x) or WRONG_PAGE.get(x) or (x if x.isalnum() or x.isascii() else " ") for x in plain)
+        self[code] = " " if c.isspace() else "" if c in HIDDEN else "".join(LOOKS.get(x) or (x if x.isalnum() or x.isascii() else " ") for x in plain)
         return self[code]
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence of a subtitle text, in lower case, without cue numbers, times, tags and addresses; a sentence may run over cues.
+    """The words of each sentence of a subtitle text, in lower case, without cue numbers, times, tags and addresses.
 
-    One that trails off in dots also comes out joined to the next, as it may go on there. Letters that stand alone, three or more in a row, are one word.
+    A sentence may run over cues; the words of each of its cues then come out by themselves too, as not every cue ends with a stop. One that trails off in
+    dots also comes out joined to the next, as it may go on there. Letters that stand alone, three or more in a row, are one word.
     Texts are read whole; null and empty ones have no sentence.
     """
     if not text:
         return []
     t = text
-    if not t.isascii() and any(c in t for c in _LEADS):
-        t = _WRONG.sub(_mended, t.replace("Â€", "â€"))
+    if not t.isascii():
+        for _ in range(2):
+            if any(c in t for c in _LEADS):
+                t = _WRONG.sub(_mended, t.replace("Â€", "â€"))
+        if _CYRILLIC.search(t):
+            t = _ANY_CYRILLIC.sub(_other_page, t)
     for old, new in _PLAIN:
         t = t.replace(old, new)
-    t = _CUES.sub(" ", t)
+    t = _CUES.sub(" \x03 ", t)
+    if "<" in t or "{" in t:
+        t = _TAGS.sub(" ", t)
     if "@" in t or "www" in t or "://" in t:
         t = _LINKS.sub(" ", t)
-    t = t.lower() if t.isascii() else t.translate(kept(("fold",), _Folded))
-    t = _ENDS.sub("\x1e", _TRAILS.sub("\x1f\x1e", t)).translate(_PARTS)
+    t = t.lower() if t.isascii() else t.translate(kept(("fold", BUCKETS), _Folded))
+    t = _ENDS.sub("\x02", _TRAILS.sub("\x01\x02", t)).translate(_PARTS)
     out: list[list[str]] = []
     trailing = False
-    for part in t.split("\x1e"):
-        words = part.split()
-        trails = bool(words) and words[-1][-1] == "\x1f"
-        if trails:
-            words[-1] = words[-1][:-1]
-            words = words if words[-1] else words[:-1]
-        if not words:
+    for part in t.split("\x02"):
+        cues = [own for own in (_words(x) for x in part.replace("\x01", " ").split("\x03")) if own]
+        if not cues:
             continue
-        if len(words) > 2 and len(min(words, key=len)) == 1:
-            words = _joined(words)
+        words = _joined(sum(cues, [])) if len(cues) > 1 else cues[0]
         out.append(words)
+        if len(cues) > 1:
+            out += cues
         if trailing:
             out.append(before + words)
-        trailing, before = trails, words
+        trailing, before = part[-1] == "\x01", words
     return out
 
 
+def _words(text: str) -> list[str]:
+    words = text.split()
+    return _joined(words) if len(words) > 2 else words
+
+
 def _joined(words: list[str]) -> list[str]:
+    if len(words) < 3 or len(min(words, key=len)) > 1:
+        return words
     out: list[str] = []
     run = ""
     for w in [*words, "  "]:
