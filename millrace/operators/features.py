@@ -17,7 +17,8 @@ TAIL = 4
 
 def triples(rows: DataFrame) -> DataFrame:
     """row_id, label, fid, val, one per entry of features (an array of idx, val); a null val is 1. Entries without idx, and rows without features, give nothing; keep a table of rows to score those."""
-    one = rows.select("row_id", "label", F.explode("features").alias("x"))
+    # An outer explode, as an inner one makes Spark test the array first, and so make it twice.
+    one = rows.select("row_id", "label", F.explode_outer("features").alias("x"))
     return one.filter(F.col("x.idx").isNotNull()).select("row_id", "label", F.col("x.idx").alias("fid"), F.coalesce(F.col("x.val"), F.lit(1.0)).cast("double").alias("val"))
 
 

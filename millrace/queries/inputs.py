@@ -21,7 +21,7 @@ def event_rows(spark: SparkSession, d: str) -> DataFrame:
     parts = [F.col("user_id"), F.hour("ts"), F.weekday("ts"), F.floor(F.col("value") / 10), F.get_json_object("props", "$.k")]
     val = 1 + F.pmod("event_id", F.lit(3)) * 0.5
     items = F.array(*(F.struct(encode_group(p.cast("bigint"), F.lit(g), 12).alias("idx"), val.alias("val")) for g, p in enumerate(parts)))
-    return e.select(F.col("event_id").alias("row_id"), (F.col("event_type") == "purchase").cast("double").alias("label"), F.filter(items, lambda x: x["idx"].isNotNull()).alias("features"))
+    return e.select(F.col("event_id").alias("row_id"), (F.col("event_type") == "purchase").cast("double").alias("label"), items.alias("features"))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
