@@ -32,12 +32,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return rejects(parse_lines(table(spark, d, "raw_lines"))).select("line_id", "reason")
+    return rejects(parse_lines(table(spark, d, "raw_lines"), judge_only=True)).select("line_id", "reason")
 
 
 def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
     """The failing lines with their whole text."""
-    return rejects(parse_lines(table(spark, d, "raw_lines")))
+    return rejects(parse_lines(table(spark, d, "raw_lines"), judge_only=True))
 
 
 def p5_examples(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p5_examples(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Lines per format and reason; valid is the reason of the others."""
-    return parse_lines(table(spark, d, "raw_lines")).groupBy("fmt", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+    return parse_lines(table(spark, d, "raw_lines"), judge_only=True).groupBy("fmt", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 QUERIES = {f.__name__: f for f in (p3_keys, p3_found, p5_found, p5_rejects, p5_examples, p5_report)}

@@ -136,8 +136,8 @@ FORMATS = ("libsvm", "adfea", "criteo", "criteo_test")
 COLUMNS = [f"i{k}" for k in range(INTEGERS)] + [f"c{k}" for k in range(TOKENS)]
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Every line once: line_id, file_name, fmt, raw, reason, label, features (array of idx, val).
+def parse_lines(lines: DataFrame, judge_only: bool = False) -> DataFrame:
+    """Every line once: line_id, file_name, fmt, raw, reason, label, features (array of idx, val). judge_only: without label and features.
 
     Valid lines have a null reason; the others have null label and features and their text in raw, whole. Reasons, of which the first counts: empty
     (null, or blanks only), format (fmt is null or none of FORMATS), quoting, columns, label, index, value. The formats' rules are in TESTDATA.md, problem 5.
@@ -167,7 +167,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     judged = cuts.withColumn("reason", F.coalesce(F.col("early"), by_format(0)))
     good = F.col("reason").isNull()
     # Generated columns can't be substituted into a later filter, so no line is parsed twice.
-    out = F.explode(F.array(F.struct(F.col("reason"), F.when(good, by_format(1)).alias("label"), F.when(good, by_format(2)).alias("features")))).alias("x")
+    made = [] if judge_only else [F.when(good, by_format(1)).alias("label"), F.when(good, by_format(2)).alias("features")]
+    out = F.explode(F.array(F.struct("reason", *made))).alias("x")
     return judged.select("line_id", "file_name", "fmt", "raw", out).select("line_id", "file_name", "fmt", "raw", "x.*")
 
 
