@@ -44,11 +44,12 @@ def keep_features(entries: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, order: Column, name: str = "pos") -> DataFrame:
-    """The rows with their places in that order, from 0. Ties stand in any order.
+    """The rows with their places in that order, from 0. Ties stand in any order, and may part between ranges however many they are.
 
     No window over all rows: they are sorted in ranges, written, and each range is told how many rows the ranges before it hold (one number a range).
     """
-    placed = cut(df.withColumn("_order", order).repartitionByRange("_order").sortWithinPartitions("_order").withColumn("_id", F.monotonically_increasing_id()))
+    keyed = df.withColumns({"_order": order, "_tie": F.monotonically_increasing_id()})
+    placed = cut(keyed.repartitionByRange("_order", "_tie").sortWithinPartitions("_order", "_tie").withColumn("_id", F.monotonically_increasing_id()).drop("_tie"))
     part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
@@ -62,7 +63,7 @@ def dictionary(entries: DataFrame, above: int = 0) -> DataFrame:
 
 def localize(entries: DataFrame, words: DataFrame) -> DataFrame:
     """The entries with pos in place of fid; those of features that the dictionary lacks are dropped."""
-    return entries.join(words.select("fid", "pos"), "fid").select("row_id", "label", "pos", "val")
+    return entries.select("row_id", "label", "fid", "val").join(words.select("fid", "pos"), "fid").select("row_id", "label", "pos", "val")
 
 
 def column_map(blocks: DataFrame, words: DataFrame) -> DataFrame:

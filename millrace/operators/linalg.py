@@ -1,5 +1,6 @@
 """Sparse products over triples (row_id, fid, val).
 
+Entries with a null row_id, fid or val add nothing; entries of a row and feature that stand twice add twice; no entries give no rows. Other columns are ignored.
 Hot rows and features cost no task more than others: sums combine before they move. Joins are on the feature or the row; Spark broadcasts a
 model that it knows to be small, and splits skewed partitions of a larger one's join.
 """
@@ -18,7 +19,7 @@ def times(entries: DataFrame, x: DataFrame, by: str = "fid", to: str = "row_id",
     x: by, value. Missing and zero values of x add nothing, and are dropped before the join. add: to, y; the product is added to it and its rows all come out.
     """
     live = x.filter(F.col(value) != 0).select(by, F.col(value).alias("_x"))
-    product = entries.join(live, by).groupBy(to).agg(F.sum(F.col("val") * F.col("_x")).alias("y"))
+    product = entries.select(by, to, "val").join(live, by).groupBy(to).agg(F.sum(F.col("val") * F.col("_x")).alias("y"))
     if add is None:
         return product
     return product.union(add.select(to, "y")).groupBy(to).agg(F.sum("y").alias("y"))
@@ -31,7 +32,7 @@ def times_columns(entries: DataFrame, x: DataFrame, k: int, by: str = "fid", to:
     power = (lambda c: c * c) if square else (lambda c: c)
     live = x.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("_x"))
     sums = [F.sum(power(F.col("val")) * power(F.get("_x", F.lit(j)))).alias(f"_{j}") for j in range(k)]
-    return entries.join(live, by).groupBy(to).agg(*sums).select(to, F.array(*(F.coalesce(f"_{j}", F.lit(0.0)) for j in range(k))).alias("y"))
+    return entries.select(by, to, "val").join(live, by).groupBy(to).agg(*sums).select(to, F.array(*(F.coalesce(f"_{j}", F.lit(0.0)) for j in range(k))).alias("y"))
 
 
 def transpose(entries: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Margins, losses' values, gradients and curvature of linear models and factorization machines.
 
 entries: row_id, fid, val (triples); rows: row_id, label, all rows that count, also those without entries; model: fid, w, and v (an array of dim
-numbers, null where the feature has no embedding) if dim is above 0. Features that the model lacks add nothing.
+numbers, null where the feature has no embedding) if dim is above 0. Features that the model lacks add nothing, nor do entries with a null row_id, fid or val.
+A row with a null label gets a margin and has no part in gradients. Entries that stand twice count twice. Empty tables give tables without rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def margins(entries: DataFrame, rows: DataFrame, model: DataFrame, dim: int = 0,
     """
     places = range(dim)
     v = lambda j: F.get("v", F.lit(j))
-    known = entries.join(model.select("fid", "w", *(["v"] if dim else [])), "fid")
+    known = entries.select("row_id", "fid", "val").join(model.select("fid", "w", *(["v"] if dim else [])), "fid")
     sums = [F.sum(F.col("val") * F.col("w")).alias("_w")]
     for j in places:
         sums += [F.sum(F.col("val") * v(j)).alias(f"_s{j}"), F.sum(F.col("val") * F.col("val") * v(j) * v(j)).alias(f"_q{j}")]
@@ -40,7 +41,7 @@ def gradient(entries: DataFrame, scored: DataFrame, model: DataFrame | None = No
     sums = [F.sum(F.col("val") * F.col("p")).alias("g")]
     if dim:
         sums += [F.sum(F.col("val") * F.col("p") * F.get("xv", F.lit(j))).alias(f"_s{j}") for j in places] + [F.sum(F.col("val") * F.col("val") * F.col("p")).alias("_q")]
-    out = entries.join(p, "row_id").groupBy("fid").agg(*sums)
+    out = entries.select("row_id", "fid", "val").join(p, "row_id").groupBy("fid").agg(*sums)
     if not dim:
         return out
     both = out.join(model.select("fid", "v"), "fid")
@@ -51,12 +52,12 @@ def gradient(entries: DataFrame, scored: DataFrame, model: DataFrame | None = No
 def gradient_and_curvature(entries: DataFrame, scored: DataFrame) -> DataFrame:
     """fid, g, h: the linear loss's gradient and the diagonal of its Hessian, in one aggregation."""
     p = scored.select("row_id", dual("label", "margin").alias("p"), curvature("label", dual("label", "margin")).alias("c"))
-    return entries.join(p, "row_id").groupBy("fid").agg(F.sum(F.col("val") * F.col("p")).alias("g"), F.sum(F.col("val") * F.col("val") * F.col("c")).alias("h"))
+    return entries.select("row_id", "fid", "val").join(p, "row_id").groupBy("fid").agg(F.sum(F.col("val") * F.col("p")).alias("g"), F.sum(F.col("val") * F.col("val") * F.col("c")).alias("h"))
 
 
 def shifted_margins(entries: DataFrame, scored: DataFrame, steps: DataFrame) -> DataFrame:
     """scored with its margins moved by what a change of the weights adds: steps: fid, d. Rows that no changed feature touches stay."""
-    change = entries.join(steps.filter(F.col("d") != 0).select("fid", "d"), "fid").groupBy("row_id").agg(F.sum(F.col("val") * F.col("d")).alias("_d"))
+    change = entries.select("row_id", "fid", "val").join(steps.filter(F.col("d") != 0).select("fid", "d"), "fid").groupBy("row_id").agg(F.sum(F.col("val") * F.col("d")).alias("_d"))
     return scored.join(change, "row_id", "left").withColumn("margin", F.col("margin") + F.coalesce("_d", F.lit(0.0))).drop("_d")
 
 

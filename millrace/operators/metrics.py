@@ -1,4 +1,7 @@
-"""Measures of scored rows (label, margin) and of models, as tables of one row."""
+"""Measures of scored rows (label, margin) and of models, as tables of one row.
+
+Rows without a label or a margin count nowhere. Repeated rows count as often as they stand. No rows at all give sums of 0 and null shares.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.common import col
 from millrace.functions.scalars import chance, logistic_loss, squared_norm
+from millrace.session import cut
 
 
 def objective() -> Column:
@@ -26,9 +30,13 @@ def correct(threshold: float = 0.0) -> Column:
     return F.coalesce(F.sum(((F.col("label") > 0) == (F.col("margin") > threshold)).cast("bigint")), F.lit(0))
 
 
+def _known(scored: DataFrame, margin: str | Column = "margin") -> DataFrame:
+    return scored.filter(F.col("label").isNotNull() & col(margin).isNotNull())
+
+
 def accuracy(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
     """rows, correct, accuracy, and acc_sum, the larger of correct and wrong rows."""
-    n = scored.agg(F.count(F.lit(1)).alias("rows"), correct(threshold).alias("correct"))
+    n = _known(scored).agg(F.count(F.lit(1)).alias("rows"), correct(threshold).alias("correct"))
     return n.select("rows", "correct", F.try_divide(F.col("correct").cast("double"), F.col("rows")).alias("accuracy"), F.greatest("correct", F.col("rows") - F.col("correct")).alias("acc_sum"))
 
 
@@ -36,12 +44,12 @@ def auc(scored: DataFrame, by: list[str] | None = None, margin: str | Column = "
     """rows, auc, auc_sum, per group of by if given: the share of pairs of a positive and a negative row that the margin orders rightly; equal margins count half.
 
     auc_sum is rows times the larger of auc and 1 - auc; 1 if a group has rows of one class only, whose auc is null.
-    Rows are first counted per margin, which combines before anything moves. Running counts are made within ranges of margins, to which each is
-    told what lies below it, so no task sees all margins.
+    Rows are first counted per margin, which combines before anything moves. Running counts are made within ranges of margins, each of which is
+    told what lies below it, so no task sees all margins. The ranges are written, as sampling might draw them otherwise for each use.
     """
     by = by or []
-    counts = scored.select(*by, col(margin).alias("_m"), (F.col("label") > 0).cast("bigint").alias("_y")).groupBy(*by, "_m").agg(F.sum("_y").alias("pos"), (F.count(F.lit(1)) - F.sum("_y")).alias("neg"))
-    ranged = counts.repartitionByRange(*by, "_m").withColumn("_part", F.spark_partition_id())
+    counts = _known(scored, margin).select(*by, col(margin).alias("_m"), (F.col("label") > 0).cast("bigint").alias("_y")).groupBy(*by, "_m").agg(F.sum("_y").alias("pos"), (F.count(F.lit(1)) - F.sum("_y")).alias("neg"))
+    ranged = cut(counts.repartitionByRange(*by, "_m").withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_part").agg(F.sum("pos").alias("_all"))
     below = totals.withColumn("_below", F.sum("_all").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_all")).drop("_all")
     within = Window.partitionBy(*by, "_part").orderBy("_m")

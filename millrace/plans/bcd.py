@@ -28,6 +28,7 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
 
     The loss reported is without the penalty, after an epoch's last block; validation rows are reported apart.
     """
+    rows, val = cut(rows.select("row_id", "label", "features")), val if val is None else cut(val.select("row_id", "label", "features"))
     entries = triples(rows)
     kept = cut(frequent_features(feature_counts(entries), update.tail_feature_filter))
     entries = keep_features(entries, kept)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import axpy, power_gradient, scaled
+from millrace.functions.scalars import axpy, inner, power_gradient, scaled
 from millrace.operators.features import feature_counts, frequent_features, keep_features, triples
 from millrace.operators.linalg import dots
 from millrace.operators.losses import gradient, loss_settings, margins
@@ -65,8 +65,8 @@ class _Problem:
         u = self.update
         return F.transform(column, lambda x, i: F.when(i == 0, x * u.l2).otherwise(x * u.V_l2))
 
-    def evaluate(self, model: DataFrame) -> tuple[float, DataFrame]:
-        """The objective, and the model's table with g, the gradient of all of it."""
+    def evaluate(self, model: DataFrame) -> tuple[float, float, int, DataFrame]:
+        """The objective, its slope along d (0 where the table has no d), the numbers that aren't 0, and the model's table with g, the gradient of all of it."""
         scored = self.scored(model).persist()
         loss = scored.agg(objective().alias("x")).first().x
         v = model.select("fid", (F.when(F.size("theta") > 1, F.slice("theta", 2, self.dim)) if self.dim else F.lit(None)).alias("v"))
@@ -78,8 +78,10 @@ class _Problem:
         out = cut(model.drop("g").join(named, "fid", "left").withColumn("g", axpy(1.0, data, self.regularized())).drop("_g", "_gv"))
         scored.unpersist()
         u = self.update
-        penalty = out.agg(F.sum(F.aggregate(F.transform("theta", lambda x, i: F.when(i == 0, x * x * u.l2 / 2).otherwise(x * x * u.V_l2 / 2)), F.lit(0.0), lambda a, x: a + x)).alias("x")).first().x
-        return loss + (penalty or 0.0), out
+        penalty = F.aggregate(F.transform("theta", lambda x, i: F.when(i == 0, x * x * u.l2 / 2).otherwise(x * x * u.V_l2 / 2)), F.lit(0.0), lambda a, x: a + x)
+        slope = F.sum(inner("g", "d")) if "d" in out.columns else F.lit(0.0)
+        sums = out.agg(F.sum(penalty).alias("r"), slope.alias("slope"), F.sum(F.size(F.filter("theta", lambda x: x != 0))).alias("nnz")).first()
+        return loss + (sums.r or 0.0), sums.slope or 0.0, sums.nnz or 0, out
 
 
 def train_lbfgs(rows: DataFrame, learn: LBFGSLearn = LBFGSLearn(), update: LBFGSUpdate = LBFGSUpdate(), val: DataFrame | None = None, init: Initializer | None = None, on_epoch: Callable[[int, dict], None] | None = None) -> Trained:
@@ -89,17 +91,18 @@ def train_lbfgs(rows: DataFrame, learn: LBFGSLearn = LBFGSLearn(), update: LBFGS
     one table, written after each step.
     """
     init = init or random_vector(update.seed, 1.0)
+    rows, val = cut(rows.select("row_id", "label", "features")), val if val is None else cut(val.select("row_id", "label", "features"))
     entries = triples(rows)
     counts = feature_counts(entries)
     kept = frequent_features(counts, update.tail_feature_filter)
     entries = cut(keep_features(entries, kept))
-    labels = cut(rows.select("row_id", "label"))
+    labels = rows.select("row_id", "label")
     problem = _Problem(entries, labels, learn, update)
     dim = problem.dim
     zero = F.array(F.lit(0.0))
     theta = F.when(F.col("cnt") > update.V_threshold, F.concat(zero, init("fid", dim, update.V_init_scale))).otherwise(zero) if dim else zero
     model = cut(kept.select("fid", "cnt", theta.alias("theta")))
-    value, model = problem.evaluate(model)
+    value, _, _, model = problem.evaluate(model)
     s: list[str] = []
     y: list[str] = []
     gram: dict[frozenset, float] = {}
@@ -125,15 +128,13 @@ def train_lbfgs(rows: DataFrame, learn: LBFGSLearn = LBFGSLearn(), update: LBFGS
         slope = dots(model, {"x": (F.col("g"), F.col("d"))}).first().x
         alpha, at, trial = (first if epoch == 0 else learn.alpha), 0.0, 0
         while True:
-            value_, moved = problem.evaluate(model.withColumn("theta", axpy(float(alpha - at), "d", "theta")))
-            model, at, trial = moved, alpha, trial + 1
-            slope_ = dots(model, {"x": (F.col("g"), F.col("d"))}).first().x
+            value_, slope_, nnz, model = problem.evaluate(model.withColumn("theta", axpy(float(alpha - at), "d", "theta")))
+            at, trial = alpha, trial + 1
             if value_ <= value + learn.c1 * alpha * slope and slope_ >= learn.c2 * slope or trial >= learn.max_num_linesearchs:
                 break
             alpha *= learn.rho
-        record = {"epoch": epoch, "objv": value_, "alpha": alpha, "trials": trial}
-        scored = problem.scored(model)
-        record |= auc(scored).select("auc").first().asDict() | model.agg(F.sum(F.size(F.filter("theta", lambda x: x != 0))).alias("nnz_w")).first().asDict()
+        record = {"epoch": epoch, "objv": value_, "alpha": alpha, "trials": trial, "nnz_w": nnz}
+        record |= auc(problem.scored(model)).select("auc").first().asDict()
         if val is not None:
             record["val_auc"] = auc(problem.scored(model, triples(val), val)).first().auc
         history.append(record)

@@ -12,7 +12,7 @@ from millrace.sources.lines import FORMATS, examples, parse_lines, rejects
 
 
 def text_lines(spark: SparkSession, path: str | list[str], fmt: str) -> DataFrame:
-    """Lines of text files in the shape that parse_lines takes. line_id says where the file part lies and which line of it it is, so it is the same whenever the same files are read."""
+    """Lines of text files in the shape that parse_lines takes. line_id is the number of the file part and of the line in it: unique, and the same as long as the files are cut into the same parts. The solvers write their rows once for that reason."""
     lines = spark.read.text(path, lineSep="\n")
     return lines.select(F.monotonically_increasing_id().alias("line_id"), F.input_file_name().alias("file_name"), F.lit(fmt).alias("fmt"), F.col("value").alias("raw"))
 
