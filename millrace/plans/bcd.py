@@ -14,7 +14,7 @@ from millrace.operators.metrics import auc, correct, objective
 from millrace.operators.updates import newton
 from millrace.params import BCDLearn, BCDUpdate
 from millrace.plans.sgd import Trained
-from millrace.session import cut
+from millrace.session import Scratch, cut
 
 
 def sampled_rows(rows: DataFrame, step: int = 10) -> DataFrame:
@@ -28,7 +28,8 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
 
     The loss reported is without the penalty, after an epoch's last block; validation rows are reported apart.
     """
-    rows, val = cut(rows.select("row_id", "label", "features")), val if val is None else cut(val.select("row_id", "label", "features"))
+    scratch = Scratch(rows.sparkSession)
+    rows, val = (None if x is None else scratch.write(x.select("row_id", "label", "features")) for x in (rows, val))
     entries = triples(rows)
     kept = cut(frequent_features(feature_counts(entries), update.tail_feature_filter))
     entries = keep_features(entries, kept)
@@ -36,8 +37,9 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
     stats = {r.grp: r.nnz for r in group_stats(entries, sample, learn.num_feature_group_bits).collect()}  # at most 2^16 groups
     plan = plan_blocks(stats, sample.count(), learn.num_feature_group_bits, learn.block_ratio)
     blocks = list(range(len(plan)))
-    entries = cut(assign_blocks(entries, plan).repartition("fblk", "fid") if len(plan) > 1 else assign_blocks(entries, plan))
-    tests = cut(assign_blocks(triples(val), plan)) if val is not None else None
+    # In the order of blocks, so that a block's step reads its own row groups only.
+    entries = scratch.write(assign_blocks(entries, plan), "fblk")
+    tests = scratch.write(assign_blocks(triples(val), plan), "fblk") if val is not None else None
     start = assign_blocks(kept, plan).select("fid", "cnt", "fblk", F.lit(0.0).alias("w"), F.lit(1.0).alias("delta"))
     models = {b: start.filter(F.col("fblk") == b) for b in blocks}
     zero = lambda df: cut(df.select("row_id", "label", F.lit(0.0).alias("margin")))
@@ -61,6 +63,7 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
         out.history.append(record)
         if on_epoch:
             on_epoch(epoch, record)
+    scratch.drop()
     whole = None
     for m in models.values():
         whole = m if whole is None else whole.unionByName(m)

@@ -16,7 +16,7 @@ from millrace.operators.metrics import auc, objective
 from millrace.operators.updates import Initializer, clamped_direction, random_vector
 from millrace.params import LBFGSLearn, LBFGSUpdate
 from millrace.plans.sgd import Trained
-from millrace.session import cut
+from millrace.session import Scratch, cut
 
 TINY = 1e-10
 
@@ -91,11 +91,12 @@ def train_lbfgs(rows: DataFrame, learn: LBFGSLearn = LBFGSLearn(), update: LBFGS
     one table, written after each step.
     """
     init = init or random_vector(update.seed, 1.0)
-    rows, val = cut(rows.select("row_id", "label", "features")), val if val is None else cut(val.select("row_id", "label", "features"))
+    scratch = Scratch(rows.sparkSession)
+    rows, val = (None if x is None else scratch.write(x.select("row_id", "label", "features")) for x in (rows, val))
     entries = triples(rows)
     counts = feature_counts(entries)
     kept = frequent_features(counts, update.tail_feature_filter)
-    entries = cut(keep_features(entries, kept))
+    entries = scratch.write(keep_features(entries, kept))
     labels = rows.select("row_id", "label")
     problem = _Problem(entries, labels, learn, update)
     dim = problem.dim
@@ -144,5 +145,6 @@ def train_lbfgs(rows: DataFrame, learn: LBFGSLearn = LBFGSLearn(), update: LBFGS
         value = value_
         if done or not np.isfinite(value):
             break
+    scratch.drop()
     v = F.when(F.size("theta") > 1, F.slice("theta", 2, max(1, dim)))
     return Trained(model.select("fid", "cnt", F.get("theta", F.lit(0)).alias("w"), v.alias("v")), history, dim)

@@ -14,7 +14,7 @@ from millrace.operators.losses import gradient, loss_settings, margins
 from millrace.operators.metrics import auc, objective, penalty
 from millrace.operators.updates import Initializer, add_counts, apply_gradient, new_model, random_vector
 from millrace.params import SGDLearn, SGDUpdate
-from millrace.session import cut
+from millrace.session import Scratch, cut
 
 
 @dataclass
@@ -41,19 +41,22 @@ def train_sgd(
     """
     init = init or random_vector(update.seed)
     dim = loss_settings(learn.loss, update.V_dim)["dim"]
+    scratch = Scratch(rows.sparkSession)
+    rows = rows.select("row_id", "label", "features")
     kept = keep_negatives(rows, learn.neg_sampling) if learn.neg_sampling < 1 else rows
     if learn.batch_size:
-        batched = cut(shuffled(kept, learn.batch_size, learn.batch_size * learn.shuffle, update.seed) if learn.shuffle else in_order(kept, learn.batch_size))
-        batches = range(batched.agg(F.max("batch_id")).first()[0] + 1) if batched.take(1) else range(0)
+        # In the order of batches, so that reading a batch skips the others' row groups.
+        batched = scratch.write(shuffled(kept, learn.batch_size, learn.batch_size * learn.shuffle, update.seed) if learn.shuffle else in_order(kept, learn.batch_size), "batch_id")
+        batches = range((batched.agg(F.max("batch_id")).first()[0] + 1) if batched.take(1) else 0)
     else:
-        batched, batches = cut(kept.withColumn("batch_id", F.lit(0))), range(1)
+        batched, batches = scratch.write(kept), range(1)
     model = model if model is not None else new_model(rows.sparkSession.createDataFrame([], "fid bigint, cnt bigint"), dim)
     out = Trained(model, dim=dim)
     before: dict | None = None
     for epoch in range(learn.max_num_epochs):
         total = {"loss": 0.0, "penalty": 0.0, "auc_sum": 0.0, "rows": 0}
         for b in batches:
-            part = batched.filter(F.col("batch_id") == b).drop("batch_id") if learn.batch_size else batched.drop("batch_id")
+            part = batched.filter(F.col("batch_id") == b).drop("batch_id") if learn.batch_size else batched
             entries = triples(part)
             if epoch == 0:
                 out.model = add_counts(out.model, feature_counts(entries), update, init)
@@ -74,6 +77,7 @@ def train_sgd(
         if before and _stops(before, record, learn):
             break
         before = record
+    scratch.drop()
     return out
 
 

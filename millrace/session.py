@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,26 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, from files that outlive executors."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables written beside the checkpoints, for data that a loop reads again and again; dropped together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The same rows, read from the files. by: a column in whose order they lie, so that reading one value of it skips the others' row groups; a value with many rows may span files."""
+        shared_checkpoints(self.spark)
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        laid = df.repartitionByRange(by, "row_id").sortWithinPartitions(by) if by else df
+        laid.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
