@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.common import col
 from millrace.functions.scalars import chance, logistic_loss, squared_norm
-from millrace.session import cut
 
 
 def objective() -> Column:
@@ -41,23 +40,25 @@ def accuracy(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def auc(scored: DataFrame, by: list[str] | None = None, margin: str | Column = "margin") -> DataFrame:
-    """rows, auc, auc_sum, per group of by if given: the share of pairs of a positive and a negative row that the margin orders rightly; equal margins count half.
+    """rows, auc, auc_sum, loss, per group of by if given: auc is the share of pairs of a positive and a negative row that the margin orders rightly; equal margins count half.
 
-    auc_sum is rows times the larger of auc and 1 - auc; 1 if a group has rows of one class only, whose auc is null.
-    Rows are first counted per margin, which combines before anything moves. Running counts are made within ranges of margins, each of which is
-    told what lies below it, so no task sees all margins. The ranges are written, as sampling might draw them otherwise for each use.
+    auc_sum is rows times the larger of auc and 1 - auc; 1 if a group has rows of one class only, whose auc is null. loss is the sum of the logistic loss.
+    Rows are first counted per margin, which combines before anything moves. Running counts are made within ranges of margins; a range then is three
+    numbers, to which what lies below it is added, so no task sees all margins and all is one pass.
     """
     by = by or []
     counts = _known(scored, margin).select(*by, col(margin).alias("_m"), (F.col("label") > 0).cast("bigint").alias("_y")).groupBy(*by, "_m").agg(F.sum("_y").alias("pos"), (F.count(F.lit(1)) - F.sum("_y")).alias("neg"))
-    ranged = cut(counts.repartitionByRange(*by, "_m").withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy(*by, "_part").agg(F.sum("pos").alias("_all"))
-    below = totals.withColumn("_below", F.sum("_all").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_all")).drop("_all")
-    within = Window.partitionBy(*by, "_part").orderBy("_m")
-    cum = ranged.withColumn("_in", F.sum("pos").over(within) - F.col("pos")).join(below, [*by, "_part"])
-    area = cum.groupBy(*by).agg(F.sum(F.col("neg") * (F.col("_below") + F.col("_in") + F.col("pos") / 2)).alias("_wrong"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    ranged = counts.repartitionByRange(*by, "_m").withColumn("_part", F.spark_partition_id())
+    before = F.sum("pos").over(Window.partitionBy(*by, "_part").orderBy("_m")) - F.col("pos")
+    one = lambda sign: logistic_loss(F.lit(sign), "_m")
+    parts = ranged.withColumn("_in", before).groupBy(*by, "_part").agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(F.col("neg") * (F.col("_in") + F.col("pos") / 2)).alias("_a"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * one(1.0)).otherwise(0.0) + F.when(F.col("neg") > 0, F.col("neg") * one(0.0)).otherwise(0.0)).alias("_l")
+    )
+    below = F.sum("_p").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_p")  # a row a range
+    area = parts.withColumn("_below", below).groupBy(*by).agg(F.sum(F.col("_a") + F.col("_below") * F.col("_n")).alias("_wrong"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_l").alias("_l"))
     wrong = F.try_divide(F.col("_wrong"), F.col("_p").cast("double") * F.col("_n"))
     rows = F.coalesce(F.col("_p") + F.col("_n"), F.lit(0))
-    return area.select(*by, rows.alias("rows"), (1 - wrong).alias("auc"), F.coalesce(rows * F.greatest(wrong, 1 - wrong), F.lit(1.0)).alias("auc_sum"))
+    return area.select(*by, rows.alias("rows"), (1 - wrong).alias("auc"), F.coalesce(rows * F.greatest(wrong, 1 - wrong), F.lit(1.0)).alias("auc_sum"), F.coalesce("_l", F.lit(0.0)).alias("loss"))
 
 
 def penalty(l1: float = 0.0, l2: float = 0.0, v_l2: float = 0.0, dim: int = 0) -> Column:
@@ -78,8 +79,7 @@ def nonzero(dim: int = 0) -> Column:
 
 def progress(scored: DataFrame, by: list[str], margin: str | Column = "margin") -> DataFrame:
     """Per batch: rows, loss, auc_sum. Batches are merged by adding; the AUC shown is the sum of auc_sum over that of rows."""
-    loss = scored.groupBy(*by).agg(objective().alias("loss"))
-    return auc(scored, by, margin).select(*by, "rows", "auc_sum").join(loss, by)
+    return auc(scored, by, margin).select(*by, "rows", "auc_sum", "loss")
 
 
 def merged(parts: DataFrame) -> DataFrame:

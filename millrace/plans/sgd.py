@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.features import feature_counts, in_order, keep_negatives, shuffled, triples
 from millrace.operators.losses import gradient, loss_settings, margins
-from millrace.operators.metrics import auc, objective, penalty
+from millrace.operators.metrics import auc, penalty
 from millrace.operators.updates import Initializer, add_counts, apply_gradient, new_model, random_vector
 from millrace.params import SGDLearn, SGDUpdate
 from millrace.session import Scratch, cut
@@ -62,15 +62,13 @@ def train_sgd(
                 out.model = add_counts(out.model, feature_counts(entries), update, init)
             pulled = out.model.join(entries.select("fid").distinct(), "fid", "left_semi")
             scored = scores(entries, part, out.model, learn, dim).persist(StorageLevel.MEMORY_AND_DISK)
-            now = scored.agg(objective().alias("loss")).first().asDict() | pulled.agg(penalty(update.l1, update.l2, update.V_l2, dim).alias("penalty")).first().asDict()
-            now |= auc(scored).select("auc_sum", "rows").first().asDict()
+            now = auc(scored).select("auc_sum", "rows", "loss").first().asDict() | pulled.agg(penalty(update.l1, update.l2, update.V_l2, dim).alias("penalty")).first().asDict()
             out.model = cut(apply_gradient(out.model, gradient(entries, scored, out.model, dim), update, init))
             scored.unpersist()
             total = {k: total[k] + (now[k] or 0) for k in total}
         record = {"epoch": epoch, **total, "auc": total["auc_sum"] / max(1, total["rows"])}
         if val is not None:
-            tested = scores(triples(val), val, out.model, learn, dim)
-            record |= {f"val_{k}": v for k, v in (tested.agg(objective().alias("loss")).first().asDict() | auc(tested).select("auc", "auc_sum", "rows").first().asDict()).items()}
+            record |= {f"val_{k}": v for k, v in auc(scores(triples(val), val, out.model, learn, dim)).first().asDict().items()}
         out.history.append(record)
         if on_epoch:
             on_epoch(epoch, record)
