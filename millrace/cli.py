@@ -37,7 +37,8 @@ def main(words: list[str], spark: SparkSession | None = None) -> None:
         _warn(given)
         rows = read(spark, learn.data_in, learn.data_format)
         val = read(spark, learn.data_val, learn.data_format) if learn.data_val else None
-        model = train(rows, learn, update, val, on_epoch=lambda k, r: print(k, r))
+        more = {"model": load_model(spark, learn.model_in).model} if learn.model_in and learner == "sgd" else {}
+        model = train(rows, learn, update, val, on_epoch=lambda k, r: print(k, r), **more)
         if learn.model_out:
             save_model(model, learn.model_out)
     elif task == "predict":

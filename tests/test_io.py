@@ -83,6 +83,9 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main([f"data_in={tmp_path}/d.txt", "max_num_epochs=2", "l1=.01", "lr=.5", f"model_out={model}", "nothing=1"], spark)
     assert "nothing" in capsys.readouterr().err
     assert load_model(spark, model).model.count() == 10
+    cli.main([f"data_in={tmp_path}/d.txt", "max_num_epochs=1", "l1=.01", "lr=.5", f"model_in={model}", f"model_out={tmp_path}/m2"], spark)
+    first, more = load_model(spark, model), load_model(spark, str(tmp_path / "m2"))
+    assert more.history[0]["loss"] < first.history[-1]["loss"] and more.model.agg({"cnt": "sum"}).first()[0] == 2 * first.model.agg({"cnt": "sum"}).first()[0]
     cli.main(["task=predict", f"data_in={tmp_path}/d.txt", f"model_in={model}", f"pred_out={tmp_path}/p"], spark)
     assert spark.read.parquet(str(tmp_path / "p")).count() == 60
     cli.main(["task=convert", f"data_in={tmp_path}/d.txt", "data_format=libsvm", f"data_out={tmp_path}/r", "data_out_format=rec"], spark)
