@@ -15,6 +15,8 @@ from millrace.session import cut
 #: An id held by at least so large a share of the sets is a frequent one. There are at most (mean set size) / HOT of them, which bounds what is broadcast.
 HOT = 1 / 500
 SID = ["s1", "s2"]
+#: An id held by more sets than this makes a segment only together with the next id, so no id brings together more than its square of pairs.
+PAIRED = 1000
 #: Symbols that are verified at once in a worker, about.
 CELLS = 1_000_000
 
@@ -111,7 +113,20 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
     return candidates.select("e1", "e2", "t1", "t2", "a", "b", "most").mapInArrow(run, "e1 bigint, e2 bigint, t1 bigint, t2 bigint")
 
 
-def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
+def _cuts(least: float) -> Column:
+    """The segments of a string: p (the first symbol's place), id, id2. See overlap."""
+    n, cold, one = F.size("string"), F.col("cold"), F.lit(1)
+    k = (segments(n, least) - 1).cast("int")
+    few = F.ceil((n + F.ceil(n * F.lit(least) - F.lit(1e-9))) * F.lit(least / (1 + least)) - F.lit(1e-9)) < 2
+    first = F.least(k + 1, n)
+    singles = F.transform(F.slice("string", one, F.when(few, first).otherwise(F.least(first, cold)).cast("int")), lambda x, i: F.struct(i.alias("p"), x.alias("id"), x.alias("id2")))
+    last = F.least(k + 2, n)
+    at = lambda i: F.get("string", i)
+    pairs = F.flatten(F.transform(F.sequence(cold, last - 2), lambda i: F.transform(F.sequence(i + 1, last - 1), lambda j: F.struct(i.alias("p"), at(i).alias("id"), at(j).alias("id2")))))
+    return F.when(last - cold >= 2, F.concat(singles, pairs)).otherwise(singles)
+
+
+def overlap(rows: DataFrame, least: float = 0.75, paired: int = PAIRED) -> Overlap:
     """Links between distinct sets of feature ids, of at least that Jaccard similarity, one of which an evaluation row has and the other a training row.
 
     rows: row_id, split_name, source, features (array of idx, val); other columns are ignored. Rows without row_id, split or any non-null idx are in no link; the split's
@@ -122,7 +137,9 @@ def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
     are the ids that only one set holds. An evaluation string is cut into k + 1 segments, where k is the most symbols it may lose; a segment is one symbol, since the
     bound lets a third of the symbols change, and the k + 1 rarest symbols are taken, as any k + 1 will do and frequent ones would match everywhere. One segment at
     least is left alone by k deletions, and the first such one stands among the other string's own k + 1 rarest too, at a place that the edits before and after
-    it allow. What matches is verified by a banded dynamic program, all of it: nothing is capped or sampled.
+    it allow. Where that one is held by more than paired sets, it makes a segment only together with a second one: the next symbol left alone, which is as frequent
+    at least, stands among the k + 2 rarest of both. Strings so short that one common symbol may do have single ones all the same.
+    What matches is verified by a banded dynamic program, all of it: nothing is capped or sampled.
     """
     members = _members(rows)
     per_set = members.groupBy(*SID).agg(F.first("ids").alias("ids"), F.max((F.col("role") == "train").cast("int")).alias("trains"), F.max((F.col("role") == "eval").cast("int")).alias("evals"))
@@ -135,16 +152,16 @@ def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
     # Rows of frequent ids have their count now; what is left to join has no id with a large share.
     known = marked.filter(F.col("hot").isNotNull()).select(*SID, "id", F.col("hot").alias("n"))
     rest = marked.filter(F.col("hot").isNull()).select(*SID, "id").join(counts, "id")
-    strings = known.unionByName(rest.select(*SID, "id", "n")).groupBy(*SID).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("string"))
+    strings = known.unionByName(rest.select(*SID, "id", "n")).groupBy(*SID).agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("whole"))
+    strings = strings.select(*SID, F.transform("whole", lambda x: x["id"]).alias("string"), F.size(F.filter("whole", lambda x: x["n"] <= paired)).alias("cold"))
     strings = cut(strings.join(sets.select(*SID, "trains", "evals"), SID))
 
     def cuts(role: str, names: list[str], place: str, length: str) -> DataFrame:
-        n = F.size("string")
-        taken = strings.filter(F.col(role) == 1).select(*(F.col(c).alias(x) for c, x in zip(SID, names, strict=True)), n.alias(length), F.posexplode(F.slice("string", 1, segments(n, least).cast("int"))).alias(place, "id"))
-        return taken
+        keys = strings.filter(F.col(role) == 1).select(*(F.col(c).alias(x) for c, x in zip(SID, names, strict=True)), F.size("string").alias(length), F.explode_outer(_cuts(least)).alias("x"))
+        return keys.select(*names, length, F.col("x.p").alias(place), F.col("x.id").alias("id"), F.col("x.id2").alias("id2"))
 
     n, m, p, q = (F.col(c) for c in ("n", "m", "p", "q"))
-    near = cuts("evals", ["e1", "e2"], "p", "n").join(cuts("trains", ["t1", "t2"], "q", "m"), "id")
+    near = cuts("evals", ["e1", "e2"], "p", "n").join(cuts("trains", ["t1", "t2"], "q", "m"), ["id", "id2"])
     near = near.filter((m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (p + q + F.abs((n - p) - (m - q)) <= most_edits(n, m, least)) & ~((F.col("e1") == F.col("t1")) & (F.col("e2") == F.col("t2"))))
     pairs = near.select("e1", "e2", "t1", "t2", most_edits(n, m, least).cast("int").alias("most")).distinct()
     of = lambda x, y, name: strings.select(F.col("s1").alias(x), F.col("s2").alias(y), F.col("string").alias(name))
