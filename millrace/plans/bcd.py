@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import trust_radius
 from millrace.operators.features import assign_blocks, feature_counts, frequent_features, group_stats, keep_features, plan_blocks, triples
 from millrace.operators.losses import gradient_and_curvature, shifted_margins
 from millrace.operators.metrics import auc, correct, objective
@@ -51,8 +52,8 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
         for b in blocks:
             part = entries.filter(F.col("fblk") == b)
             both = models[b].join(gradient_and_curvature(part, scored), "fid", "left").na.fill(0.0, ["g", "h"])
-            d, radius = newton(p=update)
-            stepped = cut(both.withColumn("d", d).withColumn("delta", F.least(F.lit(5.0), 2 * F.abs("d") + 0.1)).withColumn("w", F.col("w") + F.col("d")))
+            d, _ = newton(p=update)
+            stepped = cut(both.withColumn("d", d).withColumn("delta", trust_radius("d")).withColumn("w", F.col("w") + F.col("d")))
             models[b] = stepped.select("fid", "cnt", "fblk", "w", "delta")
             scored = cut(shifted_margins(part, scored, stepped))
             if tested is not None:

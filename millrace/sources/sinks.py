@@ -51,8 +51,3 @@ def convert(spark, p) -> None:
         raise ValueError(f"can't write {p.data_out_format}")
     WRITERS[p.data_out_format](read(spark, p.data_in, p.data_format), p.data_out, p.part_size)
 
-
-def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
-    """A named block of data; by: a column by which it lies in folders, so that reading one block reads its files only."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(by) if by else w).parquet(path)

@@ -63,6 +63,5 @@ class TileStore(Store):
         self.store(name, tiles, "fblk")
 
     def tile(self, name: str, row_block: int, column_block: int) -> DataFrame:
-        """Reads that column block's files only; local row numbers begin at 0 again in each row block, as r_local."""
-        df = self.fetch(name).filter((F.col("fblk") == column_block) & (F.col("rblk") == row_block))
-        return df
+        """Reads that column block's files only."""
+        return self.fetch(name).filter((F.col("fblk") == column_block) & (F.col("rblk") == row_block))

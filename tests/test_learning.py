@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
 from millrace.operators import features as X
-from millrace.operators import linalg, losses, metrics, updates
+from millrace.operators import linalg, losses, metrics
 from millrace.params import BCDLearn, BCDUpdate, LBFGSLearn, LBFGSUpdate, SGDLearn, SGDUpdate
 from millrace.plans.bcd import train_bcd
 from millrace.plans.lbfgs import train_lbfgs, two_loop
