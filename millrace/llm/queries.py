@@ -78,6 +78,8 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every text's place for each limit: limit_id, container, doc_id, piece, first (token), tokens."""
     limits = [r for r in table(spark, d, "pack_limits").select("limit_id", "tokenizer", "capacity").collect() if None not in r]  # a fixed table of three rows
+    if not limits:
+        return spark.createDataFrame([], "limit_id bigint, container string, doc_id bigint, piece int, first bigint, tokens bigint")
     names = sorted({r.tokenizer for r in limits})
     sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", names))  # an id and some numbers a text, which are used twice
     each = F.explode(F.array(*(F.struct(F.lit(r.limit_id).cast("bigint").alias("limit_id"), F.col(r.tokenizer).alias("tokens"), F.lit(r.capacity).alias("capacity")) for r in limits))).alias("x")
