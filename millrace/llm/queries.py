@@ -77,7 +77,7 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every text's place for each limit: limit_id, container, doc_id, piece, first (token), tokens."""
-    limits = [r for r in table(spark, d, "pack_limits").select("limit_id", "tokenizer", "capacity").collect() if None not in r]  # a fixed table of three rows
+    limits = [r for r in table(spark, d, "pack_limits").select("limit_id", "tokenizer", "capacity").collect() if all(x is not None for x in r)]  # a fixed table of three rows
     if not limits:
         return spark.createDataFrame([], "limit_id bigint, container string, doc_id bigint, piece int, first bigint, tokens bigint")
     names = sorted({r.tokenizer for r in limits})
