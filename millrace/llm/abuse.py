@@ -20,7 +20,7 @@ JUDGED = 20_000
 BUCKETS = 1 << 19
 BIAS, EPOCHS, RATE, SHRINK, PRIOR, NOISE = -2.0, 60, 0.4, 1e-4, 1.0, 0.05
 #: A text is a case if the chance of its worst sentence is above this.
-CASE = 0.35
+CASE = 0.3
 #: Words that a masked or misspelled word may be read as: so many with the largest weights, of at least that weight.
 STRONG, STRONG_FROM = 3000, 0.8
 #: Texts that must hold a feature for it to get a weight.
