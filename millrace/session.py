@@ -35,7 +35,7 @@ def shared_checkpoints(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir names no shared folder, which a cluster needs")
         folder = tempfile.mkdtemp(prefix="millrace-checkpoints-")
     spark.sparkContext.setCheckpointDir(folder)
