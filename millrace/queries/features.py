@@ -15,6 +15,8 @@ from millrace.sources.lines import examples, parse_lines
 from millrace.sources.sinks import libsvm_lines
 from millrace.streaming.ftrl import windowed_counts
 
+#: Values of this size and more are counted apart in parsed_entries, besides being in its sum.
+LARGE = 1000
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "batch_feaids").select("fid").filter("fid is not null").distinct()
@@ -182,10 +184,18 @@ def push_pull(spark, d):
 
 
 def parsed_entries(spark, d):
-    """Per format: valid lines, their entries, and the sums of labels and values."""
-    e = examples(parse_lines(table(spark, d, "raw_lines")))
-    entry = F.aggregate("features", F.lit(0.0), lambda s, x: s + F.when(F.abs(x["val"]) < 1000, x["val"]).otherwise(0.0))
-    return e.groupBy("fmt").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("features")).alias("entries"), F.round(F.sum("label"), 3).alias("labels"), F.round(F.sum(F.coalesce(entry, F.lit(0.0))), 3).alias("vals"))
+    """Per format: valid lines, their entries, and the sums of labels and values; an entry without a value counts as 1.
+
+    vals is the sum over all entries. As one of 1e300 swamps what the others add, small_vals is the same sum over the entries below LARGE in size, whose
+    number is entries - large; unvalued: entries without a value; min_val, max_val: the least and the largest value.
+    """
+    e = examples(parse_lines(table(spark, d, "raw_lines"))).withColumn("vals", F.transform("features", lambda x: F.coalesce(x["val"], F.lit(1.0))))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    small = F.filter("vals", lambda v: F.abs(v) < LARGE)
+    return e.groupBy("fmt").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size("features")).alias("entries"), F.round(F.sum("label"), 3).alias("labels"), F.round(F.sum(total("vals")), 3).alias("vals"), F.round(F.sum(total(small)), 3).alias("small_vals"),
+        F.sum(F.size("vals") - F.size(small)).alias("large"), F.sum(F.size(F.filter("features", lambda x: x["val"].isNull()))).alias("unvalued"), F.min(F.array_min("vals")).alias("min_val"), F.max(F.array_max("vals")).alias("max_val"),
+    )
 
 
 def libsvm_text(spark, d):

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from brute import fields, reason
 from pyspark.sql import functions as F
 
+from millrace.queries.features import parsed_entries
 from millrace.sources.lines import examples, parse_lines, rejects
 
 SCHEMA = "line_id bigint, file_name string, fmt string, raw string"
@@ -75,3 +77,25 @@ def test_empty_table_extra_columns_and_repeats(spark):
     assert parse_lines(df.limit(0)).count() == 0
     bad = df.withColumn("raw", F.lit("?"))
     assert [tuple(r) for r in rejects(parse_lines(bad)).distinct().collect()] == [(1, "f", "libsvm", "label", "?")]
+
+
+def test_parsed_entries_sums_every_value(spark, tmp_path):
+    wide = "\t".join(["1", *["3"] * 13, *["abcdefgh"] * 26])
+    lines = {"libsvm": ["1 2:3 4", "0 2:-2.5 4 5:999.5 6:1000 7:-4000", "1", "1 3:x", "1 2:1e300 3:0.25"], "adfea": ["9 2 1 3:4 5:6", "9 1 0 7:1", "9 3 1 3:4"], "criteo": [wide, wide.replace("3", "", 3), wide + "\tx"], "criteo_test": [wide[2:]]}
+    rows = [(i, "f", fmt, raw) for i, (fmt, raw) in enumerate((fmt, raw) for fmt, own in lines.items() for raw in own)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/raw_lines.parquet")
+    got = {r.fmt: r for r in parsed_entries(spark, str(tmp_path)).collect()}
+    assert got.keys() == lines.keys()
+    for fmt, own in lines.items():
+        good = [x for x in own if reason(fmt, x) is None]
+        if fmt == "libsvm":
+            given = [t.partition(":")[2] for x in good for t in x.split()[1:]]
+        else:
+            given = [""] * sum(len(x.split()) - 3 if fmt == "adfea" else sum(1 for y in fields(x)[fmt == "criteo" :] if y) for x in good)
+        vals = [float(v) if v else 1.0 for v in given]
+        small = [v for v in vals if abs(v) < 1000]
+        r = got[fmt]
+        assert (r.rows, r.entries, r.large, r.unvalued) == (len(good), len(vals), len(vals) - len(small), given.count(""))
+        assert (r.vals, r.small_vals) == (pytest.approx(sum(vals)), pytest.approx(sum(small)))
+        assert (r.min_val, r.max_val) == (min(vals), max(vals))
+    assert got["libsvm"].vals == pytest.approx(1e300) and got["adfea"].vals == 3.0 and got["criteo"].vals == 39 + 36
