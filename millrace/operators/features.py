@@ -107,11 +107,20 @@ def every_tenth(rows: DataFrame, block: str = "blk", order: str = "row_id", step
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(block).orderBy(order)) - 1).filter(F.col("_k") % step == 0).drop("_k")
 
 
-def group_stats(entries: DataFrame, sampled: DataFrame, bits: int) -> DataFrame:
-    """Per feature group the entries on sampled rows: grp, nnz. sampled: row_id of the sampled rows."""
+def _group(bits: int) -> Column:
     if not 0 <= bits <= 16:
         raise ValueError("groups have at most 16 bits")
-    return entries.join(sampled.select("row_id"), "row_id", "left_semi").groupBy(decode_group("fid", bits).alias("grp")).agg(F.count(F.lit(1)).alias("nnz"))
+    return decode_group("fid", bits).alias("grp")
+
+
+def group_counts(counts: DataFrame, bits: int) -> DataFrame:
+    """Per feature group the entries of its features: grp, nnz. counts: fid, cnt."""
+    return counts.groupBy(_group(bits)).agg(F.sum("cnt").alias("nnz"))
+
+
+def group_stats(entries: DataFrame, sampled: DataFrame, bits: int) -> DataFrame:
+    """Per feature group the entries on sampled rows: grp, nnz. sampled: row_id of the sampled rows."""
+    return entries.join(sampled.select("row_id"), "row_id", "left_semi").groupBy(_group(bits)).agg(F.count(F.lit(1)).alias("nnz"))
 
 
 def plan_blocks(stats: dict[int, int], sampled: int, bits: int, ratio: float) -> list[tuple[int, int]]:

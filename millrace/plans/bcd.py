@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import trust_radius
-from millrace.operators.features import assign_blocks, feature_counts, frequent_features, group_stats, keep_features, plan_blocks, triples
+from millrace.operators.features import assign_blocks, feature_counts, frequent_features, group_counts, keep_features, plan_blocks, triples
 from millrace.operators.losses import gradient_and_curvature, shifted_margins
 from millrace.operators.metrics import auc, correct, objective
 from millrace.operators.updates import newton
@@ -18,12 +18,6 @@ from millrace.plans.sgd import Trained
 from millrace.session import Scratch, cut
 
 
-def sampled_rows(rows: DataFrame, step: int = 10) -> DataFrame:
-    """About every tenth row, by the hash of its id, so that no order of all rows is needed; all rows where there are few."""
-    some = rows.filter(F.pmod(F.xxhash64("row_id"), F.lit(step)) == 0).select("row_id")
-    return some if some.take(1) else rows.select("row_id")
-
-
 def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate = BCDUpdate(), val: DataFrame | None = None, on_epoch: Callable[[int, dict], None] | None = None) -> Trained:
     """rows, val: row_id, label, features. Margins are kept and moved by each block's steps; blocks are ranges of reversed ids, in an order that the seed gives.
 
@@ -34,9 +28,9 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
     entries = triples(rows)
     kept = cut(frequent_features(feature_counts(entries), update.tail_feature_filter))
     entries = keep_features(entries, kept)
-    sample = sampled_rows(rows)
-    stats = {r.grp: r.nnz for r in group_stats(entries, sample, learn.num_feature_group_bits).collect()}  # at most 2^16 groups
-    plan = plan_blocks(stats, sample.count(), learn.num_feature_group_bits, learn.block_ratio)
+    # Counted over all rows, so that each group with kept features gets a block at least.
+    stats = {r.grp: r.nnz for r in group_counts(kept, learn.num_feature_group_bits).collect()}  # at most 2^16 groups
+    plan = plan_blocks(stats, rows.count(), learn.num_feature_group_bits, learn.block_ratio)
     blocks = list(range(len(plan)))
     # In the order of blocks, so that a block's step reads its own row groups only.
     entries = scratch.write(assign_blocks(entries, plan), "fblk")

@@ -285,6 +285,15 @@ def test_bcd_equals_a_plain_version(spark):
     assert many.model.select("fid").distinct().count() == len(ids)
 
 
+def test_bcd_keeps_rare_groups(spark):
+    """Group 5 stands in 6 of 600 rows, of which the hash of row_id puts none into a tenth."""
+    tenth = {r.id for r in spark.range(600).filter("pmod(xxhash64(id), 10) = 0").collect()}
+    rare = [i for i in range(600) if i not in tenth][:6]
+    rows = [(i, float(i % 2), [((7 << 12) | 1, 1.0)] + ([((9 << 12) | 5, 1.0)] if i in rare else [])) for i in range(600)]
+    out = train_bcd(spark.createDataFrame(rows, ROWS), BCDLearn(max_num_epochs=1, num_feature_group_bits=12, block_ratio=1), BCDUpdate(l1=0.1))
+    assert column(out.model, "fid", "cnt") == {(7 << 12) | 1: 600, (9 << 12) | 5: 6}
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(x,) for x in (-30.0, -1.0, 0.0, 0.5, 30.0, None)], "x double")
     rows = df.select("x", S.power_gradient("x", 0.5).alias("p"), S.soft_threshold("x", 1.0, F.lit(2.0)).alias("s"), S.trust_radius("x").alias("t"), S.clamp_margin("x", 1).alias("c"), S.chance("x").alias("q"), S.label_sign("x").alias("y")).collect()
