@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
+from millrace.functions.ids import decode_group
 from millrace.operators import features as X
 from millrace.operators import linalg, metrics, updates
 from millrace.operators.losses import gradient, gradient_and_curvature, margins, shifted_margins
@@ -216,6 +217,21 @@ def bcd_block_margins(spark, d):
     return shifted_margins(e, _lin(spark, d), bcd_block_step(spark, d).select("fid", "d")).select("row_id", _r("margin", 8).alias("margin"))
 
 
+def bcd_group_steps(spark, d):
+    """Newton steps of every feature from the same margins, with its group as its block, and the next radii."""
+    m = model(spark, d).select("fid", "w", F.lit(1.0).alias("delta"))
+    step, radius = updates.newton(p=BCD)
+    both = gradient_and_curvature(events(spark, d), _lin(spark, d)).join(m, "fid")
+    return both.select("fid", decode_group("fid", 12).alias("grp"), _r(step).alias("d"), _r(radius).alias("delta"))
+
+
+def bcd_group_margins(spark, d):
+    """Per group and row that it touches, the row's margin after that group's steps alone; other rows keep theirs."""
+    steps = bcd_group_steps(spark, d).select("fid", "grp", "d")
+    change = events(spark, d).join(steps, "fid").groupBy("row_id", "grp").agg(F.sum(F.col("val") * F.col("d")).alias("c"))
+    return change.join(_lin(spark, d), "row_id").select("grp", "row_id", _r(F.col("margin") + F.col("c"), 8).alias("margin"))
+
+
 def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Counts, rare features dropped, a linear model, margins, and the measures of its predictions."""
     e = events(spark, d)
@@ -266,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_pipeline, spmv, spmv_trans, spmv_add, spmm, spmm_trans, spmm_squares, dense_products, logit_predict, logit_loss, logit_grad, logit_hess, logit_delta, fm_predict, fm_loss, fm_grad, scalar_functions, auc, accuracy, logloss,
-        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, lbfgs_dots, lbfgs_first_direction, lbfgs_linesearch_trial, bcd_block_step, bcd_block_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
+        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, lbfgs_dots, lbfgs_first_direction, lbfgs_linesearch_trial, bcd_block_step, bcd_block_margins, bcd_group_steps, bcd_group_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
     )
 }
 
@@ -277,6 +293,7 @@ _LOSS = "greatest(-{0} * margin, 0) + ln(1 + exp(-abs(margin)))"
 _STEP = """g AS (SELECT fid, sum(val * p) AS g, sum(val * val * -p * (y + p)) AS h FROM ev JOIN ls USING (row_id) WHERE fid & 4095 = 1 GROUP BY fid),
 u AS (SELECT fid, g, h / 0.9 + 1e-10 AS u, w FROM g JOIN md USING (fid)),
 st AS (SELECT fid, greatest(least(CASE WHEN g + 1 <= u * w THEN -(g + 1) / u WHEN g - 1 >= u * w THEN -(g - 1) / u ELSE -w END, 1.0), -1.0)::DOUBLE AS d FROM u)"""
+_STEPS = _STEP.replace(" WHERE fid & 4095 = 1", "")
 _DIR = "gd AS (SELECT fid, w, round(greatest(least(-(sum(val * p) + 0.1 * w), 5.0), -5.0), 4)::DOUBLE AS d FROM ev JOIN ls USING (row_id) JOIN md USING (fid) GROUP BY fid, w)"
 
 
@@ -329,4 +346,6 @@ SQL = {
     SELECT round((SELECT sum({_LOSS.format('y')}) FROM sc) + sum(0.05 * w * w), 3) AS objective, round(sum((g + 0.1 * w) * d), 2) AS slope FROM g2 JOIN m2 USING (fid)""",
     "bcd_block_step": f"WITH {MARGINS}, {_STEP} SELECT fid, round(d, 6) AS d, round(least(5, 2 * abs(d) + 0.1), 6) AS delta FROM st",
     "bcd_block_margins": f"WITH {MARGINS}, {_STEP}, c AS (SELECT row_id, sum(val * round(d, 6)) AS c FROM ev JOIN st USING (fid) GROUP BY row_id) SELECT row_id, round(margin + coalesce(c, 0), 8) AS margin FROM lm LEFT JOIN c USING (row_id)",
+    "bcd_group_steps": f"WITH {MARGINS}, {_STEPS} SELECT fid, fid & 4095 AS grp, round(d, 6) AS d, round(least(5, 2 * abs(d) + 0.1), 6) AS delta FROM st",
+    "bcd_group_margins": f"WITH {MARGINS}, {_STEPS}, c AS (SELECT row_id, fid & 4095 AS grp, sum(val * round(d, 6)) AS c FROM ev JOIN st USING (fid) GROUP BY 1, 2) SELECT grp, row_id, round(margin + c, 8) AS margin FROM c JOIN lm USING (row_id)",
 }

@@ -4,6 +4,7 @@ import pytest
 from compare import SMALL, assert_same, engine
 
 from millrace.queries import catalogue, core_modules
+from millrace.queries.inputs import EVENTS
 
 QUERIES, SQL = catalogue(core_modules())
 
@@ -36,3 +37,13 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_group_takes_its_steps(spark, con):
+    steps = {r.fid: r for r in QUERIES["bcd_group_steps"](spark, SMALL).collect()}
+    assert steps.keys() == {r.fid for r in QUERIES["feature_counts"](spark, SMALL).collect()}
+    assert {r.grp for r in steps.values()} == {0, 1, 2, 3, 4} and all(r.grp == f & 4095 for f, r in steps.items())
+    one = QUERIES["bcd_block_step"](spark, SMALL).collect()
+    assert one and all((r.d, r.delta) == (steps[r.fid].d, steps[r.fid].delta) for r in one)
+    touched = con.execute(f"WITH {EVENTS} SELECT count(*) FROM (SELECT DISTINCT row_id, fid & 4095 FROM ev)").fetchone()[0]
+    assert QUERIES["bcd_group_margins"](spark, SMALL).count() == touched
