@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -183,6 +185,31 @@ def push_pull(spark, d):
     return kv.pull(m, keys)
 
 
+def _order_counts(spark, d, shift: int):
+    """Orders per customer, of all orders; shifted keys leave some unmatched on both sides."""
+    return table(spark, d, "orders").groupBy((F.col("o_custkey") + shift).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+
+def _every_op(spark, d, join, columns: list[str]):
+    out = [join(_dst(spark, d), _order_counts(spark, d, 10), op=op).select(F.lit(op).alias("op"), "key", F.round("value", 8).alias("value"), *columns) for op in OPS]
+    return reduce(DataFrame.union, out)
+
+
+def kv_match_whole(spark, d):
+    """All operations between all customers and all orders."""
+    return _every_op(spark, d, kv.kv_match, ["matched"])
+
+
+def kv_union_whole(spark, d):
+    return _every_op(spark, d, kv.kv_union, [])
+
+
+def push_pull_whole(spark, d):
+    """Counts of all orders pushed to a model, and pulled for all their keys, shifted."""
+    m = kv.push(_dst(spark, d), _order_counts(spark, d, 0)).select(F.col("key").alias("fid"), F.round("value", 4).alias("value"))
+    return kv.pull(m, table(spark, d, "orders").select((F.col("o_custkey") + 10).alias("fid")))
+
+
 def parsed_entries(spark, d):
     """Per format: valid lines, their entries, and the sums of labels and values; an entry without a value counts as 1.
 
@@ -215,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reverse_feature_id, encode_group_id, decode_group_id, hash_mod, range_segment, feature_counts, feature_counts_hashed, block_counts_merged, tail_filter, dictionary, localize, colmap, feature_group_stats, plan_feature_blocks,
-        assign_blocks, range_assign, transpose_csc, minibatch_stats, shuffle_buffer, neg_downsample, partition_rows, row_block_triples, kv_match_vectors, kv_match_ragged, find_position, push_pull, parsed_entries, libsvm_text, windowed_group_counts,
+        assign_blocks, range_assign, transpose_csc, minibatch_stats, shuffle_buffer, neg_downsample, partition_rows, row_block_triples, kv_match_vectors, kv_match_ragged, find_position, push_pull, kv_match_whole, kv_union_whole, push_pull_whole, parsed_entries, libsvm_text, windowed_group_counts,
     )
 }
 QUERIES |= {f"kv_match_{op}": _matcher(op) for op in OPS} | {f"kv_union_{op}": _joiner(op) for op in OPS}
@@ -272,3 +299,10 @@ SQL |= {
     SELECT coalesce(few.key, src.key) AS key, round(CASE WHEN src.key IS NULL THEN few.value ELSE {_OPS[op].format("coalesce(few.value, 0.0)", "src.value")} END, 8) AS value FROM few FULL JOIN src ON few.key = src.key"""
     for op in OPS
 }
+_WHOLE = "dst AS (SELECT c_custkey AS key, round(c_acctbal / 100, 2) AS value FROM customer), src AS (SELECT o_custkey + {0} AS key, count(*)::DOUBLE AS value FROM orders GROUP BY 1)"
+SQL |= {
+    "kv_match_whole": f"WITH {_WHOLE.format(10)} " + " UNION ALL ".join(f"SELECT '{op}' AS op, key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format('dst.value', 'src.value')} END, 8) AS value, src.key IS NOT NULL AS matched FROM dst LEFT JOIN src USING (key)" for op in OPS),
+    "kv_union_whole": f"WITH {_WHOLE.format(10)} " + " UNION ALL ".join(f"SELECT '{op}' AS op, coalesce(dst.key, src.key) AS key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format('coalesce(dst.value, 0.0)', 'src.value')} END, 8) AS value FROM dst FULL JOIN src ON dst.key = src.key" for op in OPS),
+    "push_pull_whole": f"""WITH {_WHOLE.format(0)}, m AS (SELECT coalesce(dst.key, src.key) AS fid, round(coalesce(dst.value, 0) + coalesce(src.value, 0), 4) AS value FROM dst FULL JOIN src ON dst.key = src.key)
+    SELECT fid, value FROM (SELECT DISTINCT o_custkey + 10 AS fid FROM orders) LEFT JOIN m USING (fid)""",
+}

@@ -177,6 +177,13 @@ def embedding_promotion(spark, d):
     return out.select("fid", "cnt", F.col("v").isNotNull().alias("embedded"), _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+def embedding_promotion_whole(spark, d):
+    """The counts of all features pushed again to a model that has weights but no embeddings."""
+    s = _state(spark, d).withColumn("v", F.lit(None).cast("array<double>"))
+    out = updates.add_counts(s, X.feature_counts(events(spark, d)), SGD, lambda fid, dim, scale: F.array_repeat(F.lit(scale), dim))
+    return out.select("fid", "cnt", F.col("v").isNotNull().alias("embedded"), _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
 def lbfgs_dots(spark, d):
     """Inner products of three vectors over the model's table, in one pass."""
     m = model(spark, d).filter("v is not null").withColumn("g", F.transform("v", lambda x: x * x))
@@ -282,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_pipeline, spmv, spmv_trans, spmv_add, spmm, spmm_trans, spmm_squares, dense_products, logit_predict, logit_loss, logit_grad, logit_hess, logit_delta, fm_predict, fm_loss, fm_grad, scalar_functions, auc, accuracy, logloss,
-        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, lbfgs_dots, lbfgs_first_direction, lbfgs_linesearch_trial, bcd_block_step, bcd_block_margins, bcd_group_steps, bcd_group_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
+        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, embedding_promotion_whole, lbfgs_dots, lbfgs_first_direction, lbfgs_linesearch_trial, bcd_block_step, bcd_block_margins, bcd_group_steps, bcd_group_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
     )
 }
 
@@ -339,6 +346,7 @@ SQL = {
     SELECT fid, round(w_new, 6) AS w, round(s_new, 4) AS s, round(z_new, 4) AS z FROM s4""",
     "ftrl_step": f"WITH {MARGINS}, gr AS (SELECT fid, any_value(w) AS w, " + ", ".join(f"any_value(v{j}) AS v{j}, sum(val * p * s{j}) - any_value(v{j}) * sum(val * val * p) + 0.01 * any_value(v{j}) AS g{j}" for j in _J) + f", sum(val * p) + 0.1 * any_value(w) AS gs, 0.5::DOUBLE AS s, -2 * any_value(w) AS z FROM ev JOIN fs USING (row_id) JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY fid), s1 AS (SELECT * FROM gr), {_W.format(lr='0.1', l1='0.5')} SELECT fid, round(w_new, 5) AS w, round(s_new, 4) AS s, round(z_new, 3) AS z, " + ", ".join(f"round(v{j} - 0.1 / (sqrt(0.0625 + g{j} * g{j}) + 1) * g{j}, 5) AS v{j}, round(sqrt(0.0625 + g{j} * g{j}), 4) AS c{j}" for j in _J) + " FROM s4",
     "embedding_promotion": f"WITH {EVENTS}, n AS (SELECT fid, v0, CASE WHEN fid % 3 = 0 THEN 0 ELSE w END AS w, (cnt + CASE WHEN fid % 2 = 0 THEN cnt ELSE 0 END)::DOUBLE AS cnt, v0 + v1 + v2 + v3 AS t FROM md) SELECT fid, cnt, v0 IS NOT NULL OR (cnt > 60 AND w <> 0) AS embedded, round(CASE WHEN v0 IS NOT NULL THEN t WHEN cnt > 60 AND w <> 0 THEN 0.04 END, 6) AS total FROM n",
+    "embedding_promotion_whole": f"WITH {EVENTS} SELECT fid, (2 * cnt)::DOUBLE AS cnt, 2 * cnt > 60 AND w <> 0 AS embedded, round(CASE WHEN 2 * cnt > 60 AND w <> 0 THEN 0.04 END, 6)::DOUBLE AS total FROM md",
     "lbfgs_dots": f"WITH {EVENTS} SELECT round(sum(" + " + ".join(f"v{j} * v{j}" for j in _J) + "), 6) AS vv, round(sum(" + " + ".join(f"v{j} * v{j} * v{j}" for j in _J) + "), 6) AS vg, round(sum(" + " + ".join(f"v{j} * v{j} * v{j} * v{j}" for j in _J) + "), 6) AS gg, round(sum(w * w), 6) AS ww FROM md WHERE v0 IS NOT NULL",
     "lbfgs_first_direction": f"WITH {MARGINS}, {_DIR} SELECT fid, d FROM gd",
     "lbfgs_linesearch_trial": f"""WITH {MARGINS}, {_DIR}, m2 AS (SELECT fid, d, w + 0.01 * d AS w FROM gd),
