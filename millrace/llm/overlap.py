@@ -10,13 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut
-
-#: An id held by at least so large a share of the sets is a frequent one. There are at most (mean set size) / HOT of them, which bounds what is broadcast.
-HOT = 1 / 500
 SID = ["s1", "s2"]
-#: An id held by more sets than this makes a segment only together with the next id, so no id brings together more than its square of pairs.
-PAIRED = 1000
+#: Tasks among which the training strings that hold one segment are dealt; larger ones are split by Spark's own skew join.
+SALTS = 4
 #: Symbols that are verified at once in a worker, about.
 CELLS = 1_000_000
 
@@ -32,10 +28,13 @@ class Overlap:
 
 def _members(rows: DataFrame) -> DataFrame:
     split = F.lower(F.btrim("split_name", F.lit(" \t\r\n")))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("features", lambda x: x["idx"]), lambda x: x.isNotNull())))
-    out = rows.select("row_id", split.alias("split"), "source", ids.alias("ids")).filter(F.col("row_id").isNotNull() & F.col("split").isin("train", "val", "test") & (F.size("ids") > 0))
+    ids = F.array_distinct(F.filter(F.transform("features", lambda x: x["idx"]), lambda x: x.isNotNull()))
+    # One order for all strings, by hashes: frequent ids then stand between rare ones, so few segments are made of frequent ones alone.
+    string = F.transform(F.sort_array(F.transform(ids, lambda x: F.struct(F.xxhash64(x).alias("at"), x.alias("id")))), lambda x: x["id"])
+    some = F.exists("features", lambda x: x["idx"].isNotNull())
+    out = rows.filter(some).select("row_id", split.alias("split"), "source", string.alias("string")).filter(F.col("row_id").isNotNull() & F.col("split").isin("train", "val", "test"))
     # Two hashes with different starts: 128 bits in all.
-    return out.withColumns({"role": F.when(F.col("split") == "train", "train").otherwise("eval"), "s1": F.xxhash64("ids"), "s2": F.xxhash64(F.lit("other"), "ids")})
+    return out.withColumns({"role": F.when(F.col("split") == "train", "train").otherwise("eval"), "s1": F.xxhash64("string"), "s2": F.xxhash64(F.lit("other"), "string")})
 
 
 def most_edits(n: Column, m: Column, least: float) -> Column:
@@ -43,9 +42,9 @@ def most_edits(n: Column, m: Column, least: float) -> Column:
     return n + m - 2 * F.ceil((n + m) * F.lit(least / (1 + least)) - F.lit(1e-9))
 
 
-def segments(n: Column, least: float) -> Column:
-    """Segments cut from a string of n symbols: one more than the deletions it may suffer."""
-    return n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 1
+def segment_number(n: Column, least: float) -> Column:
+    """Segments of an evaluation string of n symbols: one more than the edits that part it from any string alike, k = n (1 - least) / least at most."""
+    return (F.floor(n * F.lit((1 - least) / least) + F.lit(1e-9)) + 1).cast("int")
 
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
@@ -113,60 +112,66 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
     return candidates.select("e1", "e2", "t1", "t2", "a", "b", "most").mapInArrow(run, "e1 bigint, e2 bigint, t1 bigint, t2 bigint")
 
 
-def _cuts(least: float) -> Column:
-    """The segments of a string: p (the first symbol's place), id, id2. See overlap."""
-    n, cold, one = F.size("string"), F.col("cold"), F.lit(1)
-    k = (segments(n, least) - 1).cast("int")
-    few = F.ceil((n + F.ceil(n * F.lit(least) - F.lit(1e-9))) * F.lit(least / (1 + least)) - F.lit(1e-9)) < 2
-    first = F.least(k + 1, n)
-    singles = F.transform(F.slice("string", one, F.when(few, first).otherwise(F.least(first, cold)).cast("int")), lambda x, i: F.struct(i.alias("p"), x.alias("id"), x.alias("id2")))
-    last = F.least(k + 2, n)
-    at = lambda i: F.get("string", i)
-    pairs = F.flatten(F.transform(F.sequence(cold, last - 2), lambda i: F.transform(F.sequence(i + 1, last - 1), lambda j: F.struct(i.alias("p"), at(i).alias("id"), at(j).alias("id2")))))
-    return F.when(last - cold >= 2, F.concat(singles, pairs)).otherwise(singles)
+def _segments(least: float) -> Column:
+    """The segments of an evaluation string, which together are all of it: place (of the first symbol) and the hash of the symbols. See overlap."""
+    n = F.size("string")
+    k = segment_number(n, least)
+    at = lambda i: F.floor(i * n / k).cast("int")
+    whole = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(at(i).alias("place"), F.xxhash64(F.slice("string", at(i) + 1, at(i + 1) - at(i))).alias("segment")))
+    lost = (n - F.ceil(n * F.lit(least) - F.lit(1e-9))).cast("int")
+    single = F.transform(F.slice("string", F.lit(1), lost + 1), lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.array(x)).alias("segment")))
+    return F.when(k <= n, whole).otherwise(single)
+
+
+def _substrings(least: float) -> Column:
+    """The substrings of a training string that are as long as a segment of an evaluation string of like length: place and hash."""
+    m = F.size("string")
+    number = lambda n: segment_number(n, least)
+    partner = F.sequence(F.ceil(m * F.lit(least) - F.lit(1e-9)).cast("int"), F.floor(m / F.lit(least) + F.lit(1e-9)).cast("int"))
+    long = lambda n: F.when(number(n) <= n, F.array(F.floor(n / number(n)).cast("int"), F.ceil(n / number(n)).cast("int"))).otherwise(F.array(F.lit(1)))
+    lengths = F.filter(F.array_distinct(F.flatten(F.transform(partner, long))), lambda x: x <= m)
+    of = lambda x: F.transform(F.sequence(F.lit(0), m - x), lambda q: F.struct(q.alias("place"), F.xxhash64(F.slice("string", q + 1, x)).alias("segment")))
+    return F.flatten(F.transform(lengths, of))
 
 
-def overlap(rows: DataFrame, least: float = 0.75, paired: int = PAIRED) -> Overlap:
+def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
     """Links between distinct sets of feature ids, of at least that Jaccard similarity, one of which an evaluation row has and the other a training row.
 
     rows: row_id, split_name, source, features (array of idx, val); other columns are ignored. Rows without row_id, split or any non-null idx are in no link; the split's
     case and outer blanks don't matter; order and repetition of idx don't either. Redelivered rows count once. Copies of a set are one set with many members, so a
     group of copies of any size makes one link, not one per pair.
 
-    The ids of a set, rarest first, are its string. As its symbols are distinct and all strings are in one order, the insertions and deletions between two strings
-    are the ids that only one set holds. An evaluation string is cut into k + 1 segments, where k is the most symbols it may lose; a segment is one symbol, since the
-    bound lets a third of the symbols change, and the k + 1 rarest symbols are taken, as any k + 1 will do and frequent ones would match everywhere. One segment at
-    least is left alone by k deletions, and the first such one stands among the other string's own k + 1 rarest too, at a place that the edits before and after
-    it allow. Where that one is held by more than paired sets, it makes a segment only together with a second one: the next symbol left alone, which is as frequent
-    at least, stands among the k + 2 rarest of both. Strings so short that one common symbol may do have single ones all the same.
-    What matches is verified by a banded dynamic program, all of it: nothing is capped or sampled.
+    The ids of a set in the order of their hashes are its string. As its symbols are distinct and all strings are in one order, the insertions and deletions between two
+    strings are the ids that only one set holds. The whole evaluation string is cut into k + 1 segments, where k is the most edits that may part it from a string alike; each
+    edit spoils one segment at most, so one segment at least stands unspoilt in the other string, at a place that the edits before and after it allow. Training strings
+    give their substrings of those lengths (at 0.75 of 1 to 3 symbols, about two for each symbol), and the two meet by the segment. Bounds so low that k + 1 is
+    more than the symbols make segments of one symbol, which only deletions spoil: one more than may be deleted.
+    A pair that meets has to pass a 64-bit mark of its sets (a bit for each id's hash; sets that differ in d ids differ in d bits at most), and what passes is verified by a
+    banded dynamic program, all of it: nothing is capped or sampled. The training strings that hold one segment are dealt among SALTS tasks.
     """
     members = _members(rows)
-    per_set = members.groupBy(*SID).agg(F.first("ids").alias("ids"), F.max((F.col("role") == "train").cast("int")).alias("trains"), F.max((F.col("role") == "eval").cast("int")).alias("evals"))
-    sets = cut(per_set)
-    symbols = sets.select(*SID, F.explode("ids").alias("id"))
-    counts = symbols.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    frequent = sets.agg(F.count(F.lit(1)).alias("of")).scalar() * F.lit(HOT)
-    hot = counts.filter(F.col("n") >= frequent)
-    marked = symbols.join(F.broadcast(hot.withColumnRenamed("n", "hot")), "id", "left")
-    # Rows of frequent ids have their count now; what is left to join has no id with a large share.
-    known = marked.filter(F.col("hot").isNotNull()).select(*SID, "id", F.col("hot").alias("n"))
-    rest = marked.filter(F.col("hot").isNull()).select(*SID, "id").join(counts, "id")
-    strings = known.unionByName(rest.select(*SID, "id", "n")).groupBy(*SID).agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("whole"))
-    strings = strings.select(*SID, F.transform("whole", lambda x: x["id"]).alias("string"), F.size(F.filter("whole", lambda x: x["n"] <= paired)).alias("cold"))
-    strings = cut(strings.join(sets.select(*SID, "trains", "evals"), SID))
-
-    def cuts(role: str, names: list[str], place: str, length: str) -> DataFrame:
-        keys = strings.filter(F.col(role) == 1).select(*(F.col(c).alias(x) for c, x in zip(SID, names, strict=True)), F.size("string").alias(length), F.explode_outer(_cuts(least)).alias("x"))
-        return keys.select(*names, length, F.col("x.p").alias(place), F.col("x.id").alias("id"), F.col("x.id2").alias("id2"))
-
-    n, m, p, q = (F.col(c) for c in ("n", "m", "p", "q"))
-    near = cuts("evals", ["e1", "e2"], "p", "n").join(cuts("trains", ["t1", "t2"], "q", "m"), ["id", "id2"])
-    near = near.filter((m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (p + q + F.abs((n - p) - (m - q)) <= most_edits(n, m, least)) & ~((F.col("e1") == F.col("t1")) & (F.col("e2") == F.col("t2"))))
-    pairs = near.select("e1", "e2", "t1", "t2", most_edits(n, m, least).cast("int").alias("most")).distinct()
-    of = lambda x, y, name: strings.select(F.col("s1").alias(x), F.col("s2").alias(y), F.col("string").alias(name))
-    found = _verified(pairs.join(of("e1", "e2", "a"), ["e1", "e2"]).join(of("t1", "t2", "b"), ["t1", "t2"]), least)
-    same = sets.filter((F.col("trains") == 1) & (F.col("evals") == 1)).select(*(F.col(c).alias(x) for x, c in (("e1", "s1"), ("e2", "s2"), ("t1", "s1"), ("t2", "s2"))))
+    train, test = 1, 2
+    # All that follows needs the same columns of this table, so that its exchange is made once and used again. The string is a key too: then the hashes decide nothing.
+    roles = F.bit_or(F.when(F.col("role") == "train", train).otherwise(test)).alias("roles")
+    sets = members.groupBy(*SID, "string").agg(roles)
+    mark = F.aggregate("string", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(x).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+
+    def cuts(role: int, key: str, prefix: str, made: Column) -> DataFrame:
+        of = sets.filter(F.col("roles").bitwiseAND(F.lit(role)) > 0).select(F.col("s1").alias(key), F.size("string").alias(f"{prefix}_size"), mark.alias(f"{prefix}_mark"), F.explode_outer(made).alias("x"))
+        return of.select(key, f"{prefix}_size", f"{prefix}_mark", F.col("x.place").alias(f"{prefix}_at"), F.col("x.segment").alias("segment"))
+
+    tests = cuts(test, "e", "e", _segments(least)).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    trains = cuts(train, "t", "t", _substrings(least)).withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int"))
+    n, m, p, q = (F.col(c) for c in ("e_size", "t_size", "e_at", "t_at"))
+    most = most_edits(n, m, least)
+    close = (m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (F.abs(p - q) + F.abs((n - p) - (m - q)) <= most) & (F.bit_count(F.col("e_mark").bitwiseXOR(F.col("t_mark"))) <= most)
+    # Sets of the same s1 are taken for the same here; different ones that are alike as well would have to collide, against 2^64.
+    pairs = tests.join(trains, ["segment", "salt"]).filter(close & (F.col("e") != F.col("t"))).select("e", "t").distinct()
+    of = lambda x, y, name: sets.select(F.col("s1").alias(x), F.col("s2").alias(y), F.col("string").alias(name), F.col("roles").alias(f"{name}_roles"))
+    strings = pairs.withColumnsRenamed({"e": "e1", "t": "t1"}).join(of("e1", "e2", "a"), "e1").join(of("t1", "t2", "b"), "t1")
+    strings = strings.filter((F.col("a_roles").bitwiseAND(F.lit(test)) > 0) & (F.col("b_roles").bitwiseAND(F.lit(train)) > 0))
+    found = _verified(strings.withColumn("most", most_edits(F.size("a"), F.size("b"), least).cast("int")), least)
+    same = sets.filter(F.col("roles") == train + test).select(*(F.col(c).alias(x) for x, c in (("e1", "s1"), ("e2", "s2"), ("t1", "s1"), ("t2", "s2"))))
     return Overlap(members.select("row_id", "role", "split", "source", *SID).distinct(), found.unionByName(same))
 
 
