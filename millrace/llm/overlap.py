@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 SID = ["s1", "s2"]
 #: Tasks among which the training strings that hold one segment are dealt; larger ones are split by Spark's own skew join.
 SALTS = 4
@@ -28,7 +30,7 @@ class Overlap:
 
 def _members(rows: DataFrame) -> DataFrame:
     split = F.lower(F.btrim("split_name", F.lit(" \t\r\n")))
-    ids = F.array_distinct(F.filter(F.transform("features", lambda x: x["idx"]), lambda x: x.isNotNull()))
+    ids = F.array_except(F.col("features")["idx"], F.array(F.lit(None).cast("bigint")))  # distinct ones, without null
     # One order for all strings, by hashes: frequent ids then stand between rare ones, so few segments are made of frequent ones alone.
     string = F.transform(F.sort_array(F.transform(ids, lambda x: F.struct(F.xxhash64(x).alias("at"), x.alias("id")))), lambda x: x["id"])
     some = F.exists("features", lambda x: x["idx"].isNotNull())
@@ -112,26 +114,25 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
     return candidates.select("e1", "e2", "t1", "t2", "a", "b", "most").mapInArrow(run, "e1 bigint, e2 bigint, t1 bigint, t2 bigint")
 
 
-def _segments(least: float) -> Column:
-    """The segments of an evaluation string, which together are all of it: place (of the first symbol) and the hash of the symbols. See overlap."""
-    n = F.size("string")
-    k = segment_number(n, least)
-    at = lambda i: F.floor(i * n / k).cast("int")
-    whole = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(at(i).alias("place"), F.xxhash64(F.slice("string", at(i) + 1, at(i + 1) - at(i))).alias("segment")))
+def _segments(strings: DataFrame, least: float) -> DataFrame:
+    """The segments of evaluation strings, which together are all of each: place (of the first symbol) and segment (the hash of its symbols). See overlap."""
+    n, i = F.size("string"), F.col("i")
+    whole = segment_number(n, least)
     lost = (n - F.ceil(n * F.lit(least) - F.lit(1e-9))).cast("int")
-    single = F.transform(F.slice("string", F.lit(1), lost + 1), lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.array(x)).alias("segment")))
-    return F.when(k <= n, whole).otherwise(single)
+    cut_up = strings.withColumn("number", F.when(whole <= n, whole).otherwise(F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(whole <= n, whole - 1).otherwise(lost))))
+    at = lambda i: F.when(F.col("number") > 0, F.floor(i * n / F.greatest("number", F.lit(1))).cast("int")).otherwise(i)
+    return cut_up.withColumns({"place": at(i), "past": at(i + 1)}).withColumn("segment", F.xxhash64(F.slice("string", F.col("place") + 1, F.col("past") - F.col("place"))))
 
 
-def _substrings(least: float) -> Column:
-    """The substrings of a training string that are as long as a segment of an evaluation string of like length: place and hash."""
+def _substrings(strings: DataFrame, least: float) -> DataFrame:
+    """The substrings of training strings that are as long as a segment of an evaluation string of like length: place and segment."""
     m = F.size("string")
     number = lambda n: segment_number(n, least)
     partner = F.sequence(F.ceil(m * F.lit(least) - F.lit(1e-9)).cast("int"), F.floor(m / F.lit(least) + F.lit(1e-9)).cast("int"))
     long = lambda n: F.when(number(n) <= n, F.array(F.floor(n / number(n)).cast("int"), F.ceil(n / number(n)).cast("int"))).otherwise(F.array(F.lit(1)))
-    lengths = F.filter(F.array_distinct(F.flatten(F.transform(partner, long))), lambda x: x <= m)
-    of = lambda x: F.transform(F.sequence(F.lit(0), m - x), lambda q: F.struct(q.alias("place"), F.xxhash64(F.slice("string", q + 1, x)).alias("segment")))
-    return F.flatten(F.transform(lengths, of))
+    lengths = strings.withColumn("length", F.explode(F.array_distinct(F.flatten(F.transform(partner, long)))))
+    places = lengths.filter(F.col("length") <= m).withColumn("place", F.explode(F.sequence(F.lit(0), m - F.col("length"))))
+    return places.withColumn("segment", F.xxhash64(F.slice("string", F.col("place") + 1, F.col("length"))))
 
 
 def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
@@ -151,17 +152,17 @@ def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
     """
     members = _members(rows)
     train, test = 1, 2
-    # All that follows needs the same columns of this table, so that its exchange is made once and used again. The string is a key too: then the hashes decide nothing.
     roles = F.bit_or(F.when(F.col("role") == "train", train).otherwise(test)).alias("roles")
-    sets = members.groupBy(*SID, "string").agg(roles)
+    # The string is a key too, so the hashes decide nothing. Written, as four branches read it.
+    sets = cut(members.groupBy(*SID, "string").agg(roles))
     mark = F.aggregate("string", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(x).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
 
-    def cuts(role: int, key: str, prefix: str, made: Column) -> DataFrame:
-        of = sets.filter(F.col("roles").bitwiseAND(F.lit(role)) > 0).select(F.col("s1").alias(key), F.size("string").alias(f"{prefix}_size"), mark.alias(f"{prefix}_mark"), F.explode_outer(made).alias("x"))
-        return of.select(key, f"{prefix}_size", f"{prefix}_mark", F.col("x.place").alias(f"{prefix}_at"), F.col("x.segment").alias("segment"))
+    def cuts(role: int, key: str, make) -> DataFrame:
+        of = sets.filter(F.col("roles").bitwiseAND(F.lit(role)) > 0).select(F.col("s1").alias(key), "string", F.size("string").alias(f"{key}_size"), mark.alias(f"{key}_mark"))
+        return make(of, least).select(key, f"{key}_size", f"{key}_mark", F.col("place").alias(f"{key}_at"), "segment")
 
-    tests = cuts(test, "e", "e", _segments(least)).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    trains = cuts(train, "t", "t", _substrings(least)).withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int"))
+    tests = cuts(test, "e", _segments).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    trains = cuts(train, "t", _substrings).withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int"))
     n, m, p, q = (F.col(c) for c in ("e_size", "t_size", "e_at", "t_at"))
     most = most_edits(n, m, least)
     close = (m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (F.abs(p - q) + F.abs((n - p) - (m - q)) <= most) & (F.bit_count(F.col("e_mark").bitwiseXOR(F.col("t_mark"))) <= most)
