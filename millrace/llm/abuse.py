@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,16 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokenizers import kept
-
 #: At most so many judged documents are learned from, those with the smallest hashes of their ids; so the model takes the same room for any corpus.
 JUDGED = 20_000
 BUCKETS = 1 << 19
 BIAS, EPOCHS, RATE, SHRINK, PRIOR, NOISE = -2.0, 60, 0.4, 1e-4, 1.0, 0.05
-#: A text is a case if the chance of its worst sentence is above this.
-CASE = 0.3
-#: Words that a masked or misspelled word may be read as: so many with the largest weights, of at least that weight.
-STRONG, STRONG_FROM = 3000, 0.8
+#: A text is a case if the noisy-or of its sentences' chances is above this.
+CASE = 0.5
+#: Sentences of less chance than this add nothing to a text's score: however many harmless ones a long text has, they make no case.
+FLOOR = 0.05
+#: Words that a masked or misspelled word may be read as have at least this weight.
+STRONG_FROM = 0.8
+#: Different words whose hashes a task keeps at hand; beyond that it starts anew.
+WORDS = 200_000
 #: Texts that must hold a feature for it to get a weight.
 MOST_ALONE = 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -73,11 +76,15 @@ class _Folded(dict):
         return self[code]
 
 
+_FOLD = _Folded()
+
+
 def sentences(text: str | None) -> list[list[str]]:
     """The words of each sentence of a subtitle text, in lower case, without cue numbers, times, tags and addresses.
 
     A sentence may run over cues; the words of each of its cues then come out by themselves too, as not every cue ends with a stop. One that trails off in
-    dots also comes out joined to the next, as it may go on there. Letters that stand alone, three or more in a row, are one word.
+    dots also comes out joined to the next, as it may go on there. Letters that stand alone, three or more in a row, are one word. What is said again comes out once,
+    as it is no new evidence.
     Texts are read whole; null and empty ones have no sentence.
     """
     if not text:
@@ -96,7 +103,7 @@ def sentences(text: str | None) -> list[list[str]]:
         t = _TAGS.sub(" ", t)
     if "@" in t or "www" in t or "://" in t:
         t = _LINKS.sub(" ", t)
-    t = t.lower() if t.isascii() else t.translate(kept(("fold", BUCKETS), _Folded))
+    t = t.lower() if t.isascii() else t.translate(_FOLD)
     t = _ENDS.sub("\x02", _TRAILS.sub("\x01\x02", t)).translate(_PARTS)
     out: list[list[str]] = []
     trailing = False
@@ -111,7 +118,7 @@ def sentences(text: str | None) -> list[list[str]]:
         if trailing:
             out.append(before + words)
         trailing, before = part[-1] == "\x01", words
-    return out
+    return list({tuple(x): x for x in out}.values())
 
 
 def _words(text: str) -> list[str]:
@@ -160,22 +167,25 @@ def _hash(word: str) -> int:
 
 
 class _Words(dict):
+    """The place of each word's hashes in the reader's table."""
+
     def __init__(self, reader: Reader):
         super().__init__()
         self.reader = reader
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = self.reader.number(word)
+        self[word] = n = self.reader.add(word)
         return n
 
 
 class Reader:
-    """Sentences as hashed features. strong: words that masked and misspelled ones may be read as; known: hashes of words seen in learning, which stand as they are."""
+    """Sentences as hashed features. strong: words that masked and misspelled ones may be read as; known: words seen in learning that look like misspelled strong ones, and stand as they are.
 
-    def __init__(self, strong: list[str] = (), known: frozenset[int] = frozenset()):
-        self.strong, self.known, self.words = set(strong), known, _Words(self)
-        self.places: dict[str, int] = {}
-        self.table = [(0, 0)]
+    Hashes of words met before lie in a table that is emptied between two calls once it holds WORDS of them, so a reader takes the same room however many words it sees.
+    """
+
+    def __init__(self, strong: list[str] = (), known: frozenset[str] = frozenset()):
+        self.strong, self.known = set(strong), known
         self.by_length: dict[int, list[str]] = {}
         self.short: dict[str, str] = {}
         for w in strong:
@@ -183,6 +193,10 @@ class Reader:
             if len(w) >= 5:
                 for i in range(len(w)):
                     self.short.setdefault(w[:i] + w[i + 1 :], w)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.places, self.used, self.table = _Words(self), 1, np.zeros((1 << 12, 2), np.uint64)
 
     def read(self, word: str) -> str:
         w = canonical(word)
@@ -191,35 +205,41 @@ class Reader:
             fit = w.strip("*") and next((v for v in self.by_length.get(len(w), ()) if star.fullmatch(v)), None)
             # A mask may stand for a doubled letter that the canonical form holds once.
             return fit or (next((v for v in self.by_length.get(len(w) - 1, ()) if v[0] == w[0] and v[-1] == w[-1]), w) if w.strip("*") else "*")
-        if len(w) >= 5 and w not in self.strong and _hash(w) not in self.known:
-            if v := self.short.get(w):  # a letter left out
-                return v
-            for i in range(len(w)):
-                less = w[:i] + w[i + 1 :]
-                if less in self.strong and len(less) >= 5:  # a letter too many
-                    return less
-                if (v := self.short.get(less)) and v[0] == w[0]:  # another letter, or two that changed places
-                    return v
+        if len(w) >= 5 and w not in self.strong and w not in self.known:
+            return self.near(w) or w
         return w
 
-    def number(self, word: str) -> int:
-        """The word's place in the table of hashes; 0 for no word."""
+    def near(self, w: str) -> str | None:
+        """A strong word that differs in one letter."""
+        if v := self.short.get(w):  # a letter left out
+            return v
+        for i in range(len(w)):
+            less = w[:i] + w[i + 1 :]
+            if less in self.strong and len(less) >= 5:  # a letter too many
+                return less
+            if (v := self.short.get(less)) and v[0] == w[0]:  # another letter, or two that changed places
+                return v
+        return None
+
+    def add(self, word: str) -> int:
+        """The place of the word's hashes in the table; 0 for no word."""
         w = self.read(word)
         if not w:
             return 0
-        if w not in self.places:
-            self.places[w] = len(self.table)
-            self.table.append((_hash(w), _hash("~" + w[0] + "".join(sorted(w[1:-1])) + w[-1])))
-        return self.places[w]
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = _hash(w), _hash("~" + w[0] + "".join(sorted(w[1:-1])) + w[-1])
+        self.used += 1
+        return self.used - 1
 
     def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The feature buckets of all sentences, the sentence of each, and the text of each sentence."""
         numbers: list[int] = []
         sizes: list[int] = []
         owner: list[int] = []
-        if len(self.words) > 2_000_000:
-            self.words.clear()
-        of = self.words.__getitem__
+        if len(self.places) > WORDS:
+            self._empty()
+        of = self.places.__getitem__
         for i, t in enumerate(texts):
             for words in sentences(t):
                 numbers += map(of, words)
@@ -228,7 +248,7 @@ class Reader:
         s = np.repeat(np.arange(len(sizes)), sizes)
         place = np.array(numbers, np.int64)
         s, place = s[place > 0], place[place > 0]
-        h = np.array(self.table, np.uint64)[place]
+        h = self.table[place]
         w, letters = h[:, 0], h[:, 1]
         parts, at = [w * MIX[0], letters * MIX[0]], [s, s]
         for gap, mix in ((1, MIX[1]), (2, MIX[2])):  # pairs of neighbours, and of words with one between
@@ -256,8 +276,8 @@ def _word_buckets(words: list[str]) -> np.ndarray:
     return _bucket(np.array([_hash(w) for w in words], np.uint64) * MIX[0])
 
 
-def learn(texts: list[str | None], toxic: np.ndarray, terms: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Weights of the buckets, strong words, and hashes of the words known. toxic: a judgement per text, from 0 to 1.
+def learn(texts: list[str | None], toxic: np.ndarray, terms: list[str]) -> tuple[np.ndarray, list[str], list[str]]:
+    """Weights of the buckets, strong words, and known words that differ from a strong one in a letter. toxic: a judgement per text, from 0 to 1.
 
     A text's chance is the noisy-or of its sentences' chances, which are logistic in the sum of the weights; the likelihood of the judgements, of which the share
     NOISE is taken to be wrong, is climbed with AdaGrad.
@@ -286,59 +306,71 @@ def learn(texts: list[str | None], toxic: np.ndarray, terms: list[str]) -> tuple
         seen += g * g
         w -= RATE * g / np.sqrt(seen)
     prior[used] = w
-    values = sorted({*(v for v in reader.places if "*" not in v), *words})
+    values = sorted({*(v for x in reader.places if (v := reader.read(x)) and "*" not in v), *words})
     weight = dict(zip(values, prior[_word_buckets(values)], strict=True)) if values else {}
-    strong = sorted((v for v, x in weight.items() if x >= STRONG_FROM and len(v) >= 3), key=lambda v: (-weight[v], v))[:STRONG]
-    return prior, strong, np.unique(np.array([_hash(v) for v in values], np.uint64))
+    strong = sorted((v for v, x in weight.items() if x >= STRONG_FROM and len(v) >= 3), key=lambda v: (-weight[v], v))
+    near = Reader(strong)
+    return prior, strong, [v for v in values if len(v) >= 5 and v not in near.strong and near.near(v)]
 
 
 def score(texts: list[str | None], reader: Reader, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: the noisy-or of its sentences' chances, the largest of them, and the number of that sentence (-1 where there is none)."""
+    """Per text: the noisy-or of its sentences' chances from FLOOR on, the largest of them, and the number of that sentence (-1 where there is none)."""
     buckets, at, owner = reader.features(texts)
     p = _sigmoid(np.bincount(at, weights[buckets], len(owner)) + BIAS)
     best, where = np.zeros(len(texts)), np.full(len(texts), -1)
     order = np.argsort(p, kind="stable")
     best[owner[order]], where[owner[order]] = p[order], order
     firsts = np.searchsorted(owner, np.arange(len(texts)))
-    return _noisy_or(p, owner, len(texts)), best, np.where(where >= 0, where - firsts, -1)
+    return _noisy_or(np.where(p < FLOOR, 0, p), owner, len(texts)), best, np.where(where >= 0, where - firsts, -1)
+
+
+@dataclass
+class AbuseModel:
+    """What learn gives; weights as float32. Its size is the same for any corpus: 2 MB, and words of at most JUDGED texts that look like strong ones."""
+
+    weights: bytes
+    strong: list[str]
+    known: list[str]
 
 
-def _model(docs: DataFrame, labels: DataFrame, terms: list[str], judged: int) -> tuple[bytes, list[str], bytes]:
-    """What learn gives, from at most so many judged documents, fitted in one task; weights as float32."""
+def fit_abuse(docs: DataFrame, labels: DataFrame, terms: DataFrame, judged: int = JUDGED) -> AbuseModel:
+    """Learned from at most so many judged documents, in one task.
+
+    docs: doc_id, text; labels: doc_id, toxic (0, 1 or null, several rows may judge a document, whose mean counts); terms: term, a small fixed table. Judgements of unknown
+    documents and null ones are ignored. Without any judgement the terms alone count.
+    """
+    words = sorted({r.term for r in terms.select("term").collect() if r.term})
     means = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.avg(F.least(F.greatest(F.col("toxic"), F.lit(0)), F.lit(1)).cast("double")).alias("toxic"))
     sample = means.orderBy(F.xxhash64("doc_id"), "doc_id").limit(judged)
     rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "toxic": []})]).sort_values(["doc_id", "text"], kind="stable")
-        weights, strong, known = learn(whole["text"].tolist(), whole["toxic"].to_numpy(float), terms)
-        yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "strong": [strong], "known": [known.tobytes()]})
+        weights, strong, known = learn(whole["text"].tolist(), whole["toxic"].to_numpy(float), words)
+        yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "strong": [strong], "known": [known]})
 
-    row = rows.repartition(1).mapInPandas(fit, "weights binary, strong array<string>, known binary").collect()
+    row = rows.repartition(1).mapInPandas(fit, "weights binary, strong array<string>, known array<string>").collect()
     if row:
-        return bytes(row[0].weights), list(row[0].strong), bytes(row[0].known)
-    weights, strong, known = learn([], np.empty(0), terms)
-    return weights.astype(np.float32).tobytes(), strong, known.tobytes()
+        return AbuseModel(bytes(row[0].weights), list(row[0].strong), list(row[0].known))
+    weights, strong, known = learn([], np.empty(0), words)
+    return AbuseModel(weights.astype(np.float32).tobytes(), strong, known)
 
 
-def abuse_scores(docs: DataFrame, labels: DataFrame, terms: DataFrame, judged: int = JUDGED) -> DataFrame:
-    """One row per row of docs: doc_id, source, score (the noisy-or of its sentences' chances), worst (the largest of them), sentence (its number), flagged.
+def abuse_scores(docs: DataFrame, model: AbuseModel) -> DataFrame:
+    """One row per row of docs: doc_id, source, score (the noisy-or of its sentences' chances from FLOOR on), worst (the largest of them), sentence (its number), flagged (score above CASE).
 
-    docs: doc_id, source, text; labels: doc_id, toxic (0, 1 or null, several rows may judge a document); terms: term, a small fixed table. Null, empty and blank texts score 0
-    and are not flagged; a null source or id stays null; judgements of unknown documents and null ones are ignored. Without any judgement the terms alone
-    count. Repeated rows come out repeatedly. Texts are read whole and all of them are scored, in one pass that shuffles nothing.
+    docs: doc_id, source, text. Null, empty and blank texts score 0 and are not flagged; a null source or id stays null. Repeated rows come out repeatedly.
+    Texts are read whole and all of them are scored, in one pass that shuffles nothing.
     """
-    words = sorted({r.term for r in terms.select("term").collect() if r.term})
-    shared = docs.sparkSession.sparkContext.broadcast(_model(docs, labels, words, judged))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.strong, model.known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, strong, known = shared.value
-        key = ("abuse", zlib.crc32(weights), len(strong))
-        reader, w = kept(key, lambda: (Reader(strong, frozenset(np.frombuffer(known, np.uint64).tolist())), np.frombuffer(weights, np.float32).astype(float)))
+        reader, w = Reader(strong, frozenset(known)), np.frombuffer(weights, np.float32).astype(float)
         for whole in batches:
             for b in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
                 any_, worst, where = score(b.column(2).to_pylist(), reader, w)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(any_), pa.array(worst), pa.array(where, pa.int32()), pa.array(worst > CASE)], ["doc_id", "source", "score", "worst", "sentence", "flagged"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(any_), pa.array(worst), pa.array(where, pa.int32()), pa.array(any_ > CASE)], ["doc_id", "source", "score", "worst", "sentence", "flagged"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, score double, worst double, sentence int, flagged boolean")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.tokenizers import FILES, FOLDER, counter, decode, encode, ranks
+from millrace.llm.tokenizers import FILES, FOLDER, Ranks, counter, decode, encode
 
 
 def _known(names: list[str], library: str | None = None) -> None:
@@ -21,13 +21,13 @@ def _known(names: list[str], library: str | None = None) -> None:
 def token_ids(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """One row per row: the key (a bigint, null stays null) and ids, without special tokens; an empty and a null text both give an empty list.
 
-    Texts are read whole; long ones are cut where no token can change. Rows may repeat and are then encoded as often. Only the two columns are read and nothing is shuffled.
+    Texts are read whole; long ones are cut where no token can change, and no text is too long or too blank to be encoded. Rows may repeat and are then encoded as often. Only the two columns are read and nothing is shuffled.
     folder holds the rank file, on every machine.
     """
     _known([tokenizer], "tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = ranks(tokenizer, folder)
+        e = Ranks(tokenizer, folder)
         for b in batches:
             lists = [encode(e, t) for t in b.column(1).to_pylist()]
             ends = np.zeros(len(lists) + 1, np.int32)
@@ -43,7 +43,7 @@ def texts(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", fo
     _known([tokenizer], "tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = ranks(tokenizer, folder)
+        e = Ranks(tokenizer, folder)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(e, x or []) for x in b.column(1).to_pylist()], pa.string())], [key, "text"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.llm.abuse import abuse_rates, abuse_scores
+from millrace.llm.abuse import abuse_rates, abuse_scores, fit_abuse
 from millrace.llm.encoding import texts, token_counts, token_ids
 from millrace.llm.frequency import distinct_count, marked, term_counts
 from millrace.llm.frequent import at_least, top_values
@@ -97,7 +97,8 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse_scores(table(spark, d, "documents"), table(spark, d, "abuse_labels"), table(spark, d, "abuse_terms"))
+    docs = table(spark, d, "documents")
+    return abuse_scores(docs, fit_abuse(docs, table(spark, d, "abuse_labels"), table(spark, d, "abuse_terms")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def model():
 
 def flagged(model, texts):
     weights, strong, known = model
-    return A.score(texts, A.Reader(strong, frozenset(known.tolist())), weights)[1] > A.CASE
+    return A.score(texts, A.Reader(strong, frozenset(known)), weights)[0] > A.CASE
 
 
 @pytest.mark.parametrize("spell", [
@@ -58,6 +58,7 @@ def test_sentences():
     assert A.sentences(text) == [["hello", "there", "you", "two"], ["go", "on"], ["write", "to"], ["go", "on", "write", "to"], ["shit"]]
     assert A.sentences(None) == A.sentences("") == A.sentences(" \n ") == []
     assert A.sentences("cafÃ©") == [["cafe"]]
+    assert A.sentences("Que. Go on. Que.") == [["que"], ["go", "on"]]
     long = A.sentences("word " * 200_000)
     assert len(long) == 1 and len(long[0]) == 200_000
 
@@ -70,19 +71,41 @@ def test_canonical():
 
 def test_table(spark):
     texts, toxic = corpus(0, 300)
-    rows = [(i, "s" if i % 2 else None, t, "x") for i, t in enumerate(texts)] + [(1000, "e", None, "x"), (1001, "e", "", "x"), (1002, "e", " \n", "x"), (None, "e", "You filthy moron!", "x"), (1003, "e", "nice day. " * 100_000, "x")]
+    rows = [(i, "s" if i % 2 else None, t, "x") for i, t in enumerate(texts)] + [(1000, "e", None, "x"), (1001, "e", "", "x"), (1002, "e", " \n", "x"), (None, "e", "You filthy moron!", "x"), (1003, "e", "nice day. " * 100_000, "x"), (1004, "e", " ".join(f"The train to k{i} is late again." for i in range(20_000)), "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, score string")
     labels = spark.createDataFrame([(i, int(y), "a") for i, y in enumerate(toxic)] + [(0, None, "b"), (None, 1, "b"), (99999, 1, "b"), (1, int(toxic[1]), "b")], "doc_id bigint, toxic int, text string")
     terms = spark.createDataFrame([("idiot",), (None,), ("two words",)], "term string")
-    out = A.abuse_scores(docs, labels, terms)
+    model = A.fit_abuse(docs, labels, terms)
+    out = A.abuse_scores(docs, model)
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == len(rows)
     assert np.mean([got[i].flagged == bool(y) for i, y in enumerate(toxic)]) > 0.97
     assert all(got[i].score == 0 and not got[i].flagged and got[i].sentence == -1 for i in (1000, 1001, 1002)) and got[None].flagged
+    assert all(r.flagged == (r.score > A.CASE) and (r.score >= r.worst - 1e-9 or r.worst < A.FLOOR) for r in got.values())
     rates = {r.source: r for r in A.abuse_rates(out).collect()}
-    assert rates["e"].documents == 5 and rates["e"].flagged == 1 and None in rates
-    few = A.abuse_scores(docs, labels.limit(0), terms)
+    assert rates["e"].documents == 6 and rates["e"].flagged == 1 and None in rates
+    few = A.abuse_scores(docs, A.fit_abuse(docs, labels.limit(0), terms))
     assert few.count() == len(rows)
-    assert A.abuse_scores(docs.limit(0), labels, terms.limit(0)).count() == 0
+    assert A.abuse_scores(docs.limit(0), A.fit_abuse(docs.limit(0), labels, terms.limit(0))).count() == 0
     assert A.abuse_rates(out.limit(0)).count() == 0
-    assert A.abuse_scores(docs, labels, terms, judged=50).filter(F.col("flagged")).count() > 0
+    assert A.abuse_scores(docs, A.fit_abuse(docs, labels, terms, judged=50)).filter(F.col("flagged")).count() > 0
+
+
+def test_two_middling_sentences_add_up():
+    weights = np.zeros(A.BUCKETS)
+    weights[A._word_buckets([A.canonical("grumble")])] = 1.6
+    one, two = (A.score([x], A.Reader(), weights)[0][0] for x in ("grumble.", "grumble. You grumble."))
+    assert one <= A.CASE < two
+
+
+def test_a_reader_stays_small(monkeypatch, model):
+    monkeypatch.setattr(A, "WORDS", 500)
+    weights, strong, known = model
+    reader, fresh = A.Reader(strong, frozenset(known)), A.Reader(strong, frozenset(known))
+    r = np.random.default_rng(4)
+    for k in range(20):
+        texts = [" ".join("".join(chr(97 + x) for x in r.integers(0, 26, 6)) for _ in range(200)) + ". You filthy moron!"]
+        got = A.score(texts, reader, weights)
+        assert np.allclose(got[0], A.score(texts, fresh, weights)[0]) and len(reader.places) <= 500 + 250
+        fresh._empty()
+    assert len(reader.table) <= 4096

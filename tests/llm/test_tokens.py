@@ -14,6 +14,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(T.FOLDER), reason="no tokenize
 ODD = ["", None, " ", "a", "<|endoftext|>", "Don't we'll", "naïve café", "日本語のテキスト", "👩‍👩‍👧 ok", "a b", "\x00\x01", "1\r\n00:00:01,000 --> 00:00:02,000\r\nHi", "x" * 300, " \t\n " * 50]
 
 
+@pytest.fixture(scope="module")
+def e():
+    return T.Ranks("byte_bpe_50k")
+
+
 def other():
     """The same vocabulary in another library."""
     from tokenizers import Tokenizer
@@ -35,31 +40,49 @@ def test_ids_equal_another_library(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab1'. \n\té中😀 ")), max_size=400), st.integers(1, 40))
-def test_cuts_change_no_token(text, most):
-    e = T.ranks("byte_bpe_50k")
-    cuts = T.cut_points(text, most)
+def test_cuts_change_no_token(e, text, most):
+    cuts, whole = T.cut_points(text, most), e.text.encode_ordinary(text)
     assert cuts[0] == 0 and cuts[-1] == len(text)
-    assert sum((e.encode_ordinary(text[a:b]) for a, b in zip(cuts, cuts[1:])), []) == e.encode_ordinary(text)
-    assert T.decode(e, e.encode_ordinary(text)) == text
+    assert sum((e.text.encode_ordinary(text[a:b]) for a, b in zip(cuts, cuts[1:])), []) == whole
+    assert T.decode(e, whole) == text
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "b1", " \t ", "'s", "é"]), max_size=60))
-def test_white_space_taken_apart_changes_no_token(parts):
-    text, e = "".join(parts), T.ranks("byte_bpe_50k")
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "b1", " \t ", "'s", "é", "\xa0", "\x0b", "\x0c", "\x85", "\u2003", "\u3000", "\u2028", "\x1c", "\x1f", "\u200b", "!"]), max_size=60))
+def test_white_space_taken_apart_changes_no_token(e, parts):
+    text = "".join(parts)
     old, T.LONG, T.LONG_SPACE = (T.LONG, T.LONG_SPACE), 7, 3
     try:
-        assert T.encode(e, text) == e.encode_ordinary(text)
+        assert T.encode(e, text) == e.text.encode_ordinary(text)
     finally:
         T.LONG, T.LONG_SPACE = old
 
 
-@pytest.mark.parametrize("text", [" " * 3_000_000 + "x", "\n" * 2_000_001, "word and more " * 300_000, "a" * 400_000 + " b", "a " + " " * 2_000_000])
-def test_very_long_texts(text):
-    e = T.ranks("byte_bpe_50k")
+M = 3_000_000
+
+
+@pytest.mark.parametrize("text", [
+    " " * M + "x", "\n" * M, "word and more " * 300_000, "a" * M + " b", "a " + " " * M, "\xa0" * M + "x", " \xa0" * (M // 2) + "x", "\x0b" * M, "\x0c" * M + "!", "\r\n" * (M // 2) + "x", " " * M + "\xa0" + "x", "\u3000" * M + "x", "\x85\u2028 " * (M // 3) + "1",
+    "\x1c" * M + "x", "!" * M, "7" * M, "é" * M, "\x00" * M, ("x" + " " * 5000) * 600, "\u200b" * M, "日本" * (M // 2),
+])
+def test_very_long_texts(e, text):
     ids = T.encode(e, text)
     assert T.decode(e, ids) == text
-    assert len(ids) <= len(text)
+    assert len(ids) <= len(text.encode())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k", "piece_bpe_32k"])
+def test_very_long_texts_by_other_libraries(name):
+    count = T.counter(name)
+    assert count([" " * M, None, "\xa0" * M + "x", "a b"])[1] == 0
+    text = "Words é and\nmore, 12 of\u3000them!\r\n\r\n" * 300
+    old, T.LONG = T.LONG, 10**9
+    try:
+        whole = count([text])
+        T.LONG = 500
+        assert count([text]) == whole
+    finally:
+        T.LONG = old
 
 
 def test_counts_by_all_tokenizers(spark):
