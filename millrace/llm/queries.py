@@ -75,25 +75,58 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return whole.join(back, "doc_id").join(sizes, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum((F.col("there") != F.col("back")).cast("int")).alias("differing"))
 
 
-def p7_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Every text's place for each limit: limit_id, container, doc_id, piece, first (token), tokens."""
+def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """limit_id, capacity, doc_id, tokens of every text for each limit, and the shares to pack in."""
     limits = [r for r in table(spark, d, "pack_limits").select("limit_id", "tokenizer", "capacity").collect() if all(x is not None for x in r)]  # a fixed table of three rows
     if not limits:
-        return spark.createDataFrame([], "limit_id bigint, container string, doc_id bigint, piece int, first bigint, tokens bigint")
+        return spark.createDataFrame([], "doc_id bigint, limit_id bigint, tokens int, capacity int"), 1
     names = sorted({r.tokenizer for r in limits})
-    sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", names))  # an id and some numbers a text, which are used twice
+    sized = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", names))  # an id and some numbers a text
     each = F.explode(F.array(*(F.struct(F.lit(r.limit_id).cast("bigint").alias("limit_id"), F.col(r.tokenizer).alias("tokens"), F.lit(r.capacity).alias("capacity")) for r in limits))).alias("x")
-    items = sized.select("doc_id", each).select("doc_id", "x.*")
-    out = pack(items, "doc_id", "tokens", F.col("capacity"), "limit_id", max(1, round(sized.count() / SHARE)))
+    return sized.select("doc_id", each).select("doc_id", "x.*"), max(1, round(sized.count() / SHARE))
+
+
+def _packed(items: DataFrame, shares: int, topped: bool = True) -> DataFrame:
+    out = pack(items, "doc_id", "tokens", F.col("capacity"), "limit_id", shares, topped)
     return out.select(F.col("group").alias("limit_id"), "container", F.col("key").alias("doc_id"), "piece", "first", F.col("size").alias("tokens"))
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's place for each limit: limit_id, container, doc_id, piece, first (token), tokens. Harmonic bins whose room is filled."""
+    return _packed(*_sized(spark, d))
+
+
+def p7_harmonic(spark: SparkSession, d: str) -> DataFrame:
+    """The same by harmonic bins of fixed counts alone."""
+    return _packed(*_sized(spark, d), topped=False)
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Per limit: containers, tokens in them, and the share of their room that is unused."""
-    each = p7_pack(spark, d).groupBy("limit_id", "container").agg(F.sum("tokens").alias("tokens"))
-    room = table(spark, d, "pack_limits").select("limit_id", "capacity")
-    sums = each.groupBy("limit_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
-    return sums.join(room, "limit_id").select("limit_id", "capacity", "containers", "tokens", "fullest", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
+    """Per limit: containers, tokens in them, the tokens of the fullest one and the share of their room that is unused, after both steps; and the containers and unused share of harmonic bins alone."""
+    items, shares = _sized(spark, d)
+
+    def fill(topped: bool) -> DataFrame:
+        return _packed(items, shares, topped).groupBy("limit_id", "container").agg(F.sum("tokens").alias("tokens")).groupBy("limit_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+
+    plain = fill(False).select("limit_id", F.col("containers").alias("plain_containers"), F.col("tokens").alias("plain_tokens"))
+    unused = lambda n, of: 1 - F.col(n) / (F.col(of) * F.col("capacity"))
+    both = fill(True).join(plain, "limit_id").join(table(spark, d, "pack_limits").select("limit_id", "capacity"), "limit_id")
+    return both.select("limit_id", "capacity", "containers", "tokens", "fullest", unused("tokens", "containers").alias("unused"), "plain_containers", unused("plain_tokens", "plain_containers").alias("plain_unused"))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit: texts with tokens; containers that hold more than the capacity, texts not all of whose tokens are in containers just once, and texts in another number of pieces than they need (none, if all is well)."""
+    items, shares = _sized(spark, d)
+    packed = _packed(items, shares)
+    room = items.select("limit_id", "capacity").distinct()
+    over = packed.groupBy("limit_id", "container").agg(F.sum("tokens").alias("load")).join(room, "limit_id").groupBy("limit_id").agg(F.sum((F.col("load") > F.col("capacity")).cast("bigint")).alias("overfull"))
+    # Pieces of a text that begin where the one before it ends: the begins add up to what their lengths give.
+    ends = packed.groupBy("limit_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("held"), F.max(F.col("first") + F.col("tokens")).alias("end"), F.count_distinct("first").alias("begins"))
+    both = items.filter("tokens > 0").join(ends, ["limit_id", "doc_id"], "left")
+    whole = F.coalesce((F.col("held") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("begins") == F.col("pieces")), F.lit(False))
+    needed = F.coalesce(F.col("pieces") == F.ceil(F.col("tokens") / F.col("capacity")), F.lit(False))
+    n = both.groupBy("limit_id", F.col("capacity")).agg(F.count(F.lit(1)).alias("texts"), F.sum((~whole).cast("bigint")).alias("lost"), F.sum((~needed).cast("bigint")).alias("misplaced"))
+    return n.join(over, "limit_id").select("limit_id", "capacity", "texts", "overfull", "lost", "misplaced")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +142,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse_rates(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p2_found, p2_report, p4_top, p4_found, p6_ids, p6_roundtrip, p7_pack, p7_fill, p8_scores, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p2_found, p2_report, p4_top, p4_found, p6_ids, p6_roundtrip, p7_pack, p7_harmonic, p7_fill, p7_checks, p8_scores, p8_found, p8_rates)}
 
 _COUNTS = """
 WITH k AS (SELECT DISTINCT blk_id, i, row_id, k FROM localizer_pairs WHERE k IS NOT NULL AND row_id IS NOT NULL),
@@ -134,6 +167,7 @@ SQL = {
     + """, k AS (SELECT a, max((a = b)::INTEGER) AS same FROM l GROUP BY a)
     SELECT split, source, count(DISTINCT row_id) AS rows, count(DISTINCT CASE WHEN a IS NOT NULL THEN row_id END) AS overlapping, count(DISTINCT CASE WHEN same = 1 THEN row_id END) AS exact
     FROM r LEFT JOIN k ON r.ids = k.a WHERE split IN ('val', 'test') AND len(ids) > 0 GROUP BY split, source""",
+    "p7_checks": "SELECT limit_id, capacity, count(*) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS lost, 0::BIGINT AS misplaced FROM pack_limits, documents WHERE text <> '' GROUP BY limit_id, capacity",
     "p1_counts": _COUNTS + "SELECT * FROM m",
     "p1_found": _COUNTS + "SELECT field, fid, mark FROM m WHERE mark IS NOT NULL",
     "p4_top": f"""WITH n AS (SELECT field, fid, count(*) AS n FROM ({_ROWS}) GROUP BY ALL),

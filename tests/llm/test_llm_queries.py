@@ -22,6 +22,8 @@ def test_query_equals_its_sql(spark, con, name):
 def test_query_without_sql_runs(spark, name):
     out = QUERIES[name](spark, SMALL)
     assert out.count() > 0 or name == "p8_found"
+    if name == "p7_fill":
+        assert all(0 <= r.unused < r.plain_unused < 1 and r.fullest <= r.capacity for r in out.collect())
     if name == "p6_roundtrip":
         assert out.agg({"differing": "sum"}).first()[0] == 0
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import tokenizers as T
 from millrace.llm.encoding import texts, token_counts, token_ids
-from millrace.llm.packing import fill, pack
+from millrace.llm.packing import pack, top_up
 from pyspark.sql import functions as F
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(T.FOLDER), reason="no tokenizer files here")
@@ -97,23 +97,58 @@ def test_counts_by_all_tokenizers(spark):
         token_counts(df, "doc_id", "text", ["none"])
 
 
+def harmonic_by_hand(sizes, capacity):
+    """Classes, and bins of as many items as the class says."""
+    kind, number, seen = capacity // sizes, np.zeros(len(sizes), np.int64), {}
+    for i in np.argsort(-sizes, kind="stable"):
+        seen[kind[i]] = n = seen.get(kind[i], -1) + 1
+        number[i] = n // kind[i]
+    return kind, number
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_fill(seed):
+def test_top_up(seed):
     r = np.random.default_rng(seed)
     capacity = int(r.choice([1, 7, 100, 512]))
     sizes = np.minimum(capacity, np.maximum(1, r.lognormal(np.log(capacity / 5 + 1), 1, 700).astype(int)))
-    at = fill(sizes, capacity)
+    kind, number = harmonic_by_hand(sizes, capacity)
+    at = top_up(kind, number, sizes, capacity)
     load = np.bincount(at, sizes)
     assert len(at) == len(sizes) and load.max() <= capacity and load.min() > 0
     assert len(load) <= -(-sizes.sum() // capacity) * 1.25 + 1
-    assert len(fill(np.empty(0, np.int64), 5)) == 0
-
-
-def test_fill_takes_a_fixed_count_of_a_class():
-    at = fill(np.array([50] * 7), 100)
-    assert sorted(np.bincount(at)) == [1, 2, 2, 2]
-    at = fill(np.array([60, 60, 40, 30, 10]), 100)
-    assert len(np.unique(at)) == 2
+    assert len(load) <= len(set(zip(kind.tolist(), number.tolist())))
+    # Items of the largest class stay where harmonic packing put them.
+    top = kind == kind.min()
+    assert len({(int(n), int(x)) for n, x in zip(number[top], at[top])}) == len(set(number[top].tolist()))
+    assert len(top_up(*(np.empty(0, np.int64),) * 3, 5)) == 0
+
+
+def test_top_up_moves_small_items_into_room():
+    sizes = np.array([60, 60, 40, 30, 10])
+    assert len(np.unique(top_up(*harmonic_by_hand(sizes, 100), sizes, 100))) == 2
+
+
+@pytest.mark.parametrize("shares", [1, 3])
+def test_harmonic_bins_hold_fixed_counts(spark, shares):
+    r = np.random.default_rng(2)
+    rows = [(i % 50, int(x), c, g) for g, c in ((1, 100), (2, 37)) for i, x in enumerate(r.integers(1, c + 1, 400))]
+    df = spark.createDataFrame(rows, "key bigint, tokens int, capacity int, grp bigint")
+    out = pack(df, "key", "tokens", F.col("capacity"), "grp", shares, topped=False).toPandas()
+    assert len(out) == len(rows)
+    for g, c in ((1, 100), (2, 37)):
+        own = out[out.group == g]
+        full = own.groupby("container")["size"].agg(["count", "sum", "max", "min"])
+        assert full["sum"].max() <= c and ((c // full["max"]) == (c // full["min"])).all()
+        assert (full["count"] <= c // full["max"]).all()
+        short = full[full["count"] < c // full["max"]]
+        assert len(short) <= shares * (c // full["max"]).nunique()
+
+
+def test_one_key_with_most_rows_is_dealt_out(spark):
+    df = spark.createDataFrame([(7, 5, 100, 1)] * 900 + [(i, 5, 100, 1) for i in range(100)], "key bigint, tokens int, capacity int, grp bigint")
+    out = pack(df, "key", "tokens", F.col("capacity"), "grp", 4).toPandas()
+    assert len(out) == 1000 and out.container.str.partition("-")[0].value_counts().max() < 400
+    assert out.container.nunique() <= 50 + 4
 
 
 def test_pack(spark):
