@@ -115,22 +115,20 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
 
 
 def _segments(strings: DataFrame, least: float) -> DataFrame:
-    """The segments of evaluation strings, which together are all of each: place (of the first symbol) and segment (the hash of its symbols). See overlap."""
+    """The segments of evaluation strings, which together are all of each: place (of the first symbol) and segment (the hash of the symbols that all segments of the string have). See overlap."""
     n, i = F.size("string"), F.col("i")
     whole = segment_number(n, least)
     lost = (n - F.ceil(n * F.lit(least) - F.lit(1e-9))).cast("int")
-    cut_up = strings.withColumn("number", F.when(whole <= n, whole).otherwise(F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(whole <= n, whole - 1).otherwise(lost))))
-    at = lambda i: F.when(F.col("number") > 0, F.floor(i * n / F.greatest("number", F.lit(1))).cast("int")).otherwise(i)
-    return cut_up.withColumns({"place": at(i), "past": at(i + 1)}).withColumn("segment", F.xxhash64(F.slice("string", F.col("place") + 1, F.col("past") - F.col("place"))))
+    cut_up = strings.withColumn("number", F.when(whole <= n, whole).otherwise(n)).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(whole <= n, whole - 1).otherwise(lost))))
+    placed = cut_up.withColumns({"place": F.floor(i * n / F.col("number")).cast("int"), "length": F.floor(n / F.col("number")).cast("int")})
+    return placed.withColumn("segment", F.xxhash64(F.slice("string", F.col("place") + 1, F.col("length"))))
 
 
 def _substrings(strings: DataFrame, least: float) -> DataFrame:
     """The substrings of training strings that are as long as a segment of an evaluation string of like length: place and segment."""
     m = F.size("string")
-    number = lambda n: segment_number(n, least)
     partner = F.sequence(F.ceil(m * F.lit(least) - F.lit(1e-9)).cast("int"), F.floor(m / F.lit(least) + F.lit(1e-9)).cast("int"))
-    long = lambda n: F.when(number(n) <= n, F.array(F.floor(n / number(n)).cast("int"), F.ceil(n / number(n)).cast("int"))).otherwise(F.array(F.lit(1)))
-    lengths = strings.withColumn("length", F.explode(F.array_distinct(F.flatten(F.transform(partner, long)))))
+    lengths = strings.withColumn("length", F.explode(F.array_distinct(F.transform(partner, lambda n: F.greatest(F.floor(n / segment_number(n, least)).cast("int"), F.lit(1))))))
     places = lengths.filter(F.col("length") <= m).withColumn("place", F.explode(F.sequence(F.lit(0), m - F.col("length"))))
     return places.withColumn("segment", F.xxhash64(F.slice("string", F.col("place") + 1, F.col("length"))))
 
@@ -144,36 +142,37 @@ def overlap(rows: DataFrame, least: float = 0.75) -> Overlap:
 
     The ids of a set in the order of their hashes are its string. As its symbols are distinct and all strings are in one order, the insertions and deletions between two
     strings are the ids that only one set holds. The whole evaluation string is cut into k + 1 segments, where k is the most edits that may part it from a string alike; each
-    edit spoils one segment at most, so one segment at least stands unspoilt in the other string, at a place that the edits before and after it allow. Training strings
-    give their substrings of those lengths (at 0.75 of 1 to 3 symbols, about two for each symbol), and the two meet by the segment. Bounds so low that k + 1 is
-    more than the symbols make segments of one symbol, which only deletions spoil: one more than may be deleted.
-    A pair that meets has to pass a 64-bit mark of its sets (a bit for each id's hash; sets that differ in d ids differ in d bits at most), and what passes is verified by a
-    banded dynamic program, all of it: nothing is capped or sampled. The training strings that hold one segment are dealt among SALTS tasks.
+    edit spoils one segment at most, so one segment at least stands unspoilt in the other string, at a place that the edits before and after it allow. The segments of a string
+    have L or L + 1 symbols (at 0.75 L is 2, and 1 for some strings of 1 to 5 symbols) and are looked up by their first L. Training strings give their substrings of
+    those lengths, and the two meet by the segment. Bounds so low that k + 1 is more than the symbols make segments of one symbol, which only deletions spoil: one
+    more than may be deleted.
+    A pair that meets has to pass a comparison of 32-bit marks of its sets (a bit for each id's hash; sets that differ in d ids differ in d bits at most), and what passes is
+    verified by a banded dynamic program, all of it: nothing is capped or sampled. The training strings that hold one segment are dealt among SALTS tasks.
     """
     members = _members(rows)
     train, test = 1, 2
     roles = F.bit_or(F.when(F.col("role") == "train", train).otherwise(test)).alias("roles")
     # The string is a key too, so the hashes decide nothing. Written, as four branches read it.
     sets = cut(members.groupBy(*SID, "string").agg(roles))
-    mark = F.aggregate("string", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(x).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    marked = F.aggregate("string", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(x).bitwiseAND(F.lit(31).cast("bigint")).cast("int"))))
+    low = F.lit(0xFFFFFFFF).cast("bigint")
+    # A number for a set: half a hash and the mark. Sets may share a number: all of them are then verified.
+    number = F.col("s1").bitwiseAND(F.bitwise_not(low)).bitwiseOR(marked)
 
     def cuts(role: int, key: str, make) -> DataFrame:
-        of = sets.filter(F.col("roles").bitwiseAND(F.lit(role)) > 0).select(F.col("s1").alias(key), "string", F.size("string").alias(f"{key}_size"), mark.alias(f"{key}_mark"))
-        return make(of, least).select(key, f"{key}_size", f"{key}_mark", F.col("place").alias(f"{key}_at"), "segment")
+        of = sets.filter(F.col("roles").bitwiseAND(F.lit(role)) > 0).select(number.alias(key), "string", F.size("string").alias(f"{key}_size"))
+        return make(of, least).select(key, f"{key}_size", F.col("place").alias(f"{key}_at"), "segment")
 
     tests = cuts(test, "e", _segments).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    trains = cuts(train, "t", _substrings).withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int"))
+    trains = cuts(train, "t", _substrings).withColumn("salt", F.pmod(F.shiftright("t", 32), F.lit(SALTS)).cast("int"))
     n, m, p, q = (F.col(c) for c in ("e_size", "t_size", "e_at", "t_at"))
     most = most_edits(n, m, least)
-    close = (m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (F.abs(p - q) + F.abs((n - p) - (m - q)) <= most) & (F.bit_count(F.col("e_mark").bitwiseXOR(F.col("t_mark"))) <= most)
-    # Sets of the same s1 are taken for the same here; different ones that are alike as well would have to collide, against 2^64.
-    pairs = tests.join(trains, ["segment", "salt"]).filter(close & (F.col("e") != F.col("t"))).select("e", "t").distinct()
-    of = lambda x, y, name: sets.select(F.col("s1").alias(x), F.col("s2").alias(y), F.col("string").alias(name), F.col("roles").alias(f"{name}_roles"))
-    strings = pairs.withColumnsRenamed({"e": "e1", "t": "t1"}).join(of("e1", "e2", "a"), "e1").join(of("t1", "t2", "b"), "t1")
-    strings = strings.filter((F.col("a_roles").bitwiseAND(F.lit(test)) > 0) & (F.col("b_roles").bitwiseAND(F.lit(train)) > 0))
+    close = (m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (F.abs(p - q) + F.abs((n - p) - (m - q)) <= most) & (F.bit_count(F.col("e").bitwiseXOR(F.col("t")).bitwiseAND(low)) <= most)
+    pairs = tests.join(trains, ["segment", "salt"]).filter(close).select("e", "t").distinct()
+    of = lambda key, x, y, name, role: sets.filter(F.col("roles").bitwiseAND(F.lit(role)) > 0).select(number.alias(key), F.col("s1").alias(x), F.col("s2").alias(y), F.col("string").alias(name))
+    strings = pairs.join(of("e", "e1", "e2", "a", test), "e").join(of("t", "t1", "t2", "b", train), "t")
     found = _verified(strings.withColumn("most", most_edits(F.size("a"), F.size("b"), least).cast("int")), least)
-    same = sets.filter(F.col("roles") == train + test).select(*(F.col(c).alias(x) for x, c in (("e1", "s1"), ("e2", "s2"), ("t1", "s1"), ("t2", "s2"))))
-    return Overlap(members.select("row_id", "role", "split", "source", *SID).distinct(), found.unionByName(same))
+    return Overlap(members.select("row_id", "role", "split", "source", *SID).distinct(), found)
 
 
 def row_pairs(o: Overlap) -> DataFrame:
