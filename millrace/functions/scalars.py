@@ -83,6 +83,11 @@ def uniform(key: ColumnLike, seed: int) -> Column:
     return F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
+def drawn(key: ColumnLike, seed: int) -> Column:
+    """As uniform, of 52 bits of the md5 of key:seed, which any SQL engine can compute."""
+    return F.conv(F.left(F.md5(F.concat(col(key).cast("string"), F.lit(f":{seed}"))), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
+
+
 # Vectors as arrays of doubles.
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.common import ColumnLike, col
 from millrace.functions.ids import decode_group, hash_mod, reversed_hex
-from millrace.functions.scalars import uniform
+from millrace.functions.scalars import drawn
 from millrace.session import cut
 
 TAIL = 4
@@ -61,6 +61,13 @@ def dictionary(entries: DataFrame, above: int = 0) -> DataFrame:
     return dense_index(frequent_features(feature_counts(entries), above), reversed_hex("fid"))
 
 
+def merged_counts(blocks: DataFrame, unit: list[str] | None = None) -> DataFrame:
+    """fid, cnt: the counts of blocks (blk, fid, cnt) added up, as a union of all blocks' counts gives. unit: columns of which equal rows were delivered twice, and count once."""
+    known = blocks.filter(F.col("fid").isNotNull() & F.col("cnt").isNotNull())
+    once = known.dropDuplicates(unit) if unit else known
+    return once.groupBy("fid").agg(F.sum(F.col("cnt").cast("double")).alias("cnt"))
+
+
 def localize(entries: DataFrame, words: DataFrame) -> DataFrame:
     """The entries with pos in place of fid; those of features that the dictionary lacks are dropped."""
     return entries.select("row_id", "label", "fid", "val").join(words.select("fid", "pos"), "fid").select("row_id", "label", "pos", "val")
@@ -85,14 +92,29 @@ def shuffled(rows: DataFrame, size: int, buffer: int, seed: int, order: ColumnLi
     if buffer < size:
         raise ValueError("the buffer must hold a batch")
     placed = dense_index(rows, col(order), "_place").withColumn("_buffer", F.floor(F.col("_place") / buffer))
-    mixed = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_buffer").orderBy(F.xxhash64("_place", F.lit(seed)), "_place")) - 1 + F.col("_buffer") * buffer)
+    mixed = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_buffer").orderBy(drawn("_place", seed), "_place")) - 1 + F.col("_buffer") * buffer)
     return mixed.withColumn("batch_id", F.floor(F.col("_at") / size).cast("bigint")).drop("_place", "_buffer", "_at")
 
 
+def batches(rows: DataFrame, size: int, parts: int, buffer: int, seed: int, order: ColumnLike = "row_id") -> DataFrame:
+    """The rows with part and batch_id: so many parts, each a stretch of the order, and in each batches of so many rows, after every buffer of rows of a part is put in an order that the seed gives. A buffer of 0 shuffles nothing."""
+    if size < 1 or parts < 1:
+        raise ValueError("a batch holds a row at least, and there is a part at least")
+    placed = dense_index(rows, col(order), "_place")
+    n = F.greatest(placed.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(1))
+    dealt = placed.withColumn("part", F.floor(F.col("_place") * parts / n).cast("int"))
+    at = F.col("_place") - F.ceil(F.col("part") * n / parts)
+    if buffer:
+        mixed = dealt.withColumn("_buffer", F.floor(at / max(buffer, size)))
+        within = Window.partitionBy("part", "_buffer").orderBy(drawn("_place", seed), "_place")
+        dealt, at = mixed.withColumn("_at", F.row_number().over(within) - 1 + F.col("_buffer") * max(buffer, size)), F.col("_at")
+    return dealt.withColumn("batch_id", F.floor(at / size).cast("bigint")).drop("_place", "_buffer", "_at")
+
+
 def keep_negatives(rows: DataFrame, share: float, key: str = "row_id", seed: int = 0, inverted: bool = False) -> DataFrame:
     """All rows with a positive label, and the share of the others. inverted: share is what is dropped, as an older reader had it."""
     kept = 1 - share if inverted else share
-    return rows.filter((F.col("label") > 0) | (uniform(key, seed) < kept))
+    return rows.filter((F.col("label") > 0) | (drawn(key, seed) < kept))
 
 
 def part_of(rows: DataFrame, part: int, parts: int, key: str = "row_id") -> DataFrame:

@@ -31,12 +31,22 @@ def kv_match_vectors(dst: DataFrame, src: DataFrame, key: str = "key", value: st
     return both.select("key", F.when(hit, F.zip_with(F.coalesce("a", zero), "b", lambda x, y: combine(op, x, y))).otherwise(F.col("a")).alias("value"), hit.alias("matched"))
 
 
-def kv_match_ragged(dst: DataFrame, src: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """dst's keys: key, value, length; src's array, or an empty one where src lacks the key."""
-    both = dst.select(F.col(key).alias("key")).join(src.select(F.col(key).alias("key"), F.col(value).alias("b")), "key", "left")
-    empty = F.when(F.lit(False), F.col("b"))
-    value_ = F.coalesce("b", F.filter(F.coalesce(empty, F.array().cast("array<double>")), lambda x: F.lit(False)))
-    return both.select("key", value_.alias("value")).withColumn("length", F.size("value"))
+def kv_match_ragged(dst: DataFrame, src: DataFrame, key: str = "key", value: str = "value", op: str = "assign") -> DataFrame:
+    """dst's keys: key, value, length, for arrays of any length. assign: src's array, or an empty one where src lacks the key, dst's own not being looked at.
+
+    Other operations join dst's array to src's place by place; where lengths differ the places that src lacks stay, and those that dst lacks count as 0. A key that src lacks
+    keeps its array, and a null array is an empty one.
+    """
+    empty = F.array().cast("array<double>")
+    right = src.select(F.col(key).alias("key"), F.col(value).cast("array<double>").alias("b"))
+    if op == "assign":
+        out = dst.select(F.col(key).alias("key")).join(right, "key", "left").select("key", F.coalesce("b", empty).alias("value"))
+    else:
+        both = dst.select(F.col(key).alias("key"), F.coalesce(F.col(value).cast("array<double>"), empty).alias("a")).join(right, "key", "left").withColumn("n", F.size(F.coalesce("b", empty)))
+        places = F.zip_with("a", F.coalesce("b", empty), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        joined = F.transform(places, lambda p, i: F.when(i < F.col("n"), combine(op, F.coalesce(p["x"], F.lit(0.0)), F.coalesce(p["y"], F.lit(0.0)))).otherwise(p["x"]))
+        out = both.select("key", joined.alias("value"))
+    return out.withColumn("length", F.size("value"))
 
 
 def kv_union(a: DataFrame, b: DataFrame, key: str = "key", value: str = "value", op: str = "plus") -> DataFrame:

@@ -40,9 +40,10 @@ def accuracy(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def auc(scored: DataFrame, by: list[str] | None = None, margin: str | Column = "margin") -> DataFrame:
-    """rows, auc, auc_sum, loss, per group of by if given: auc is the share of pairs of a positive and a negative row that the margin orders rightly; equal margins count half.
+    """rows, auc, auc_sum, loss, correct, per group of by if given: auc is the share of pairs of a positive and a negative row that the margin orders rightly; equal margins count half.
 
-    auc_sum is rows times the larger of auc and 1 - auc; 1 if a group has rows of one class only, whose auc is null. loss is the sum of the logistic loss.
+    auc_sum is rows times the larger of auc and 1 - auc; 1 if a group has rows of one class only, whose auc is null. loss is the sum of the logistic loss,
+    correct the number of rows on the right side of 0.
     Rows are first counted per margin, which combines before anything moves. Running counts are made within ranges of margins; a range then is three
     numbers, to which what lies below it is added, so no task sees all margins and all is one pass.
     """
@@ -52,13 +53,13 @@ def auc(scored: DataFrame, by: list[str] | None = None, margin: str | Column = "
     before = F.sum("pos").over(Window.partitionBy(*by, "_part").orderBy("_m")) - F.col("pos")
     one = lambda sign: logistic_loss(F.lit(sign), "_m")
     parts = ranged.withColumn("_in", before).groupBy(*by, "_part").agg(
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(F.col("neg") * (F.col("_in") + F.col("pos") / 2)).alias("_a"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * one(1.0)).otherwise(0.0) + F.when(F.col("neg") > 0, F.col("neg") * one(0.0)).otherwise(0.0)).alias("_l")
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(F.col("neg") * (F.col("_in") + F.col("pos") / 2)).alias("_a"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * one(1.0)).otherwise(0.0) + F.when(F.col("neg") > 0, F.col("neg") * one(0.0)).otherwise(0.0)).alias("_l"), F.sum(F.when(F.col("_m") > 0, F.col("pos")).otherwise(F.col("neg"))).alias("_c")
     )
     below = F.sum("_p").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_p")  # a row a range
-    area = parts.withColumn("_below", below).groupBy(*by).agg(F.sum(F.col("_a") + F.col("_below") * F.col("_n")).alias("_wrong"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_l").alias("_l"))
+    area = parts.withColumn("_below", below).groupBy(*by).agg(F.sum(F.col("_a") + F.col("_below") * F.col("_n")).alias("_wrong"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_l").alias("_l"), F.sum("_c").alias("_c"))
     wrong = F.try_divide(F.col("_wrong"), F.col("_p").cast("double") * F.col("_n"))
     rows = F.coalesce(F.col("_p") + F.col("_n"), F.lit(0))
-    return area.select(*by, rows.alias("rows"), (1 - wrong).alias("auc"), F.coalesce(rows * F.greatest(wrong, 1 - wrong), F.lit(1.0)).alias("auc_sum"), F.coalesce("_l", F.lit(0.0)).alias("loss"))
+    return area.select(*by, rows.alias("rows"), (1 - wrong).alias("auc"), F.coalesce(rows * F.greatest(wrong, 1 - wrong), F.lit(1.0)).alias("auc_sum"), F.coalesce("_l", F.lit(0.0)).alias("loss"), F.coalesce("_c", F.lit(0)).alias("correct"))
 
 
 def penalty(l1: float = 0.0, l2: float = 0.0, v_l2: float = 0.0, dim: int = 0) -> Column:

@@ -18,7 +18,7 @@ class Convert:
 @dataclass(frozen=True)
 class SGDLearn:
     data_in: str = ""
-    batch_size: int = 0  # 0: all of a part's rows
+    batch_size: int = 10_000  # 0: all rows at once
     data_format: str = "libsvm"
     data_val: str = ""
     model_out: str = ""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from millrace.operators import features as X
 from millrace.operators import kv
 from millrace.operators.linalg import transpose
 from millrace.queries.inputs import EVENTS, event_rows, events, labels
+from millrace.queries.problems import LINES
 from millrace.session import table
 from millrace.sources.lines import examples, parse_lines
 from millrace.sources.sinks import libsvm_lines
@@ -54,8 +53,8 @@ def feature_counts_hashed(spark, d):
 
 def block_counts_merged(spark, d):
     """Counts of the blocks added up: what a union of all blocks' counts gives, rows delivered twice once."""
-    one = table(spark, d, "tile_feacnts").filter("fid is not null and feacnt is not null").select("blk_id", "fid", "feacnt").distinct()
-    return one.groupBy("fid").agg(F.sum(F.col("feacnt").cast("double")).alias("cnt"))
+    tiles = table(spark, d, "tile_feacnts").select(F.col("blk_id").alias("blk"), "fid", F.col("feacnt").alias("cnt"))
+    return X.merged_counts(tiles, ["blk", "fid", "cnt"])
 
 
 def tail_filter(spark, d):
@@ -114,12 +113,18 @@ def minibatch_stats(spark, d):
 def shuffle_buffer(spark, d):
     """Batches from a buffer of five batches: their sizes, and the buffer that their rows come from."""
     b = X.shuffled(event_rows(spark, d), 100, 500, 7)
-    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.floor(F.min("row_id") / 500).alias("from_buffer"), F.floor(F.max("row_id") / 500).alias("to_buffer"))
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("ids"), F.floor(F.min("row_id") / 500).alias("from_buffer"), F.floor(F.max("row_id") / 500).alias("to_buffer"))
+
+
+def minibatch_parts(spark, d):
+    """Batches of seven parts, each shuffled within buffers of three batches."""
+    b = X.batches(event_rows(spark, d), 50, 7, 150, 3)
+    return b.groupBy("part", "batch_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("ids"))
 
 
 def neg_downsample(spark, d):
     kept = X.keep_negatives(labels(spark, d), 0.3)
-    return kept.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return kept.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("ids"))
 
 
 def partition_rows(spark, d):
@@ -143,8 +148,8 @@ def _dst(spark, d):
 
 
 def _src(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey % 3 <> 1")
-    return o.groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    """Orders per customer, of all orders; the keys are shifted, which leaves some unmatched on both sides."""
+    return table(spark, d, "orders").groupBy((F.col("o_custkey") + 10).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
 def _matcher(op):
@@ -156,8 +161,7 @@ def _matcher(op):
 
 def _joiner(op):
     def q(spark, d):
-        few = _dst(spark, d).filter("key % 5 <> 2")
-        return kv.kv_union(few, _src(spark, d), op=op).select("key", F.round("value", 8).alias("value"))
+        return kv.kv_union(_dst(spark, d), _src(spark, d), op=op).select("key", F.round("value", 8).alias("value"))
 
     return q
 
@@ -179,48 +183,29 @@ def find_position(spark, d):
 
 
 def push_pull(spark, d):
-    """Counts pushed to a model, and pulled for some of its keys."""
+    """Counts of all orders pushed to a model, and pulled for the customers of all of them."""
     m = kv.push(_dst(spark, d), _src(spark, d)).select(F.col("key").alias("fid"), F.round("value", 4).alias("value"))
-    keys = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") + 10).alias("fid"))
-    return kv.pull(m, keys)
-
-
-def _order_counts(spark, d, shift: int):
-    """Orders per customer, of all orders; shifted keys leave some unmatched on both sides."""
-    return table(spark, d, "orders").groupBy((F.col("o_custkey") + shift).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-
-
-def _every_op(spark, d, join, columns: list[str]):
-    out = [join(_dst(spark, d), _order_counts(spark, d, 10), op=op).select(F.lit(op).alias("op"), "key", F.round("value", 8).alias("value"), *columns) for op in OPS]
-    return reduce(DataFrame.union, out)
-
-
-def kv_match_whole(spark, d):
-    """All operations between all customers and all orders."""
-    return _every_op(spark, d, kv.kv_match, ["matched"])
-
-
-def kv_union_whole(spark, d):
-    return _every_op(spark, d, kv.kv_union, [])
+    return kv.pull(m, table(spark, d, "orders").select(F.col("o_custkey").alias("fid")))
 
 
-def push_pull_whole(spark, d):
-    """Counts of all orders pushed to a model, and pulled for all their keys, shifted."""
-    m = kv.push(_dst(spark, d), _order_counts(spark, d, 0)).select(F.col("key").alias("fid"), F.round("value", 4).alias("value"))
-    return kv.pull(m, table(spark, d, "orders").select((F.col("o_custkey") + 10).alias("fid")))
+def kv_match_ragged_plus(spark, d):
+    """Arrays of any lengths, added where both sides have one of the same length."""
+    ragged = lambda t: t.withColumn("value", F.transform(F.sequence(F.lit(1), F.pmod("key", F.lit(4)).cast("int") + 1), lambda i: F.col("value") * i))
+    out = kv.kv_match_ragged(ragged(_dst(spark, d)), ragged(_src(spark, d)), op="plus")
+    return out.select("key", "length", F.round(F.aggregate("value", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 def parsed_entries(spark, d):
     """Per format: valid lines, their entries, and the sums of labels and values; an entry without a value counts as 1.
 
-    vals is the sum over all entries. As one of 1e300 swamps what the others add, small_vals is the same sum over the entries below LARGE in size, whose
+    vals is the sum over all entries, in ten digits. As one of 1e300 swamps what the others add, small_vals is the same sum over the entries below LARGE in size, whose
     number is entries - large; unvalued: entries without a value; min_val, max_val: the least and the largest value.
     """
     e = examples(parse_lines(table(spark, d, "raw_lines"))).withColumn("vals", F.transform("features", lambda x: F.coalesce(x["val"], F.lit(1.0))))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     small = F.filter("vals", lambda v: F.abs(v) < LARGE)
     return e.groupBy("fmt").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.size("features")).alias("entries"), F.round(F.sum("label"), 3).alias("labels"), F.round(F.sum(total("vals")), 3).alias("vals"), F.round(F.sum(total(small)), 3).alias("small_vals"),
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size("features")).alias("entries"), F.round(F.sum("label"), 3).alias("labels"), F.format_string("%.9e", F.sum(total("vals"))).alias("vals"), F.round(F.sum(total(small)), 3).alias("small_vals"),
         F.sum(F.size("vals") - F.size(small)).alias("large"), F.sum(F.size(F.filter("features", lambda x: x["val"].isNull()))).alias("unvalued"), F.min(F.array_min("vals")).alias("min_val"), F.max(F.array_max("vals")).alias("max_val"),
     )
 
@@ -242,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reverse_feature_id, encode_group_id, decode_group_id, hash_mod, range_segment, feature_counts, feature_counts_hashed, block_counts_merged, tail_filter, dictionary, localize, colmap, feature_group_stats, plan_feature_blocks,
-        assign_blocks, range_assign, transpose_csc, minibatch_stats, shuffle_buffer, neg_downsample, partition_rows, row_block_triples, kv_match_vectors, kv_match_ragged, find_position, push_pull, kv_match_whole, kv_union_whole, push_pull_whole, parsed_entries, libsvm_text, windowed_group_counts,
+        assign_blocks, range_assign, transpose_csc, minibatch_stats, shuffle_buffer, neg_downsample, partition_rows, row_block_triples, kv_match_vectors, kv_match_ragged, find_position, push_pull, kv_match_ragged_plus, minibatch_parts, parsed_entries, libsvm_text, windowed_group_counts,
     )
 }
 QUERIES |= {f"kv_match_{op}": _matcher(op) for op in OPS} | {f"kv_union_{op}": _joiner(op) for op in OPS}
@@ -260,7 +245,7 @@ _PLAN = (
 pl AS (SELECT b + 4503599627370496::HUGEINT * i // n AS b, b + 4503599627370496::HUGEINT * (i + 1) // n AS e FROM (SELECT grp, n, b, unnest(range(n)) AS i FROM nb)),
 pb AS (SELECT (row_number() OVER (ORDER BY b) - 1)::INTEGER AS fblk, lpad(hex(b::UBIGINT), 16, '0') AS begin_hex, CASE WHEN e >= 18446744073709551616 THEN 'G' ELSE lpad(hex(e::UBIGINT), 16, '0') END AS end_hex FROM pl)"""
 )
-_KV = "dst AS (SELECT c_custkey AS key, round(c_acctbal / 100, 2) AS value FROM customer), src AS (SELECT o_custkey AS key, count(*)::DOUBLE AS value FROM orders WHERE o_custkey % 3 <> 1 GROUP BY 1)"
+_KV = "dst AS (SELECT c_custkey AS key, round(c_acctbal / 100, 2) AS value FROM customer), src AS (SELECT o_custkey + 10 AS key, count(*)::DOUBLE AS value FROM orders GROUP BY 1)"
 _OPS = {"assign": "{1}", "plus": "{0} + {1}", "minus": "{0} - {1}", "times": "{0} * {1}", "divide": "{0} / nullif({1}, 0)"}
 SQL = {
     "reverse_feature_id": f"WITH {_IDS} SELECT fid, {_SIGNED.format('r')} AS rev, true AS back FROM ids",
@@ -289,20 +274,32 @@ SQL = {
     "kv_match_ragged": f"WITH {_KV} SELECT key, coalesce(src.value, 0)::INTEGER AS length, coalesce(src.value * (src.value + 1) / 2 * 1.5, 0)::DOUBLE AS total FROM dst LEFT JOIN src USING (key)",
     "find_position": f"WITH {_KV}, s AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM src) SELECT key, coalesce(pos, -1)::BIGINT AS pos FROM dst LEFT JOIN s USING (key)",
     "push_pull": f"""WITH {_KV}, m AS (SELECT coalesce(dst.key, src.key) AS fid, round(coalesce(dst.value, 0) + coalesce(src.value, 0), 4) AS value FROM dst FULL JOIN src ON dst.key = src.key)
-    SELECT fid, value FROM (SELECT DISTINCT o_custkey + 10 AS fid FROM orders WHERE o_orderkey % 7 = 0) LEFT JOIN m USING (fid)""",
+    SELECT fid, value FROM (SELECT DISTINCT o_custkey AS fid FROM orders) LEFT JOIN m USING (fid)""",
     "libsvm_text": f"WITH {EVENTS}, t AS (SELECT row_id, label, string_agg(fid::VARCHAR || ':' || CASE WHEN val = floor(val) THEN val::BIGINT::VARCHAR ELSE val::VARCHAR END, ' ' ORDER BY fid % 4096) AS l FROM ev GROUP BY row_id, label) SELECT label::BIGINT::VARCHAR || ' ' || l AS value FROM t",
     "windowed_group_counts": f"""WITH {EVENTS} SELECT (epoch_us(ts) // 300000000 * 300000000)::BIGINT AS begins, fid & 4095 AS grp, count(*) AS nnz FROM ev JOIN events ON row_id = event_id GROUP BY 1, 2""",
 }
 SQL |= {f"kv_match_{op}": f"WITH {_KV} SELECT key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format('dst.value', 'src.value')} END, 8) AS value, src.key IS NOT NULL AS matched FROM dst LEFT JOIN src USING (key)" for op in OPS}
 SQL |= {
-    f"kv_union_{op}": f"""WITH {_KV}, few AS (SELECT * FROM dst WHERE key % 5 <> 2)
-    SELECT coalesce(few.key, src.key) AS key, round(CASE WHEN src.key IS NULL THEN few.value ELSE {_OPS[op].format("coalesce(few.value, 0.0)", "src.value")} END, 8) AS value FROM few FULL JOIN src ON few.key = src.key"""
+    f"kv_union_{op}": f"""WITH {_KV}
+    SELECT coalesce(dst.key, src.key) AS key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format("coalesce(dst.value, 0.0)", "src.value")} END, 8) AS value FROM dst FULL JOIN src ON dst.key = src.key"""
     for op in OPS
 }
-_WHOLE = "dst AS (SELECT c_custkey AS key, round(c_acctbal / 100, 2) AS value FROM customer), src AS (SELECT o_custkey + {0} AS key, count(*)::DOUBLE AS value FROM orders GROUP BY 1)"
+_DRAWN = "('0x' || left(md5({0}::VARCHAR || ':{1}'), 13))::BIGINT"
 SQL |= {
-    "kv_match_whole": f"WITH {_WHOLE.format(10)} " + " UNION ALL ".join(f"SELECT '{op}' AS op, key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format('dst.value', 'src.value')} END, 8) AS value, src.key IS NOT NULL AS matched FROM dst LEFT JOIN src USING (key)" for op in OPS),
-    "kv_union_whole": f"WITH {_WHOLE.format(10)} " + " UNION ALL ".join(f"SELECT '{op}' AS op, coalesce(dst.key, src.key) AS key, round(CASE WHEN src.key IS NULL THEN dst.value ELSE {_OPS[op].format('coalesce(dst.value, 0.0)', 'src.value')} END, 8) AS value FROM dst FULL JOIN src ON dst.key = src.key" for op in OPS),
-    "push_pull_whole": f"""WITH {_WHOLE.format(0)}, m AS (SELECT coalesce(dst.key, src.key) AS fid, round(coalesce(dst.value, 0) + coalesce(src.value, 0), 4) AS value FROM dst FULL JOIN src ON dst.key = src.key)
-    SELECT fid, value FROM (SELECT DISTINCT o_custkey + 10 AS fid FROM orders) LEFT JOIN m USING (fid)""",
+    "kv_match_ragged_plus": f"""WITH {_KV} SELECT dst.key, (dst.key % 4 + 1)::INTEGER AS length, round((dst.key % 4 + 1) * (dst.key % 4 + 2) / 2 * (dst.value + coalesce(src.value, 0)), 4)::DOUBLE AS total FROM dst LEFT JOIN src ON dst.key = src.key""",
+    "shuffle_buffer": f"""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events),
+    b AS (SELECT event_id, (row_number() OVER (PARTITION BY place // 500 ORDER BY {_DRAWN.format('place', 7)}, place) - 1 + place // 500 * 500) // 100 AS batch_id FROM p)
+    SELECT batch_id::BIGINT AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids, (min(event_id) // 500)::BIGINT AS from_buffer, (max(event_id) // 500)::BIGINT AS to_buffer FROM b GROUP BY batch_id""",
+    "minibatch_parts": f"""WITH p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS n FROM events),
+    q AS (SELECT *, place * 7 // n AS part FROM p), r AS (SELECT *, place - (part * n + 6) // 7 AS own FROM q),
+    b AS (SELECT event_id, part, (row_number() OVER (PARTITION BY part, own // 150 ORDER BY {_DRAWN.format('place', 3)}, place) - 1 + own // 150 * 150) // 50 AS batch_id FROM r)
+    SELECT part::INTEGER AS part, batch_id::BIGINT AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM b GROUP BY part, batch_id""",
+    "neg_downsample": f"WITH {EVENTS} SELECT label, count(*) AS rows, sum(row_id)::BIGINT AS ids FROM rw WHERE label > 0 OR {_DRAWN.format('row_id', 0)} < 0.3::DOUBLE * 4503599627370496 GROUP BY label",
+    "parsed_entries": LINES
+    + """, good AS (SELECT fmt, CASE fmt WHEN 'libsvm' THEN tok[1]::DOUBLE WHEN 'adfea' THEN tok[3]::DOUBLE WHEN 'criteo' THEN fld[1]::DOUBLE ELSE 0.0 END AS label,
+        CASE WHEN fmt = 'libsvm' THEN list_transform(items, lambda x: CASE WHEN contains(x, ':') THEN x[instr(x, ':') + 1:]::DOUBLE END) WHEN fmt = 'adfea' THEN list_transform(items, lambda x: NULL::DOUBLE)
+        ELSE list_transform(list_filter(vals, lambda x: x <> ''), lambda x: NULL::DOUBLE) END AS given FROM judged WHERE reason IS NULL),
+    one AS (SELECT fmt, unnest(given) AS v FROM good), w AS (SELECT fmt, v, coalesce(v, 1.0)::DOUBLE AS val FROM one),
+    s AS (SELECT fmt, printf('%.9e', sum(val)) AS vals, round(sum(CASE WHEN abs(val) < 1000 THEN val ELSE 0 END), 3)::DOUBLE AS small_vals, count(*) FILTER (abs(val) >= 1000) AS large, count(*) FILTER (v IS NULL) AS unvalued, min(val) AS min_val, max(val) AS max_val FROM w GROUP BY fmt)
+    SELECT g.*, s.* EXCLUDE (fmt) FROM (SELECT fmt, count(*) AS rows, sum(len(given))::BIGINT AS entries, round(sum(label), 3)::DOUBLE AS labels FROM good GROUP BY fmt) g JOIN s USING (fmt)""",
 }

@@ -15,12 +15,12 @@ from millrace.plans import model as keep
 from millrace.plans.bcd import train_bcd
 from millrace.plans.lbfgs import train_lbfgs
 from millrace.plans.sgd import train_sgd
-from millrace.queries.inputs import DIM, EVENTS, MARGINS, embedding, event_rows, events, labels, model
-from millrace.session import cut, table
+from millrace.queries.inputs import DIM, EVENTS, MARGINS, event_rows, events, labels, model
+from millrace.session import Scratch, table
 
 SGD = SGDUpdate(l1=0.5, l2=0.1, lr=0.1, V_dim=DIM, V_threshold=60, V_l2=0.01, V_lr=0.1)
 BCD = BCDUpdate(l1=1.0, lr=0.9)
-NO_LIMIT = updates.random_vector(0)
+ANY = updates.random_vector(0)
 
 
 def _r(c, n=6):
@@ -51,7 +51,7 @@ def spmv_trans(spark, d):
 def spmv_add(spark, d):
     """The product added to what each row had."""
     start = labels(spark, d).select("row_id", (F.col("label") * 2 - 1).alias("y"))
-    return linalg.times(events(spark, d), model(spark, d).filter("cnt > 100").select("fid", F.col("w").alias("x")), add=start).select("row_id", _r("y").alias("y"))
+    return linalg.times(events(spark, d), model(spark, d).select("fid", F.col("w").alias("x")), add=start).select("row_id", _r("y").alias("y"))
 
 
 def spmm(spark, d):
@@ -158,14 +158,15 @@ def ftrl_first_step(spark, d):
     zero = updates.new_model(X.feature_counts(events(spark, d)), 0)
     p = SGDUpdate(l1=1, l2=0.1, lr=0.5)
     scored = margins(events(spark, d), labels(spark, d), zero)
-    return updates.apply_gradient(zero, gradient(events(spark, d), scored), p, NO_LIMIT).select("fid", _r("w").alias("w"), _r("s", 4).alias("s"), _r("z", 4).alias("z"))
+    return updates.apply_gradient(zero, gradient(events(spark, d), scored), p, ANY).select("fid", _r("w").alias("w"), _r("s", 4).alias("s"), _r("z", 4).alias("z"))
 
 
 def ftrl_step(spark, d):
-    """A step of a model with embeddings: weights by FTRL, embeddings by AdaGrad."""
+    """A step of a model of which some features have embeddings: weights by FTRL, embeddings by AdaGrad; a new embedding would be one of zeros."""
     s = _state(spark, d)
     scored = margins(events(spark, d), labels(spark, d), s, DIM)
-    out = updates.apply_gradient(s, gradient(events(spark, d), scored, s, DIM), SGD, NO_LIMIT).filter("v is not null")
+    zeros = lambda fid, dim, scale: F.array_repeat(F.lit(0.0), dim)
+    out = updates.apply_gradient(s, gradient(events(spark, d), scored, s, DIM), SGD, zeros)
     return out.select("fid", _r("w", 5).alias("w"), _r("s", 4).alias("s"), _r("z", 3).alias("z"), *_places("v", "v", 5), *_places("c", "c", 4))
 
 
@@ -173,55 +174,64 @@ def embedding_promotion(spark, d):
     """Counts pushed again: features with a weight that are now counted often enough get an embedding."""
     s = _state(spark, d).withColumn("w", F.when(F.pmod("fid", F.lit(3)) == 0, 0.0).otherwise(F.col("w")))
     init = lambda fid, dim, scale: F.array_repeat(F.lit(scale), dim)
-    out = updates.add_counts(s, X.feature_counts(events(spark, d)).filter("fid % 2 = 0"), SGD, init)
-    return out.select("fid", "cnt", F.col("v").isNotNull().alias("embedded"), _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
-
-
-def embedding_promotion_whole(spark, d):
-    """The counts of all features pushed again to a model that has weights but no embeddings."""
-    s = _state(spark, d).withColumn("v", F.lit(None).cast("array<double>"))
-    out = updates.add_counts(s, X.feature_counts(events(spark, d)), SGD, lambda fid, dim, scale: F.array_repeat(F.lit(scale), dim))
+    out = updates.add_counts(s, X.feature_counts(events(spark, d)), SGD, init)
     return out.select("fid", "cnt", F.col("v").isNotNull().alias("embedded"), _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 def lbfgs_dots(spark, d):
     """Inner products of three vectors over the model's table, in one pass."""
-    m = model(spark, d).filter("v is not null").withColumn("g", F.transform("v", lambda x: x * x))
+    m = model(spark, d).withColumn("g", F.transform("v", lambda x: x * x))
     pairs = {"vv": ("v", "v"), "vg": ("v", "g"), "gg": ("g", "g")}
     out = linalg.dots(m, {n: (F.col(a), F.col(b)) for n, (a, b) in pairs.items()} | {"ww": (F.col("w"), F.col("w"))})
     return out.select(*(_r(c).alias(c) for c in out.columns))
 
 
-def lbfgs_first_direction(spark, d):
-    """Minus the gradient with its penalty, each number within 5."""
-    m = model(spark, d)
-    g = gradient(events(spark, d), _lin(spark, d)).join(m, "fid")
-    return g.select("fid", _r(S.clamp(-(F.col("g") + 0.1 * F.col("w")), 5.0), 4).alias("d"))
+def _lbfgs(spark, d, epochs: int):
+    """L-BFGS from zero without embeddings; the first step's length is given, and the line search takes what it tries first."""
+    return train_lbfgs(event_rows(spark, d), LBFGSLearn(loss="logit", max_num_epochs=epochs, init_alpha=0.01, c1=-1e9, c2=1e9), LBFGSUpdate(l2=0.1, m=5))
 
 
-def lbfgs_linesearch_trial(spark, d):
-    """Objective and slope after a step along that direction."""
-    g = cut(lbfgs_first_direction(spark, d))
-    m = model(spark, d).join(g, "fid").withColumn("w", F.col("w") + 0.01 * F.col("d"))
-    scored = margins(events(spark, d), labels(spark, d), m)
-    f = scored.agg(metrics.objective().alias("f"))
-    slope = gradient(events(spark, d), scored).join(m, "fid").agg(F.sum((F.col("g") + 0.1 * F.col("w")) * F.col("d")).alias("slope"), F.sum(0.05 * F.col("w") * F.col("w")).alias("r"))
-    return slope.select(F.lit(1).alias("k"), "slope", "r").join(f.withColumn("k", F.lit(1)), "k").select(_r(F.col("f") + F.col("r"), 3).alias("objective"), _r("slope", 2).alias("slope"))
+def lbfgs_first_step(spark, d):
+    """Weights after an epoch of the solver: minus the gradient, each number within 5, times the step's length."""
+    return _lbfgs(spark, d, 1).model.select("fid", "cnt", _r("w").alias("w"))
 
 
-def bcd_block_step(spark, d):
-    """Newton steps of the features of one group, and the next radii."""
-    e = events(spark, d).filter("fid & 4095 = 1")
-    m = model(spark, d).select("fid", "w", F.lit(1.0).alias("delta"))
-    step, radius = updates.newton(p=BCD)
-    both = gradient_and_curvature(e, _lin(spark, d)).join(m, "fid")
-    return both.select("fid", _r(step).alias("d"), _r(radius).alias("delta"))
+def lbfgs_two_epochs(spark, d):
+    """Objective per epoch of the solver; the second direction comes from the first pair of moves by the two-loop recursion."""
+    out = _lbfgs(spark, d, 2)
+    return spark.createDataFrame([(h["epoch"], round(h["objv"], 3), float(h["alpha"]), h["nnz_w"]) for h in out.history], "epoch int, objv double, alpha double, nnz_w bigint")
+
+
+def lbfgs_linesearch(spark, d):
+    """The first epoch's line search with the defaults: the steps tried, halved each time, and the objective of the one taken."""
+    out = train_lbfgs(event_rows(spark, d), LBFGSLearn(loss="logit", max_num_epochs=1, init_alpha=1.0), LBFGSUpdate(l2=0.1))
+    return spark.createDataFrame([(h["trials"], float(h["alpha"]), round(h["objv"], 2)) for h in out.history], "trials int, alpha double, objv double")
+
+
+def sgd_minibatch(spark, d):
+    """The model after an epoch of two minibatches in order, of half the rows each: the second step starts from what the first left."""
+    rows = event_rows(spark, d)
+    out = train_sgd(rows, SGDLearn(batch_size=max(1, -(-rows.count() // 2)), num_jobs_per_epoch=1, shuffle=0, max_num_epochs=1, loss="logit"), SGDUpdate(l1=1, l2=0.1, lr=0.5))
+    return out.model.select("fid", "cnt", _r("w").alias("w"), _r("s", 4).alias("s"), _r("z", 4).alias("z"))
+
+
+def sgd_jobs(spark, d):
+    """The model after an epoch of four parts side by side, a batch each: what they added, put together."""
+    rows = event_rows(spark, d)
+    out = train_sgd(rows, SGDLearn(batch_size=max(1, rows.count()), num_jobs_per_epoch=4, shuffle=0, max_num_epochs=1, loss="logit"), SGDUpdate(l1=1, l2=0.1, lr=0.5))
+    return out.model.select("fid", "cnt", _r("w").alias("w"), _r("s", 4).alias("s"), _r("z", 4).alias("z"))
 
 
-def bcd_block_margins(spark, d):
-    """Margins after that step."""
-    e = events(spark, d).filter("fid & 4095 = 1")
-    return shifted_margins(e, _lin(spark, d), bcd_block_step(spark, d).select("fid", "d")).select("row_id", _r("margin", 8).alias("margin"))
+def bcd_two_epochs(spark, d):
+    """The model after two epochs of the solver, with all features as one block."""
+    out = train_bcd(event_rows(spark, d), BCDLearn(max_num_epochs=2, block_ratio=0.001), BCD)
+    return out.model.select("fid", "cnt", _r("w").alias("w"), _r("delta").alias("delta"))
+
+
+def bcd_progress(spark, d):
+    """Rows, loss and right rows per epoch of the same."""
+    out = train_bcd(event_rows(spark, d), BCDLearn(max_num_epochs=2, block_ratio=0.001), BCD)
+    return spark.createDataFrame([(h["epoch"], h["rows"], round(h["objv"], 3), h["correct"]) for h in out.history], "epoch int, rows bigint, objv double, correct bigint")
 
 
 def bcd_group_steps(spark, d):
@@ -245,8 +255,7 @@ def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
     kept = X.frequent_features(X.feature_counts(e), 4)
     m = kept.select("fid", ((F.pmod(F.col("fid") * 7919, F.lit(1000)) - 500) / 1000.0).alias("w"))
     scored = margins(X.keep_features(e, kept), labels(spark, d), m).withColumn("margin", F.round("margin", 6))
-    right = scored.agg(metrics.correct().alias("correct")).scalar()
-    return metrics.auc(scored).select("rows", F.round("loss", 3).alias("loss"), right.alias("correct"), F.round("auc", 8).alias("auc"))
+    return metrics.auc(scored).select("rows", F.round("loss", 3).alias("loss"), "correct", F.round("auc", 8).alias("auc"))
 
 
 def _history(spark, out):
@@ -256,10 +265,10 @@ def _history(spark, out):
 
 
 def sgd_train(spark, d):
-    """Epochs of FTRL with embeddings over all examples, validated on every tenth."""
+    """Epochs of FTRL with embeddings in minibatches of all examples, in four parts, validated on every tenth."""
     rows = event_rows(spark, d)
-    val = rows.filter("row_id % 10 = 0")
-    return _history(spark, train_sgd(rows.filter("row_id % 10 <> 0"), SGDLearn(max_num_epochs=3, stop_rel_objv=-1, stop_val_auc=-1), SGDUpdate(l1=0.1, lr=0.5, V_dim=2, V_threshold=20), val))
+    learn = SGDLearn(batch_size=1000, num_jobs_per_epoch=4, shuffle=4, max_num_epochs=3, stop_rel_objv=-1, stop_val_auc=-1)
+    return _history(spark, train_sgd(rows, learn, SGDUpdate(l1=0.1, lr=0.5, V_dim=2, V_threshold=20), rows.filter("row_id % 10 = 0")))
 
 
 def lbfgs_train(spark, d):
@@ -272,24 +281,21 @@ def bcd_train(spark, d):
 
 def model_roundtrip(spark, d):
     """A trained model written, read again and used: the largest difference of its predictions."""
-    import tempfile
-
-    from millrace.session import shared_checkpoints
-
     rows = event_rows(spark, d)
-    out = train_sgd(rows, SGDLearn(max_num_epochs=1), SGDUpdate(l1=0.1, lr=0.5))
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/model-{next(tempfile._get_candidate_names())}"
-    keep.save_model(out, folder)
-    a, b = keep.predict(rows, out), keep.predict(rows, keep.load_model(spark, folder))
-    return a.join(b.select("row_id", F.col("margin").alias("again")), "row_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("margin") - F.col("again"))), 9).alias("differs"))
+    out = train_sgd(rows, SGDLearn(batch_size=1000, num_jobs_per_epoch=2, max_num_epochs=1), SGDUpdate(l1=0.1, lr=0.5))
+    with Scratch(spark) as scratch:
+        folder = scratch.folder("saved")
+        keep.save_model(out, folder)
+        a, b = keep.predict(rows, out), keep.predict(rows, keep.load_model(spark, folder))
+        both = a.join(b.select("row_id", F.col("margin").alias("again")), "row_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("margin") - F.col("again"))), 9).alias("differs"))
+        return spark.createDataFrame([tuple(both.first())], both.schema)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         event_pipeline, spmv, spmv_trans, spmv_add, spmm, spmm_trans, spmm_squares, dense_products, logit_predict, logit_loss, logit_grad, logit_hess, logit_delta, fm_predict, fm_loss, fm_grad, scalar_functions, auc, accuracy, logloss,
-        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, embedding_promotion_whole, lbfgs_dots, lbfgs_first_direction, lbfgs_linesearch_trial, bcd_block_step, bcd_block_margins, bcd_group_steps, bcd_group_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
+        batch_progress, merged_progress, penalties, ftrl_first_step, ftrl_step, embedding_promotion, lbfgs_dots, lbfgs_first_step, lbfgs_two_epochs, lbfgs_linesearch, sgd_minibatch, sgd_jobs, bcd_two_epochs, bcd_progress, bcd_group_steps, bcd_group_margins, sgd_train, lbfgs_train, bcd_train, model_roundtrip,
     )
 }
 
@@ -297,11 +303,37 @@ _J = range(DIM)
 _AUC = """SELECT sum(pos + neg)::BIGINT AS rows, sum(neg * (below + pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS wrong
     FROM (SELECT *, sum(pos) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING) - pos AS below FROM (SELECT round(margin, 6) AS m, count(*) FILTER (label > 0) AS pos, count(*) FILTER (label <= 0) AS neg FROM {0} GROUP BY 1))"""
 _LOSS = "greatest(-{0} * margin, 0) + ln(1 + exp(-abs(margin)))"
-_STEP = """g AS (SELECT fid, sum(val * p) AS g, sum(val * val * -p * (y + p)) AS h FROM ev JOIN ls USING (row_id) WHERE fid & 4095 = 1 GROUP BY fid),
+_STEPS = """g AS (SELECT fid, sum(val * p) AS g, sum(val * val * -p * (y + p)) AS h FROM ev JOIN ls USING (row_id) GROUP BY fid),
 u AS (SELECT fid, g, h / 0.9 + 1e-10 AS u, w FROM g JOIN md USING (fid)),
 st AS (SELECT fid, greatest(least(CASE WHEN g + 1 <= u * w THEN -(g + 1) / u WHEN g - 1 >= u * w THEN -(g - 1) / u ELSE -w END, 1.0), -1.0)::DOUBLE AS d FROM u)"""
-_STEPS = _STEP.replace(" WHERE fid & 4095 = 1", "")
-_DIR = "gd AS (SELECT fid, w, round(greatest(least(-(sum(val * p) + 0.1 * w), 5.0), -5.0), 4)::DOUBLE AS d FROM ev JOIN ls USING (row_id) JOIN md USING (fid) GROUP BY fid, w)"
+#: The first gradient and direction of L-BFGS from zero, of features counted more than 4 times.
+_L1 = "d1 AS (SELECT fid, cnt, sum(val * CASE WHEN label > 0 THEN -0.5 ELSE 0.5 END) AS g, greatest(least(-sum(val * CASE WHEN label > 0 THEN -0.5 ELSE 0.5 END), 5.0), -5.0)::DOUBLE AS d FROM ev JOIN cn USING (fid) WHERE cnt > 4 GROUP BY fid, cnt)"
+
+
+def _scored(weights: str, name: str) -> str:
+    """Margins of all rows by a table of fid, w."""
+    return f"{name} AS (SELECT rw.row_id, CASE WHEN rw.label > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS y, coalesce(sum(val * w), 0.0)::DOUBLE AS margin FROM rw LEFT JOIN (SELECT ev.row_id, val, w FROM ev JOIN {weights} USING (fid)) USING (row_id) GROUP BY 1, 2)"
+
+
+def _slope(margins: str, weights: str, name: str, l2: float = 0.1) -> str:
+    """The gradient at them, with the penalty's."""
+    return f"{name} AS (SELECT fid, sum(val * -y / (1 + exp(y * margin))) + {l2} * any_value(w) AS g FROM ev JOIN {margins} USING (row_id) JOIN {weights} USING (fid) GROUP BY fid)"
+
+
+def _trial(k: int) -> str:
+    """A trial of the line search: its objective and slope."""
+    w = f"x{k} AS (SELECT fid, {0.5**k} * d AS w, d FROM d1), {_scored(f'x{k}', f'y{k}')}, {_slope(f'y{k}', f'x{k}', f'z{k}')}"
+    return f"{w}, t{k} AS (SELECT (SELECT sum({_LOSS.format('y')}) FROM y{k}) + sum(0.05 * w * w) AS f, sum(z{k}.g * d) AS sl FROM x{k} JOIN z{k} USING (fid))"
+
+
+def _newton(k: int) -> str:
+    """A block's step from the margins m<k - 1> and weights w<k - 1>, and the margins after it."""
+    return f"""n{k} AS (SELECT fid, sum(val * p) AS g, sum(val * val * -p * (y + p)) / 0.9 + 1e-10 AS u FROM ev JOIN (SELECT row_id, y, -y / (1 + exp(y * margin)) AS p FROM m{k - 1}) USING (row_id) GROUP BY fid),
+    s{k} AS (SELECT fid, w, greatest(least(CASE WHEN g + 1 <= u * w THEN -(g + 1) / u WHEN g - 1 >= u * w THEN -(g - 1) / u ELSE -w END, delta), -delta)::DOUBLE AS d FROM n{k} JOIN w{k - 1} USING (fid)),
+    w{k} AS (SELECT fid, w + d AS w, least(5, 2 * abs(d) + 0.1)::DOUBLE AS delta FROM s{k}), {_scored(f'w{k}', f'm{k}')}"""
+
+
+_BCD = "w0 AS (SELECT fid, 0.0::DOUBLE AS w, 1.0::DOUBLE AS delta FROM cn WHERE cnt > 4), m0 AS (SELECT row_id, CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS y, 0.0::DOUBLE AS margin FROM rw), " + _newton(1) + ", " + _newton(2)
 
 
 def _batches(by: str) -> str:
@@ -319,7 +351,7 @@ SQL = {
     a AS ({_AUC.format('sc')}) SELECT rows, (SELECT round(sum({_LOSS.format('(CASE WHEN label > 0 THEN 1 ELSE -1 END)')}), 3) FROM sc) AS loss, (SELECT count(*) FROM sc WHERE (label > 0) = (margin > 0)) AS correct, round(1 - wrong, 8) AS auc FROM a""",
     "spmv": f"WITH {EVENTS} SELECT row_id, round(sum(val * w), 6) AS y FROM ev JOIN md USING (fid) WHERE w <> 0 GROUP BY row_id",
     "spmv_trans": f"WITH {EVENTS} SELECT fid, round(sum(val * (row_id % 7 - 3)), 4) AS y FROM ev WHERE row_id % 7 <> 3 GROUP BY fid",
-    "spmv_add": f"WITH {EVENTS}, p AS (SELECT row_id, sum(val * w) AS y FROM ev JOIN md USING (fid) WHERE cnt > 100 GROUP BY row_id) SELECT row_id, round(label * 2 - 1 + coalesce(y, 0), 6) AS y FROM rw LEFT JOIN p USING (row_id)",
+    "spmv_add": f"WITH {EVENTS}, p AS (SELECT row_id, sum(val * w) AS y FROM ev JOIN md USING (fid) GROUP BY row_id) SELECT row_id, round(label * 2 - 1 + coalesce(y, 0), 6) AS y FROM rw LEFT JOIN p USING (row_id)",
     "spmm": f"WITH {EVENTS} SELECT row_id, " + ", ".join(f"round(sum(val * v{j}), 6) AS y{j}" for j in _J) + " FROM ev JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY row_id",
     "spmm_trans": f"WITH {EVENTS} SELECT fid, " + ", ".join(f"round(sum(val * ((row_id * {j + 1}) % 11 - 5)), 4) AS y{j}" for j in _J) + " FROM ev GROUP BY fid",
     "spmm_squares": f"WITH {EVENTS} SELECT row_id, " + ", ".join(f"round(sum(val * val * v{j} * v{j}), 9) AS y{j}" for j in _J) + " FROM ev JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY row_id",
@@ -344,16 +376,32 @@ SQL = {
     "penalties": f"WITH {EVENTS}, q AS (SELECT *, coalesce(v0 * v0 + v1 * v1 + v2 * v2 + v3 * v3, 0) AS vv, " + " + ".join(f"coalesce((v{j} <> 0)::INTEGER, 0)" for j in _J) + " AS nv FROM md) SELECT round(sum(0.5 * abs(w) + 0.05 * w * w + 0.005 * vv), 4) AS sgd, round(sum(0.05 * w * w + 0.01 * vv), 4) AS lbfgs, sum((w <> 0)::INTEGER + nv)::BIGINT AS nnz, sum((w <> 0)::INTEGER)::BIGINT AS nnz_w FROM q",
     "ftrl_first_step": f"""WITH {EVENTS}, s1 AS (SELECT fid, sum(val * CASE WHEN label > 0 THEN -0.5 ELSE 0.5 END) AS gs, 0.0::DOUBLE AS s, 0.0::DOUBLE AS z, 0.0::DOUBLE AS w FROM ev GROUP BY fid), {_W.format(lr='0.5', l1='1')}
     SELECT fid, round(w_new, 6) AS w, round(s_new, 4) AS s, round(z_new, 4) AS z FROM s4""",
-    "ftrl_step": f"WITH {MARGINS}, gr AS (SELECT fid, any_value(w) AS w, " + ", ".join(f"any_value(v{j}) AS v{j}, sum(val * p * s{j}) - any_value(v{j}) * sum(val * val * p) + 0.01 * any_value(v{j}) AS g{j}" for j in _J) + f", sum(val * p) + 0.1 * any_value(w) AS gs, 0.5::DOUBLE AS s, -2 * any_value(w) AS z FROM ev JOIN fs USING (row_id) JOIN md USING (fid) WHERE v0 IS NOT NULL GROUP BY fid), s1 AS (SELECT * FROM gr), {_W.format(lr='0.1', l1='0.5')} SELECT fid, round(w_new, 5) AS w, round(s_new, 4) AS s, round(z_new, 3) AS z, " + ", ".join(f"round(v{j} - 0.1 / (sqrt(0.0625 + g{j} * g{j}) + 1) * g{j}, 5) AS v{j}, round(sqrt(0.0625 + g{j} * g{j}), 4) AS c{j}" for j in _J) + " FROM s4",
-    "embedding_promotion": f"WITH {EVENTS}, n AS (SELECT fid, v0, CASE WHEN fid % 3 = 0 THEN 0 ELSE w END AS w, (cnt + CASE WHEN fid % 2 = 0 THEN cnt ELSE 0 END)::DOUBLE AS cnt, v0 + v1 + v2 + v3 AS t FROM md) SELECT fid, cnt, v0 IS NOT NULL OR (cnt > 60 AND w <> 0) AS embedded, round(CASE WHEN v0 IS NOT NULL THEN t WHEN cnt > 60 AND w <> 0 THEN 0.04 END, 6) AS total FROM n",
-    "embedding_promotion_whole": f"WITH {EVENTS} SELECT fid, (2 * cnt)::DOUBLE AS cnt, 2 * cnt > 60 AND w <> 0 AS embedded, round(CASE WHEN 2 * cnt > 60 AND w <> 0 THEN 0.04 END, 6)::DOUBLE AS total FROM md",
-    "lbfgs_dots": f"WITH {EVENTS} SELECT round(sum(" + " + ".join(f"v{j} * v{j}" for j in _J) + "), 6) AS vv, round(sum(" + " + ".join(f"v{j} * v{j} * v{j}" for j in _J) + "), 6) AS vg, round(sum(" + " + ".join(f"v{j} * v{j} * v{j} * v{j}" for j in _J) + "), 6) AS gg, round(sum(w * w), 6) AS ww FROM md WHERE v0 IS NOT NULL",
-    "lbfgs_first_direction": f"WITH {MARGINS}, {_DIR} SELECT fid, d FROM gd",
-    "lbfgs_linesearch_trial": f"""WITH {MARGINS}, {_DIR}, m2 AS (SELECT fid, d, w + 0.01 * d AS w FROM gd),
-    sc AS (SELECT row_id, label, CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS y, sum(val * m2.w) AS margin FROM ev JOIN m2 USING (fid) GROUP BY row_id, label), g2 AS (SELECT fid, sum(val * -y / (1 + exp(y * margin))) AS g FROM ev JOIN sc USING (row_id) GROUP BY fid)
-    SELECT round((SELECT sum({_LOSS.format('y')}) FROM sc) + sum(0.05 * w * w), 3) AS objective, round(sum((g + 0.1 * w) * d), 2) AS slope FROM g2 JOIN m2 USING (fid)""",
-    "bcd_block_step": f"WITH {MARGINS}, {_STEP} SELECT fid, round(d, 6) AS d, round(least(5, 2 * abs(d) + 0.1), 6) AS delta FROM st",
-    "bcd_block_margins": f"WITH {MARGINS}, {_STEP}, c AS (SELECT row_id, sum(val * round(d, 6)) AS c FROM ev JOIN st USING (fid) GROUP BY row_id) SELECT row_id, round(margin + coalesce(c, 0), 8) AS margin FROM lm LEFT JOIN c USING (row_id)",
+    "ftrl_step": f"WITH {MARGINS}, gr AS (SELECT fid, any_value(w) AS w, any_value(cnt) AS cnt, " + ", ".join(f"any_value(v{j}) AS v{j}, sum(val * p * s{j}) - any_value(v{j}) * sum(val * val * p) + 0.01 * any_value(v{j}) AS g{j}" for j in _J) + f", sum(val * p) + 0.1 * any_value(w) AS gs, 0.5::DOUBLE AS s, -2 * any_value(w) AS z FROM ev JOIN fs USING (row_id) JOIN md USING (fid) GROUP BY fid), s1 AS (SELECT * FROM gr), {_W.format(lr='0.1', l1='0.5')}, f AS (SELECT *, v0 IS NULL AND cnt > 60 AND w = 0 AND w_new <> 0 AS new FROM s4) SELECT fid, round(w_new, 5) AS w, round(s_new, 4) AS s, round(z_new, 3) AS z, " + ", ".join(f"CASE WHEN new THEN 0.0 ELSE round(v{j} - 0.1 / (sqrt(0.0625 + g{j} * g{j}) + 1) * g{j}, 5) END::DOUBLE AS v{j}, CASE WHEN new THEN 0.0 ELSE round(sqrt(0.0625 + g{j} * g{j}), 4) END::DOUBLE AS c{j}" for j in _J) + " FROM f",
+    "embedding_promotion": f"WITH {EVENTS}, n AS (SELECT fid, v0, CASE WHEN fid % 3 = 0 THEN 0 ELSE w END AS w, (2 * cnt)::DOUBLE AS cnt, v0 + v1 + v2 + v3 AS t FROM md) SELECT fid, cnt, v0 IS NOT NULL OR (cnt > 60 AND w <> 0) AS embedded, round(CASE WHEN v0 IS NOT NULL THEN t WHEN cnt > 60 AND w <> 0 THEN 0.04 END, 6) AS total FROM n",
+    "lbfgs_dots": f"WITH {EVENTS} SELECT round(sum(" + " + ".join(f"v{j} * v{j}" for j in _J) + "), 6) AS vv, round(sum(" + " + ".join(f"v{j} * v{j} * v{j}" for j in _J) + "), 6) AS vg, round(sum(" + " + ".join(f"v{j} * v{j} * v{j} * v{j}" for j in _J) + "), 6) AS gg, round(sum(w * w), 6) AS ww FROM md",
+    "lbfgs_first_step": f"WITH {EVENTS}, {_L1} SELECT fid, cnt, round(0.01 * d, 6) AS w FROM d1",
+    "lbfgs_two_epochs": f"""WITH {EVENTS}, {_L1}, w1 AS (SELECT fid, 0.01 * d AS w, d, g FROM d1), {_scored('w1', 'm1')}, {_slope('m1', 'w1', 'g1')},
+    p AS (SELECT g1.fid, 0.01 * d AS s, g1.g - w1.g AS y, g1.g AS g, w1.w FROM g1 JOIN w1 USING (fid)),
+    a AS (SELECT sum(s * y) AS sy, sum(y * y) AS yy, -sum(s * g) AS sq FROM p), b AS (SELECT *, sq / (sy + 1e-10) AS al, sy / (yy + 1e-10) AS sc FROM a),
+    q AS (SELECT fid, s, y, w, (-g - al * y) * sc AS q FROM p, b), e AS (SELECT sum(y * q) AS yq FROM q),
+    w2 AS (SELECT fid, w + greatest(least(q + (al - yq / (sy + 1e-10)) * s, 5.0), -5.0) AS w FROM q, b, e), {_scored('w2', 'm2')}
+    SELECT 0 AS epoch, round((SELECT sum({_LOSS.format('y')}) FROM m1) + sum(0.05 * w * w), 3)::DOUBLE AS objv, 0.01::DOUBLE AS alpha, count(*) FILTER (w <> 0) AS nnz_w FROM w1
+    UNION ALL SELECT 1, round((SELECT sum({_LOSS.format('y')}) FROM m2) + sum(0.05 * w * w), 3)::DOUBLE, 1.0, count(*) FILTER (w <> 0) FROM w2""",
+    "lbfgs_linesearch": f"""WITH {EVENTS}, {_L1}, {', '.join(_trial(k) for k in range(5))},
+    z AS ({' UNION ALL '.join(f"SELECT {k + 1} AS trials, {0.5**k}::DOUBLE AS alpha, f, sl FROM t{k}" for k in range(5))}),
+    s0 AS (SELECT sum(g * d) AS sl0, (SELECT count(*) FROM rw) * ln(2) AS f0 FROM d1)
+    SELECT trials, alpha, round(f, 2)::DOUBLE AS objv FROM z, s0 WHERE f <= f0 + 1e-4 * alpha * sl0 AND sl >= 0.9::DOUBLE * sl0 OR trials = 5 ORDER BY trials LIMIT 1""",
+    "sgd_minibatch": f"""WITH {EVENTS}, o AS (SELECT row_id, row_number() OVER (ORDER BY row_id) <= (SELECT (count(*) + 1) // 2 FROM rw) AS one FROM rw),
+    s1 AS (SELECT fid, sum(val * CASE WHEN label > 0 THEN -0.5 ELSE 0.5 END) AS gs, 0.0::DOUBLE AS s, 0.0::DOUBLE AS z, 0.0::DOUBLE AS w FROM ev JOIN o USING (row_id) WHERE one GROUP BY fid), {_W.format(lr='0.5', l1='1')},
+    a AS (SELECT fid, w_new AS w, s_new AS s, z_new AS z FROM s4), m AS (SELECT ev.row_id, any_value(CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END::DOUBLE) AS y, sum(val * coalesce(w, 0)) AS m FROM ev JOIN o USING (row_id) LEFT JOIN a USING (fid) WHERE NOT one GROUP BY ev.row_id),
+    g AS (SELECT fid, sum(val * -y / (1 + exp(y * m))) AS g FROM ev JOIN m USING (row_id) GROUP BY fid), t1 AS (SELECT fid, g + 0.1 * coalesce(w, 0) AS gs, coalesce(s, 0.0) AS s, coalesce(z, 0.0) AS z, coalesce(w, 0.0) AS w FROM g LEFT JOIN a USING (fid)), {_W.replace('s1', 't1').replace('s2', 't2').replace('s3', 't3').replace('s4', 't4').format(lr='0.5', l1='1')}
+    SELECT fid, cnt::DOUBLE AS cnt, round(coalesce(t4.w_new, a.w), 6) AS w, round(coalesce(t4.s_new, a.s), 4) AS s, round(coalesce(t4.z_new, a.z), 4) AS z FROM cn LEFT JOIN a USING (fid) LEFT JOIN t4 USING (fid)""",
+    "sgd_jobs": f"""WITH {EVENTS}, o AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) * 4 // (SELECT count(*) FROM rw) AS part FROM rw),
+    g AS (SELECT fid, part, sum(val * CASE WHEN label > 0 THEN -0.5 ELSE 0.5 END) AS g FROM ev JOIN o USING (row_id) GROUP BY fid, part), a AS (SELECT fid, sqrt(sum(g * g)) AS s, -sum(g) AS z FROM g GROUP BY fid)
+    SELECT fid, cnt::DOUBLE AS cnt, round(CASE WHEN abs(z) <= 1 THEN 0.0 ELSE (z - sign(z)) * 0.5 / (1 + s) END, 6)::DOUBLE AS w, round(s, 4) AS s, round(z, 4) AS z FROM a JOIN cn USING (fid)""",
+    "bcd_two_epochs": f"WITH {EVENTS}, {_BCD} SELECT fid, cnt, round(w, 6) AS w, round(delta, 6)::DOUBLE AS delta FROM w2 JOIN cn USING (fid)",
+    "bcd_progress": f"""WITH {EVENTS}, {_BCD} SELECT 0 AS epoch, count(*) AS rows, round(sum({_LOSS.format('y')}), 3)::DOUBLE AS objv, count(*) FILTER ((y > 0) = (margin > 0.5)) AS correct FROM m1
+    UNION ALL SELECT 1, count(*), round(sum({_LOSS.format('y')}), 3)::DOUBLE, count(*) FILTER ((y > 0) = (margin > 0.5)) FROM m2""",
     "bcd_group_steps": f"WITH {MARGINS}, {_STEPS} SELECT fid, fid & 4095 AS grp, round(d, 6) AS d, round(least(5, 2 * abs(d) + 0.1), 6) AS delta FROM st",
     "bcd_group_margins": f"WITH {MARGINS}, {_STEPS}, c AS (SELECT row_id, fid & 4095 AS grp, sum(val * round(d, 6)) AS c FROM ev JOIN st USING (fid) GROUP BY 1, 2) SELECT grp, row_id, round(margin + c, 8) AS margin FROM c JOIN lm USING (row_id)",
 }

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.hotkeys import eager_join, key_state, overloaded
+from millrace.functions.ids import decode_group
+from millrace.operators.hotkeys import eager_join, key_state, overloaded, rolled_up
 from millrace.session import table
 from millrace.sources.lines import examples, parse_lines, rejects
 
 SHARE = 0.025
 
 
-def _keys(spark: SparkSession, d: str) -> DataFrame:
-    return eager_join(key_state(table(spark, d, "batch_feaids"), "fid", "batch_id", "val", 1.0), key_state(table(spark, d, "fea_blocks"), "fid", "epoch", "delta"))
+def _keys(spark: SparkSession, d: str, groups: bool = True) -> DataFrame:
+    left, right = (("batch_id", "epoch") if groups else (None, None))
+    return eager_join(key_state(table(spark, d, "batch_feaids"), "fid", left, "val", 1.0), key_state(table(spark, d, "fea_blocks"), "fid", right, "delta"))
 
 
 def p3_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -22,10 +24,16 @@ def p3_keys(spark: SparkSession, d: str) -> DataFrame:
     r = lambda c, n: F.round(c, 4).alias(n)
     return k.select(
         F.col("key").alias("fid"), F.col("left_rows").alias("batch_rows"), F.col("left_groups").alias("batches"), r("left_total", "sum_val"), F.col("right_rows").alias("block_rows"),
-        F.col("right_groups").alias("epochs"), r("right_total", "sum_delta"), F.col("pairs").cast("double").alias("joined_rows"),
+        F.col("right_groups").alias("epochs"), r("right_total", "sum_delta"), F.col("pairs").cast("double").alias("joined_rows"), F.round("left_pair_total", 2).alias("joined_val"), F.round("right_pair_total", 2).alias("joined_delta"),
     )
 
 
+def p3_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """What the join of both tables by fid would give, rolled up by feature group, without making it: joined rows, and the sums of val and of delta over them. Null ids meet null ids."""
+    k = _keys(spark, d, groups=False)
+    return rolled_up(k, decode_group("key", 12)).select(F.col("part").alias("grp"), "keys", F.col("pairs").cast("double").alias("joined_rows"), F.round("left_pair_total", 2).alias("sum_val"), F.round("right_pair_total", 2).alias("sum_delta"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     total = lambda t: table(spark, d, t).agg(F.count("fid").alias("of")).scalar()
     return overloaded(_keys(spark, d), {"batch": ("left", total("batch_feaids")), "feablk": ("right", total("fea_blocks"))}, SHARE).select("field", F.col("key").alias("fid"))
@@ -51,11 +59,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return parse_lines(table(spark, d, "raw_lines")).groupBy("fmt", F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (p3_keys, p3_found, p5_found, p5_rejects, p5_examples, p5_report)}
+QUERIES = {f.__name__: f for f in (p3_keys, p3_rollup, p3_found, p5_found, p5_rejects, p5_examples, p5_report)}
 
 _NUMBER = r"(regexp_full_match({0}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(isfinite(try_cast({0} AS DOUBLE)), false))"
 _ID = r"(regexp_full_match({0}, '[0-9]+') AND try_cast(coalesce(nullif(ltrim({0}, '0'), ''), '0') AS UBIGINT) IS NOT NULL)"
-_LINES = r"""
+LINES = r"""
 WITH r AS (SELECT *, coalesce(trim(raw, E' \t\r\n') = '', true) AS blank,
     CASE WHEN fmt IN ('libsvm', 'adfea') THEN string_split_regex(trim(raw, E' \t\r\n'), '[ \t\r\n]+') END AS tok,
     CASE WHEN fmt IN ('criteo', 'criteo_test') THEN E'\t' || regexp_replace(raw, '[\r\n]+$', '') END AS line FROM raw_lines),
@@ -88,13 +96,16 @@ SQL = {
     "p3_keys": _STATES
     + """SELECT coalesce(b.fid, f.fid) AS fid, coalesce(b.n, 0)::BIGINT AS batch_rows, coalesce(b.g, 0)::BIGINT AS batches, round(coalesce(b.s, 0.0), 4)::DOUBLE AS sum_val,
     coalesce(f.n, 0)::BIGINT AS block_rows, coalesce(f.g, 0)::BIGINT AS epochs, round(coalesce(f.s, 0.0), 4)::DOUBLE AS sum_delta,
-    (coalesce(b.n, 0)::DOUBLE * coalesce(f.n, 0)::DOUBLE) AS joined_rows FROM b FULL JOIN f ON b.fid IS NOT DISTINCT FROM f.fid""",
+    (coalesce(b.n, 0)::DOUBLE * coalesce(f.n, 0)::DOUBLE) AS joined_rows, round(coalesce(b.s, 0) * coalesce(f.n, 0), 2)::DOUBLE AS joined_val, round(coalesce(f.s, 0) * coalesce(b.n, 0), 2)::DOUBLE AS joined_delta FROM b FULL JOIN f ON b.fid IS NOT DISTINCT FROM f.fid""",
+    "p3_rollup": _STATES
+    + """SELECT CASE WHEN f.fid < 0 THEN ((f.fid::HUGEINT + 18446744073709551616) % 4096)::BIGINT ELSE f.fid % 4096 END AS grp, count(*) AS keys, sum(b.n::DOUBLE * f.n) AS joined_rows, round(sum(b.s * f.n), 2)::DOUBLE AS sum_val, round(sum(f.s * b.n), 2)::DOUBLE AS sum_delta
+    FROM b JOIN f ON b.fid IS NOT DISTINCT FROM f.fid GROUP BY 1""",
     "p3_found": """SELECT 'batch' AS field, fid FROM batch_feaids WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) >= 0.025 * (SELECT count(fid) FROM batch_feaids)
     UNION ALL SELECT 'feablk', fid FROM fea_blocks WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) >= 0.025 * (SELECT count(fid) FROM fea_blocks)""",
-    "p5_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p5_rejects": _LINES + "SELECT line_id, file_name, fmt, reason, raw FROM judged WHERE reason IS NOT NULL",
-    "p5_report": _LINES + "SELECT fmt, coalesce(reason, 'valid') AS reason, count(*) AS lines FROM judged GROUP BY ALL",
-    "p5_examples": _LINES
+    "p5_found": LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_rejects": LINES + "SELECT line_id, file_name, fmt, reason, raw FROM judged WHERE reason IS NOT NULL",
+    "p5_report": LINES + "SELECT fmt, coalesce(reason, 'valid') AS reason, count(*) AS lines FROM judged GROUP BY ALL",
+    "p5_examples": LINES
     + r""", good AS (SELECT line_id, fmt, CASE fmt WHEN 'libsvm' THEN tok[1]::DOUBLE WHEN 'adfea' THEN tok[3]::DOUBLE WHEN 'criteo' THEN fld[1]::DOUBLE ELSE 0.0 END AS label,
         CASE WHEN fmt IN ('libsvm', 'adfea') THEN list_transform(items, lambda x, i: {'k': i - 1, 't': x}) ELSE list_filter(list_transform(vals, lambda x, i: {'k': i - 1, 't': x}), lambda x: x.t <> '') END AS l FROM judged WHERE reason IS NULL),
     one AS (SELECT line_id, fmt, label, unnest(list_transform(l, lambda x, i: {'pos': i - 1, 'k': x.k, 't': x.t})) AS x FROM good WHERE len(l) > 0)

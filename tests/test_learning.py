@@ -166,7 +166,7 @@ def ftrl_by_hand(x, y, p, epochs):
 def test_sgd_equals_a_plain_version(spark):
     df, x, y, ids, *_ = setup(spark)
     p = SGDUpdate(l1=0.05, l2=0.1, lr=0.5)
-    out = train_sgd(df, SGDLearn(max_num_epochs=4, stop_rel_objv=-1), p)
+    out = train_sgd(df, SGDLearn(batch_size=0, max_num_epochs=4, stop_rel_objv=-1), p)
     want, w = ftrl_by_hand(x, y, p, 4)
     assert np.allclose([h["loss"] for h in out.history], want)
     got = column(out.model, "fid", "w")
@@ -196,7 +196,7 @@ def test_sgd_with_embeddings_equals_a_plain_version(spark):
         v, c = np.where(has[:, None], v - p.V_lr / (t + p.V_lr_beta) * gv, v), np.where(has[:, None], t, c)
         new = ~has & (cnt > p.V_threshold) & (was == 0) & (w != 0)
         v, has = np.where(new[:, None], start, v), has | new
-    out = train_sgd(df, SGDLearn(max_num_epochs=4, stop_rel_objv=-1), p, init=init)
+    out = train_sgd(df, SGDLearn(batch_size=0, max_num_epochs=4, stop_rel_objv=-1), p, init=init)
     assert np.allclose([h["loss"] for h in out.history], want)
     got = {r.fid: r.v for r in out.model.collect()}
     assert all((got[k] is not None) == has[i] and (not has[i] or np.allclose(got[k], v[i])) for i, k in enumerate(ids))

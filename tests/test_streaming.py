@@ -18,7 +18,7 @@ def test_a_stream_trains_as_batches_do(spark, tmp_path):
     stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     trainer.start(stream, str(tmp_path / "check"), once=True).awaitTermination()
     got = {r.fid: r.w for r in trainer.model(1).collect()}
-    want = {r.fid: r.w for r in train_sgd(df, SGDLearn(batch_size=20, shuffle=0, max_num_epochs=1), p).model.collect()}
+    want = {r.fid: r.w for r in train_sgd(df, SGDLearn(batch_size=20, num_jobs_per_epoch=1, shuffle=0, max_num_epochs=1), p).model.collect()}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in got)
     assert [r.rows for r in spark.read.parquet(str(tmp_path / "out" / "progress")).orderBy("batch").collect()] == [20, 20]
     before = sorted(trainer.model(1).collect(), key=lambda r: r.fid)
