@@ -35,9 +35,11 @@ def main(words: list[str], spark: SparkSession | None = None) -> None:
         learns, updates, train = LEARNERS[learner]
         learn, update = given.take(learns), given.take(updates)
         _warn(given)
+        if getattr(learn, "load_epoch", 0):
+            raise ValueError("load_epoch: models are kept after the last epoch only; give that one as model_in")
         rows = read(spark, learn.data_in, learn.data_format)
         val = read(spark, learn.data_val, learn.data_format) if learn.data_val else None
-        more = {"model": load_model(spark, learn.model_in).model} if learn.model_in and learner == "sgd" else {}
+        more = {"model": load_model(spark, learn.model_in).model} if learn.model_in else {}
         model = train(rows, learn, update, val, on_epoch=lambda k, r: print(k, r), **more)
         if learn.model_out:
             save_model(model, learn.model_out)
@@ -55,6 +57,8 @@ def main(words: list[str], spark: SparkSession | None = None) -> None:
 
 
 def _warn(given: P.Given) -> None:
+    if unused := P.UNUSED & (given.settings.keys() - given.left):
+        print(f"of no effect here: {', '.join(sorted(unused))}", file=sys.stderr)
     if given.left:
         print(f"not known: {', '.join(sorted(given.left))}", file=sys.stderr)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +67,64 @@ def token_id(token: ColumnLike, group: ColumnLike, bits: int = 12) -> Column:
     return F.shiftleft(F.conv(F.substring(F.md5(col(token)), 1, 12), 16, 10).cast("bigint"), bits).bitwiseOR(col(group).cast("bigint"))
 
 
+def ordered(x: ColumnLike) -> Column:
+    """A bigint whose signed order is the unsigned order of the ids."""
+    return col(x).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
+
+
+def edges_below(edges: list[int], key: Column) -> Column:
+    """How many of the ascending unsigned edges are at most the id of which key is the ordered form. The id's leading bits lead to the few edges that share them, which are then compared."""
+    bits = min(16, max(0, len(edges) - 1).bit_length())
+    starts = np.searchsorted(np.array(edges, np.uint64), np.array([b << (64 - bits) for b in range(1 << bits)], np.uint64)).tolist() + [len(edges)] if bits else [0, len(edges)]
+    all_ = F.lit(np.array([e - (1 << 63) for e in edges], np.int64))
+    at = F.shiftrightunsigned(ordered(key), 64 - bits).cast("int") if bits else F.lit(0)
+    of = F.lit(np.array(starts, np.int32))
+    first, past = F.get(of, at), F.get(of, at + 1)
+    return first + F.size(F.filter(F.slice(all_, first + 1, past - first), lambda e: e <= key))
+
+
+@dataclass(frozen=True)
+class Range:
+    """The half-open range of ids from begin to before end, of unsigned 64-bit numbers."""
+
+    begin: int
+    end: int
+
+    @property
+    def valid(self) -> bool:
+        return 0 <= self.begin < self.end
+
+    @property
+    def size(self) -> int:
+        return self.end - self.begin
+
+    def has(self, x: int) -> bool:
+        return self.begin <= x < self.end
+
+    def holds(self, x: ColumnLike) -> Column:
+        """Whether the range has the id in a column."""
+        if not self.valid:
+            return F.lit(False)
+        low, high = (F.lit(e - (1 << 63)).cast("bigint") for e in (self.begin, min(self.end, 1 << 64) - 1))
+        return ordered(x).between(low, high)
+
+    def segment(self, part: int, parts: int) -> Range:
+        return Range(*segment(self.begin, self.end, part, parts))
+
+    def __add__(self, n: int) -> Range:
+        return Range(self.begin + n, self.end + n)
+
+    def __sub__(self, n: int) -> Range:
+        return Range(self.begin - n, self.end - n)
+
+    def __mul__(self, n: int) -> Range:
+        return Range(self.begin * n, self.end * n)
+
+
+#: All ids but the last.
+ALL = Range(0, (1 << 64) - 1)
+
+
 def segment(begin: int, end: int, part: int, parts: int) -> tuple[int, int]:
     """Part of parts equal pieces of the half-open range; double arithmetic, the last piece takes the exact end."""
     if not 0 <= part < parts or end < begin:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.common import ColumnLike, col
-from millrace.functions.ids import decode_group, hash_mod, reversed_hex
+from millrace.functions.ids import decode_group, edges_below, hash_mod, ordered, reverse_id, reversed_hex
 from millrace.functions.scalars import drawn
 from millrace.session import cut
 
@@ -165,12 +166,10 @@ def plan_blocks(stats: dict[int, int], sampled: int, bits: int, ratio: float) ->
 
 
 def assign_blocks(entries: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
-    """The entries with fblk, the number of the range that holds their reversed id; those in no range are dropped. A plan has at most 2^16 groups times a few blocks; its edges are one literal array."""
-    hexed = reversed_hex("fid")
-    begins = F.array(*(F.lit(f"{b:016X}") for b, _ in plan))
-    ends = F.array(*(F.lit(f"{e:016X}" if e < 1 << 64 else "G") for _, e in plan))
+    """The entries with fblk, the number of the range that holds their reversed id; those in no range are dropped. A plan has at most 2^16 groups times a few blocks; its edges are literal arrays, of which an id is compared with those that share its leading bits."""
     if not plan:
         return entries.withColumn("fblk", F.lit(0)).filter(F.lit(False))
-    at = F.size(F.filter(begins, lambda b: b <= F.col("_hex")))
-    found = entries.withColumn("_hex", hexed).withColumn("fblk", at - 1)
-    return found.filter((F.col("fblk") >= 0) & (F.col("_hex") < F.get(ends, F.col("fblk")))).drop("_hex")
+    last = F.lit(np.array([e - 1 - (1 << 63) for _, e in plan], np.int64))
+    keyed = entries.withColumn("_key", ordered(reverse_id("fid")))
+    found = keyed.withColumn("fblk", edges_below([b for b, _ in plan], F.col("_key")) - 1)
+    return found.filter((F.col("fblk") >= 0) & (F.col("_key") <= F.get(last, F.col("fblk")))).drop("_key")

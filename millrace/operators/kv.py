@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.ids import edges_below, ordered
 from millrace.functions.scalars import combine
 
 
@@ -72,14 +73,13 @@ def find_position(src: DataFrame, dst: DataFrame, key: str = "key", position: st
 def find_ranges(ids: DataFrame, ranges: list[tuple[int, int]], order: Column) -> DataFrame:
     """Per half-open range its ids' places in id order: rng (the range's number), first, past; where a range has none both are where they would stand.
 
-    order: 16 hex digits that sort as the ids do. ranges: a plan's, so few. Each id counts in the piece between edges that holds it; the pieces'
+    order: the unsigned id that sorts as the ids do, with its bits in a bigint. ranges: a plan's, so few. Each id counts in the piece between edges that holds it; the pieces'
     counts, one number an edge, then give all places. Nothing is joined.
     """
-    hexed = lambda e: f"{e:016X}" if e < 1 << 64 else "G"
-    edges = sorted({hexed(e) for r in ranges for e in r})
-    piece = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("_hex")))
-    counts = ids.select(order.alias("_hex")).groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("piece", "n")).alias("pieces"))
-    below = lambda e: F.aggregate(F.filter("pieces", lambda x: x["piece"] <= edges.index(hexed(e))), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    edges = sorted({e for r in ranges for e in r if e < 1 << 64})
+    at = {e: i for i, e in enumerate(edges)}
+    counts = ids.select(edges_below(edges, ordered(order)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("piece", "n")).alias("pieces"))
+    below = lambda e: F.aggregate(F.filter("pieces", lambda x: x["piece"] <= at.get(e, len(edges))), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
     rows = F.array(*(F.struct(F.lit(i).alias("rng"), below(b).alias("first"), below(e).alias("past")) for i, (b, e) in enumerate(ranges)))
     return counts.select(F.explode(rows).alias("x")).select("x.*")
 

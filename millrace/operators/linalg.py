@@ -35,9 +35,9 @@ def times_columns(entries: DataFrame, x: DataFrame, k: int, by: str = "fid", to:
     return entries.select(by, to, "val").join(live, by).groupBy(to).agg(*sums).select(to, F.array(*(F.coalesce(f"_{j}", F.lit(0.0)) for j in range(k))).alias("y"))
 
 
-def transpose(entries: DataFrame) -> DataFrame:
-    """Per feature its entries in row order: fid, items (row_id, val). A feature's whole column is one row; for hot ones use the triples, which are the same matrix."""
-    return entries.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("row_id", "val"))).alias("items"))
+def transpose(entries: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """Columns in pieces: fid, chunk, items (row_id, val, in row order). A piece holds a feature's entries in span consecutive row_ids, so no feature, however hot, is one row; pieces in order are the column."""
+    return entries.groupBy("fid", F.floor(F.col("row_id") / span).cast("bigint").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("row_id", "val"))).alias("items"))
 
 
 def untranspose(columns: DataFrame) -> DataFrame:

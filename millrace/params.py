@@ -11,7 +11,7 @@ class Convert:
     data_format: str
     data_out: str
     data_out_format: str
-    part_size: float = -1  # MB a file; -1: one file
+    part_size: float = -1  # MB a file; -1: a file a task
     chunk_size: float = 512
 
 
@@ -110,6 +110,10 @@ class BCDUpdate:
     lr: float = 0.9
 
 
+#: Settings that are taken and change nothing, as Spark decides what they decided.
+UNUSED = {"data_cache", "data_chunk_size", "chunk_size", "num_threads"}
+
+
 @dataclass
 class Given:
     """Settings as text, taken by one set of parameters after another; left is what none has taken."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import trust_radius
-from millrace.operators.features import assign_blocks, every_tenth, feature_counts, frequent_features, group_counts, group_stats, in_order, keep_features, plan_blocks, triples
+from millrace.operators.features import assign_blocks, every_tenth, feature_counts, frequent_features, group_counts, group_stats, in_order, keep_features, keep_negatives, plan_blocks, triples
 from millrace.operators.losses import gradient_and_curvature, margins
 from millrace.operators.metrics import auc, correct, objective
 from millrace.operators.updates import newton
@@ -61,6 +61,7 @@ def train_bcd(rows: DataFrame, learn: BCDLearn = BCDLearn(), update: BCDUpdate =
     The loss reported is without the penalty, after an epoch's last block; validation rows are reported apart.
     """
     with Scratch(rows.sparkSession) as scratch:
+        rows = keep_negatives(rows, learn.neg_sampling) if learn.neg_sampling < 1 else rows
         rows, val = (None if x is None else scratch.put(n, x.select("row_id", "label", "features")) for n, x in (("rows", rows), ("val", val)))
         everything = triples(rows)
         kept = scratch.put("kept", frequent_features(feature_counts(everything), update.tail_feature_filter))

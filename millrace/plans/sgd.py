@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,7 @@ def train_sgd(
     init = init or random_vector(update.seed)
     settings = loss_settings(learn.loss, update.V_dim)
     dim = settings["dim"]
+    update = replace(update, V_dim=dim)  # a loss without embeddings has none, whatever is set
     spark = rows.sparkSession
     with Scratch(spark) as scratch:
         kept = rows.select("row_id", "label", "features")

@@ -98,11 +98,13 @@ def assign_blocks(spark, d):
 
 def range_assign(spark, d):
     """Each block's span of places in the ordered dictionary."""
-    return kv.find_ranges(X.feature_counts(events(spark, d)), _plan(spark, d), I.reversed_hex("fid"))
+    return kv.find_ranges(X.feature_counts(events(spark, d)), _plan(spark, d), I.reverse_id("fid"))
 
 
 def transpose_csc(spark, d):
-    return transpose(events(spark, d)).select("fid", F.size("items").alias("entries"), F.element_at("items", 1)["row_id"].alias("first_row"), F.element_at("items", -1)["row_id"].alias("last_row"), F.round(F.aggregate("items", F.lit(0.0), lambda s, x: s + x["val"]), 4).alias("vals"))
+    columns = transpose(events(spark, d), span=300)
+    ends = columns.select("fid", F.size("items").alias("n"), F.element_at("items", 1)["row_id"].alias("a"), F.element_at("items", -1)["row_id"].alias("z"), F.aggregate("items", F.lit(0.0), lambda s, x: s + x["val"]).alias("v"))
+    return ends.groupBy("fid").agg(F.sum("n").cast("int").alias("entries"), F.min("a").alias("first_row"), F.max("z").alias("last_row"), F.round(F.sum("v"), 4).alias("vals"))
 
 
 def minibatch_stats(spark, d):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,25 +17,27 @@ def libsvm_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(" ", _number(F.coalesce("label", F.lit(0.0))), F.coalesce(items, F.array().cast("array<string>"))).alias("value"))
 
 
-def _pieces(df: DataFrame, part_size: float, bytes_a_row: float) -> DataFrame:
-    """In so many files that each is of about part_size MB; one file for a negative size."""
+def _writer(df: DataFrame, part_size: float, size: Column, merged: bool):
+    """Files of at most about part_size MB, by the mean size in bytes of a row; for a negative part_size each task writes one file. merged: all in one task."""
+    if part_size == 0:
+        raise ValueError("part_size must not be 0")
+    writer = (df.coalesce(1) if merged else df).write.mode("overwrite")
     if part_size < 0:
-        return df.coalesce(1)
-    return df.repartition(max(1, math.ceil(df.count() * bytes_a_row / (part_size * 1e6))))
+        return writer
+    mean = df.agg(F.avg(size)).first()[0] or 1
+    return writer.option("maxRecordsPerFile", max(1, int(part_size * 1e6 / mean)))
 
 
-def write_libsvm(rows: DataFrame, path: str, part_size: float = -1) -> None:
+def write_libsvm(rows: DataFrame, path: str, part_size: float = -1, merged: bool = False) -> None:
     lines = libsvm_lines(rows)
-    size = lines.agg(F.avg(F.octet_length("value") + 1)).first()[0] or 1 if part_size > 0 else 1
-    _pieces(lines, part_size, size).write.mode("overwrite").text(path)
+    _writer(lines, part_size, F.octet_length("value") + 1, merged).text(path)
 
 
-def write_rec(rows: DataFrame, path: str, part_size: float = -1, compression: str = "zstd") -> None:
+def write_rec(rows: DataFrame, path: str, part_size: float = -1, compression: str = "zstd", merged: bool = False) -> None:
     """Values that are all 1 cost nothing: they are written as null."""
     one = F.transform("features", lambda x: F.struct(x["idx"].alias("idx"), F.when(x["val"] != 1, x["val"]).alias("val")))
     slim = rows.withColumn("features", one)
-    size = 9 * (slim.agg(F.avg(F.size("features"))).first()[0] or 1) if part_size > 0 else 1
-    _pieces(slim, part_size, size).write.mode("overwrite").option("compression", compression).parquet(path)
+    _writer(slim, part_size, F.size("features") * 9 + 1, merged).option("compression", compression).parquet(path)
 
 
 WRITERS = {"libsvm": write_libsvm, "rec": write_rec}

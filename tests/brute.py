@@ -129,3 +129,16 @@ def slopes(f, a, step=1e-6):
         c[i] -= step
         g[i] = (f(b) - f(c)) / (2 * step)
     return g
+
+
+def fixed_rows(rows=100, ids=60):
+    """Rows by a rule without random numbers: unit norm, 3 to 9 features, labels that a hidden linear rule gives with some exceptions."""
+    out = []
+    for i in range(rows):
+        own = sorted({(i * 37 + j * j * 11 + j * (i % 7)) % ids for j in range(3 + i % 7)})
+        raw = [1 + (i * 5 + k * 3) % 9 for k in own]
+        size = math.sqrt(sum(x * x for x in raw))
+        side = sum(x * (1 if k % 3 else -2) for k, x in zip(own, raw))
+        label = 1.0 if (side > 0) != (i % 11 == 0) else -1.0
+        out.append((i, label, [(k * 97 + 8, x / size) for k, x in zip(own, raw)]))
+    return out

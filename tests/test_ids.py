@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -50,3 +52,18 @@ def test_segments_cover_the_range():
         assert all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
     with pytest.raises(ValueError):
         I.segment(0, 10, 3, 3)
+
+
+def test_ranges_and_places_among_edges(spark):
+    r = random.Random(5)
+    ids = [r.getrandbits(64) for _ in range(200)] + [0, 1, 2**63 - 1, 2**63, 2**64 - 1]
+    signed = [x - 2**64 if x >= 2**63 else x for x in ids]
+    df = spark.createDataFrame(list(zip(range(len(ids)), signed)), "n int, x bigint")
+    for edges in ([], [0], [2**63], [5, 7, 2**63 - 1, 2**64 - 1], sorted(r.getrandbits(64) for _ in range(900)), sorted({r.getrandbits(20) for _ in range(300)} | {2**64 - 2})):
+        got = {x.n: x.k for x in df.select("n", I.edges_below(edges, I.ordered("x")).alias("k")).collect()}
+        assert all(got[i] == sum(e <= x for e in edges) for i, x in enumerate(ids))
+    for a in (I.Range(0, 10), I.Range(2**63 - 5, 2**63 + 5), I.ALL, I.Range(0, 2**64), I.Range(5, 5)):
+        got = {x.n: x.k for x in df.select("n", a.holds("x").alias("k")).collect()}
+        assert all(got[i] == a.has(x) for i, x in enumerate(ids))
+    a = I.Range(2, 6)
+    assert (a + 1, a - 1, a * 3) == (I.Range(3, 7), I.Range(1, 5), I.Range(6, 18)) and a.size == 4 and a.valid and not I.Range(6, 6).valid and a.segment(1, 2) == I.Range(4, 6)

@@ -41,7 +41,10 @@ def test_column_round_trip_and_sizes(spark, tmp_path):
     assert back.count() == 4000 and back.first().features[0].val is None
     assert len(list((tmp_path / "r").glob("part-*"))) > 1
     convert(spark, P.Convert(str(tmp_path / "r"), "rec", str(tmp_path / "t"), "libsvm"))
-    assert len(list((tmp_path / "t").glob("part-*"))) == 1
+    write_libsvm(many, str(tmp_path / "m"), merged=True)
+    assert len(list((tmp_path / "m").glob("part-*"))) == 1
+    with pytest.raises(ValueError):
+        write_libsvm(many, str(tmp_path / "z"), part_size=0)
     assert read(spark, str(tmp_path / "t"), "libsvm").count() == 4000
     with pytest.raises(ValueError):
         convert(spark, P.Convert("a", "rec", "b", "criteo"))

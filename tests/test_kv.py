@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.ids import reversed_hex
+from millrace.functions.ids import reverse_id
 from millrace.operators import kv
 from millrace.operators.features import dense_index
 
@@ -60,13 +60,16 @@ def test_vectors_and_ragged(spark):
     src = spark.createDataFrame([(2, [10.0, 20.0]), (3, [5.0, 6.0])], "key bigint, value array<double>")
     assert {r.key: r.value for r in kv.kv_match_vectors(dst, src, op="plus").collect()} == {1: [1.0, 2.0], 2: [13.0, 24.0], 3: [5.0, 6.0]}
     assert {r.key: (r.value, r.length) for r in kv.kv_match_ragged(dst, src).collect()} == {1: ([], 0), 2: ([10.0, 20.0], 2), 3: ([5.0, 6.0], 2)}
+    a = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0]), (3, None), (4, [1.0, 2.0, 3.0]), (None, [1.0])], "key bigint, value array<double>")
+    b = spark.createDataFrame([(2, [10.0, 20.0]), (3, [5.0]), (4, [1.0]), (4000, [1.0]), (None, [1.0])], "key bigint, value array<double>")
+    assert {r.key: (r.value, r.length) for r in kv.kv_match_ragged(a, b, op="minus").collect()} == {1: ([1.0, 2.0], 2), 2: ([-7.0, -20.0], 2), 3: ([-5.0], 1), 4: ([0.0, 2.0, 3.0], 3), None: ([1.0], 1)}
 
 
 def test_ranges(spark):
     ids = spark.createDataFrame([(k,) for k in (1, 2, 17, 300, -1)], "fid bigint")
     hexed = sorted(f"{k % 2**64:016X}"[::-1] for k in (1, 2, 17, 300, -1))
     ranges = [(0, 1 << 60), (1 << 60, 2 << 60), (2 << 60, 15 << 60), (15 << 60, 1 << 64)]
-    got = [(r.first, r.past) for r in kv.find_ranges(ids, ranges, reversed_hex("fid")).orderBy("rng").collect()]
+    got = [(r.first, r.past) for r in kv.find_ranges(ids, ranges, reverse_id("fid")).orderBy("rng").collect()]
     low = lambda e: sum(int(h, 16) < e for h in hexed)
     assert got == [(low(b), low(e)) for b, e in ranges]
 
