@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.ids import decode_group
+from millrace.functions.ids import decode_group, reverse_id
 from millrace.operators.hotkeys import eager_join, key_state, overloaded, rolled_up
 from millrace.session import table
 from millrace.sources.lines import examples, parse_lines, rejects
@@ -31,7 +31,7 @@ def p3_keys(spark: SparkSession, d: str) -> DataFrame:
 def p3_rollup(spark: SparkSession, d: str) -> DataFrame:
     """What the join of both tables by fid would give, rolled up by feature group, without making it: joined rows, and the sums of val and of delta over them. Null ids meet null ids."""
     k = _keys(spark, d, groups=False)
-    return rolled_up(k, decode_group("key", 12)).select(F.col("part").alias("grp"), "keys", F.col("pairs").cast("double").alias("joined_rows"), F.round("left_pair_total", 2).alias("sum_val"), F.round("right_pair_total", 2).alias("sum_delta"))
+    return rolled_up(k, decode_group(reverse_id("key"), 12)).select(F.col("part").alias("grp"), "keys", F.col("pairs").cast("double").alias("joined_rows"), F.round("left_pair_total", 2).alias("sum_val"), F.round("right_pair_total", 2).alias("sum_delta"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ SQL = {
     coalesce(f.n, 0)::BIGINT AS block_rows, coalesce(f.g, 0)::BIGINT AS epochs, round(coalesce(f.s, 0.0), 4)::DOUBLE AS sum_delta,
     (coalesce(b.n, 0)::DOUBLE * coalesce(f.n, 0)::DOUBLE) AS joined_rows, round(coalesce(b.s, 0) * coalesce(f.n, 0), 2)::DOUBLE AS joined_val, round(coalesce(f.s, 0) * coalesce(b.n, 0), 2)::DOUBLE AS joined_delta FROM b FULL JOIN f ON b.fid IS NOT DISTINCT FROM f.fid""",
     "p3_rollup": _STATES
-    + """SELECT CASE WHEN f.fid < 0 THEN ((f.fid::HUGEINT + 18446744073709551616) % 4096)::BIGINT ELSE f.fid % 4096 END AS grp, count(*) AS keys, sum(b.n::DOUBLE * f.n) AS joined_rows, round(sum(b.s * f.n), 2)::DOUBLE AS sum_val, round(sum(f.s * b.n), 2)::DOUBLE AS sum_delta
+    + """SELECT (('0x' || reverse(lpad(hex(f.fid), 16, '0')))::UBIGINT % 4096)::BIGINT AS grp, count(*) AS keys, sum(b.n::DOUBLE * f.n) AS joined_rows, round(sum(b.s * f.n), 2)::DOUBLE AS sum_val, round(sum(f.s * b.n), 2)::DOUBLE AS sum_delta
     FROM b JOIN f ON b.fid IS NOT DISTINCT FROM f.fid GROUP BY 1""",
     "p3_found": """SELECT 'batch' AS field, fid FROM batch_feaids WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) >= 0.025 * (SELECT count(fid) FROM batch_feaids)
     UNION ALL SELECT 'feablk', fid FROM fea_blocks WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) >= 0.025 * (SELECT count(fid) FROM fea_blocks)""",

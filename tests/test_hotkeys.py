@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from millrace.operators.hotkeys import eager_join, key_state, overloaded
+from millrace.operators.hotkeys import eager_join, key_state, overloaded, rolled_up
 
 LEFT = [(1, 10, 1.0), (1, 10, None), (1, 11, 2.0), (None, 10, 3.0), (None, None, 1.0), (2, 12, None), (0, 1, 4.0)]
 RIGHT = [(1, 0, 0.5), (None, 0, None), (3, 1, 1.0), (3, 1, 1.0)]
@@ -52,3 +52,12 @@ def test_one_key_with_most_rows(spark):
     assert (top.key, top.rows, top.groups) == (5, 13333, 10)
     plan = s._jdf.queryExecution().toString()
     assert "partial_sum" in plan and "partial_count" in plan
+
+
+def test_rolled_up_joins_equal_the_joins(spark):
+    left = spark.createDataFrame([(k, g, v) for k in (1, 1, 1, 2, None, 9) for g, v in ((1, 2.0), (2, None))], "k bigint, g int, v double")
+    right = spark.createDataFrame([(1, 1, 3.0), (1, 1, 4.0), (2, 5, 5.0), (None, 5, 7.0), (7, 1, 1.0)], "k bigint, g int, v double")
+    both = eager_join(key_state(left, "k", None, "v", 1.0), key_state(right, "k", None, "v"))
+    got = {r.part: (r["keys"], int(r.pairs), r.left_pair_total, r.right_pair_total) for r in rolled_up(both, F.pmod("key", F.lit(2))).collect()}
+    assert got == {1: (1, 12, 18.0, 42.0), 0: (1, 2, 3.0, 10.0), None: (1, 2, 3.0, 14.0)}
+    assert rolled_up(both.limit(0), F.col("key")).count() == 0
