@@ -29,9 +29,10 @@ def p3_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """What the join of both tables by fid would give, rolled up by feature group, without making it: joined rows, and the sums of val and of delta over them. Null ids meet null ids."""
-    k = _keys(spark, d, groups=False)
-    return rolled_up(k, decode_group(reverse_id("key"), 12)).select(F.col("part").alias("grp"), "keys", F.col("pairs").cast("double").alias("joined_rows"), F.round("left_pair_total", 2).alias("sum_val"), F.round("right_pair_total", 2).alias("sum_delta"))
+    """What a join of both tables by feature group would give, rolled up by 64 groups, without making it: groups, joined rows, and the sums of val and of delta over them. The null group of null ids meets itself."""
+    state = lambda t, value, default: key_state(table(spark, d, t).withColumn("grp", decode_group(reverse_id("fid"), 12)), "grp", None, value, default)
+    k = rolled_up(eager_join(state("batch_feaids", "val", 1.0), state("fea_blocks", "delta", None)), F.floor(F.col("key") / 64))
+    return k.select(F.col("part").alias("part"), F.col("keys").alias("grps"), F.col("pairs").cast("double").alias("joined_rows"), F.round("left_pair_total", 2).alias("sum_val"), F.round("right_pair_total", 2).alias("sum_delta"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,9 +98,9 @@ SQL = {
     + """SELECT coalesce(b.fid, f.fid) AS fid, coalesce(b.n, 0)::BIGINT AS batch_rows, coalesce(b.g, 0)::BIGINT AS batches, round(coalesce(b.s, 0.0), 4)::DOUBLE AS sum_val,
     coalesce(f.n, 0)::BIGINT AS block_rows, coalesce(f.g, 0)::BIGINT AS epochs, round(coalesce(f.s, 0.0), 4)::DOUBLE AS sum_delta,
     (coalesce(b.n, 0)::DOUBLE * coalesce(f.n, 0)::DOUBLE) AS joined_rows, round(coalesce(b.s, 0) * coalesce(f.n, 0), 2)::DOUBLE AS joined_val, round(coalesce(f.s, 0) * coalesce(b.n, 0), 2)::DOUBLE AS joined_delta FROM b FULL JOIN f ON b.fid IS NOT DISTINCT FROM f.fid""",
-    "p3_rollup": _STATES
-    + """SELECT (('0x' || reverse(lpad(hex(f.fid), 16, '0')))::UBIGINT % 4096)::BIGINT AS grp, count(*) AS keys, sum(b.n::DOUBLE * f.n) AS joined_rows, round(sum(b.s * f.n), 2)::DOUBLE AS sum_val, round(sum(f.s * b.n), 2)::DOUBLE AS sum_delta
-    FROM b JOIN f ON b.fid IS NOT DISTINCT FROM f.fid GROUP BY 1""",
+    "p3_rollup": """WITH b AS (SELECT (('0x' || reverse(lpad(hex(fid), 16, '0')))::UBIGINT % 4096)::BIGINT AS g, count(*)::DOUBLE AS n, sum(coalesce(val, 1.0)) AS s FROM batch_feaids GROUP BY 1),
+    f AS (SELECT (('0x' || reverse(lpad(hex(fid), 16, '0')))::UBIGINT % 4096)::BIGINT AS g, count(*)::DOUBLE AS n, coalesce(sum(delta), 0.0) AS s FROM fea_blocks GROUP BY 1)
+    SELECT (f.g // 64)::BIGINT AS part, count(*) AS grps, sum(b.n * f.n) AS joined_rows, round(sum(b.s * f.n), 2)::DOUBLE AS sum_val, round(sum(f.s * b.n), 2)::DOUBLE AS sum_delta FROM b JOIN f ON b.g IS NOT DISTINCT FROM f.g GROUP BY 1""",
     "p3_found": """SELECT 'batch' AS field, fid FROM batch_feaids WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) >= 0.025 * (SELECT count(fid) FROM batch_feaids)
     UNION ALL SELECT 'feablk', fid FROM fea_blocks WHERE fid IS NOT NULL GROUP BY fid HAVING count(*) >= 0.025 * (SELECT count(fid) FROM fea_blocks)""",
     "p5_found": LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
