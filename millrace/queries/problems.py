@@ -37,7 +37,7 @@ def p3_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     total = lambda t: table(spark, d, t).agg(F.count("fid").alias("of")).scalar()
-    return overloaded(_keys(spark, d), {"batch": ("left", total("batch_feaids")), "feablk": ("right", total("fea_blocks"))}, SHARE).select("field", F.col("key").alias("fid"))
+    return overloaded(_keys(spark, d, groups=False), {"batch": ("left", total("batch_feaids")), "feablk": ("right", total("fea_blocks"))}, SHARE).select("field", F.col("key").alias("fid"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
